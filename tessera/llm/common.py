@@ -72,3 +72,25 @@ def ranked(df: DataFrame, keys: list[str], order: str, buckets: int, rank: str =
     own = Window.partitionBy(*keys, "_part").orderBy(order)
     numbered = rows.withColumn("_row", F.row_number().over(own) - 1)
     return numbered.join(before, on).withColumn(rank, F.col("_before") + F.col("_row")).drop("_part", "_row", "_before", "_p", *(f"_k{i}" for i in range(len(keys))))
+
+
+def per_process(key: str, make):
+    """An object made once in each Python worker, such as a loaded vocabulary.
+
+    Functions travel by value, so a module's own globals wouldn't last; a module
+    entry of the worker's interpreter does.
+    """
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_tessera_kept", types.ModuleType("_tessera_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
+def open_store(uri: str):
+    """File system and path of a URI, in a Python worker."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, mixing, url_filter
+from tessera.llm import chat, exact_dedup, line_dedup, media, mixing, packing, tokens, url_filter, warc
 from tessera.llm.common import text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,34 @@ Query = Callable[[SparkSession, str], DataFrame]
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return warc.warc_round_trip(spark, pages).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+#: Fixed value: both texts of the contract's extra conversation.
+CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "role", "text", "turn")
+    records = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("record"))
+    extra = F.to_json(F.struct(F.lit(-1).cast("bigint").alias("id"), F.lit(CONTROL_TEXT).alias("prompt"), F.lit(CONTROL_TEXT).alias("response")))
+    records = records.unionByName(spark.range(1).select(extra.alias("record")))
+    return chat.digests(chat.format_turns(chat.canonical_turns(records, strict=True)))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    placed = packing.pack_documents(docs, tokens.default_tokenizer(), keep_ids=False)
+    return placed.withColumn("length", F.col("length").cast("bigint"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = line_dedup.with_bitmaps(docs)
@@ -28,6 +56,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return media.media_round_trip(docs)
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
