@@ -74,8 +74,8 @@ def ranked(df: DataFrame, keys: list[str], order: str, buckets: int, rank: str =
     return numbered.join(before, on).withColumn(rank, F.col("_before") + F.col("_row")).drop("_part", "_row", "_before", "_p", *(f"_k{i}" for i in range(len(keys))))
 
 
-def per_process(key: str, make):
-    """An object made once in each Python worker, such as a loaded vocabulary.
+def per_process(key: str, make, version: object = None):
+    """An object made once in each Python worker, such as a loaded vocabulary; another version replaces it.
 
     Functions travel by value, so a module's own globals wouldn't last; a module
     entry of the worker's interpreter does.
@@ -84,9 +84,9 @@ def per_process(key: str, make):
     import types
 
     kept = sys.modules.setdefault("_tessera_kept", types.ModuleType("_tessera_kept")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if key not in kept or kept[key][0] != version:
+        kept[key] = (version, make())
+    return kept[key][1]
 
 
 def open_store(uri: str):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, line_dedup, media, mixing, packing, tokens, url_filter, warc
+from tessera.llm import chat, exact_dedup, line_dedup, media, mixing, packing, tokens, toxicity, url_filter, warc
 from tessera.llm.common import text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("length", F.col("length").cast("bigint"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    return toxicity.score(docs, model)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = line_dedup.with_bitmaps(docs)
