@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, line_dedup, media, mixing, packing, tokens, toxicity, url_filter, warc
+from tessera.llm import chat, exact_dedup, line_dedup, media, mixing, ngram_join, packing, tokens, toxicity, url_filter, warc
 from tessera.llm.common import text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,4 +77,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "block_probability")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return ngram_join.join(docs)
+
+
 QUERIES: dict[str, Query] = {name: f for name, f in list(globals().items()) if name.startswith("op") and name[2].isdigit()}
