@@ -1,8 +1,62 @@
-"""The corpus pipeline: toxicity, line dedup, n-gram Jaccard join, source mix, packing."""
+"""The corpus pipeline: toxicity, line dedup, n-gram Jaccard join, source mix, packing.
 
-STAGES = []
+Each stage takes the documents that the one before kept and returns documents with the
+same columns; the last returns packed pieces. Every stage is judged on its own input:
+the toxicity model is fitted on labels of the documents at hand, line and n-gram
+statistics and the mix's budgets are those of what arrives.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import line_dedup, mixing, ngram_join, packing, tokens, toxicity
+from tessera.llm.common import text_of, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model predicts toxic go; all others stay as they are."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in many documents stay in one of them; every document stays, with ``n_chars`` of its new text."""
+    found = line_dedup.dedup_lines(docs)
+    return found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length(text_of())).cast(docs.schema["n_chars"].dataType))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of the n-gram join connect, the smallest id stays."""
+    return ngram_join.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as its source's target takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their place in a sequence."""
+    return packing.pack_documents(docs, tokens.default_tokenizer(), keep_ids=False)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("mixing sources to target weights", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Model scores and token ids can't be expressed in SQL; tests/llm compares the stages with plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
