@@ -17,12 +17,10 @@ by locator. An empty table gives no rows.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir, text_of, written
+from tessera.llm.common import settings, shared_dir, text_of, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FILES_PER_BATCH = 4096
@@ -38,18 +36,6 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-@contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def digest_rows(docs: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
     """Digest, identifier, length and locator of rows from a file source, streaming or not."""
     text = text_of(text_col)
@@ -84,7 +70,7 @@ def stream_groups(spark: SparkSession, path: str, schema: str, folder: str, id_c
 
     row_schema = "digest string, doc_id long, n_points long, file string, row long"
     rows = spark.readStream.schema(row_schema).option("maxFilesPerTrigger", files_per_batch).parquet(rows_at)
-    with _settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}):
+    with settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}):
         state = best_of(rows).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint-state")
         state.trigger(availableNow=True).start().awaitTermination()
     seen = spark.read.schema(row_schema).parquet(rows_at)
@@ -106,14 +92,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def unequal_digests(docs: DataFrame, seen: DataFrame, groups: DataFrame, text_col: str) -> DataFrame:
-    """Digests under which a row's full normalised bytes differ from those of the row that stays."""
+    """Digests under which a row's full normalised bytes differ from those of the row that stays, once for each such row.
+
+    They aren't made distinct here: an aggregate on the join's key would keep a common text in one task.
+    """
     several = groups.where(F.col("members") > 1).select("digest", F.col("best.file").alias("k_file"), F.col("best.row").alias("k_row"))
     stays = (F.col("file") == F.col("k_file")) & (F.col("row") == F.col("k_row"))
     hits = seen.select("digest", "file", "row").join(several, "digest").select("digest", "file", "row", stays.alias("stays"))
     content = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), text_of(text_col).alias("text"))
     texts = content.join(hits, ["file", "row"]).select("digest", "stays", normalised(F.col("text")).alias("text"))
     kept = texts.where("stays").select("digest", F.col("text").alias("kept_text"))
-    return texts.where("not stays").join(kept, "digest").where(F.col("text") != F.col("kept_text")).select("digest").distinct()
+    return texts.where("not stays").join(kept, "digest").where(F.col("text") != F.col("kept_text")).select("digest")
 
 
 def dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest=sha256, files_per_batch: int = FILES_PER_BATCH, folder: str | None = None) -> DataFrame:
