@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import per_process, written
+from tessera.llm.common import per_process, settings, written
 from tessera.llm.components import components
 
 N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -49,7 +49,8 @@ STRETCH = 25
 BLOCK = 512
 SMALL = 8  # buckets of so few members list their pairs outright
 SEED = 29
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 200_000  # word hashes that a worker remembers
+BATCH_ROWS = 1_000  # rows of an Arrow batch, so a batch of long texts stays small
 FEATURES = "doc_id long, set_hash binary, signature binary, bands array<long>"
 
 
@@ -149,8 +150,8 @@ def _features(n: int):
         shingler = per_process("shingler", lambda: Shingler(n), n)
         for batch in batches:
             sets, signatures, bands = [], [], []
-            for text in batch.column("text").to_pylist():
-                found = shingler.shingles(text or "")
+            for text in batch.column("text"):
+                found = shingler.shingles(text.as_py() or "")
                 least = shingler.minima(found)
                 sets.append(shingler.digest(found.tobytes()))
                 signatures.append(signature(least))
@@ -256,7 +257,7 @@ def _member_sets(n: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = per_process("shingler", lambda: Shingler(n), n)
         for batch in batches:
-            sets = [shingler.shingles(t or "").tobytes() for t in batch.column("text").to_pylist()]
+            sets = [shingler.shingles(t.as_py() or "").tobytes() for t in batch.column("text")]
             same = [shingler.digest(s) == h for s, h in zip(sets, batch.column("set_hash").to_pylist(), strict=True)]
             kept = [c for c in batch.schema.names if c not in ("text", "set_hash")]
             rows = pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sets, pa.binary())], [*kept, "shingles"])
@@ -327,6 +328,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     the number of other documents linked to this one, ``copy_id`` the smallest id with
     the same shingle set and ``copies`` how many documents have it.
     """
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}):  # every Python step below is written at once
+        return _join(docs, id_col, text_col, n, threshold, tolerance)
+
+
+def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, tolerance: float) -> DataFrame:
     limits = least_matches(threshold, tolerance)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     features = written(rows.mapInArrow(_features(n), FEATURES), "shingle-features")
