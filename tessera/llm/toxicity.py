@@ -90,13 +90,14 @@ class Model:
     shift: float
 
     def scorer(self):
-        weights = self.weights
+        weights = self.weights.tolist()
 
         class Words(dict):
             def __missing__(self, word: str) -> float:
                 if len(self) >= CACHE:
                     self.clear()
-                value = self[word] = float(weights[subwords(word, len(weights))].mean())
+                grams = subwords(word, len(weights))
+                value = self[word] = sum([weights[g] for g in grams]) / len(grams)
                 return value
 
         known = Words()
