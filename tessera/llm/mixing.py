@@ -2,10 +2,10 @@
 
 A document's size is its number of words (runs of ``[^\\x20\\x09-\\x0D]``). Documents
 are counted by (source, exact size). For each source the budget beyond whole copies
-is met by length counts: every length gives its proportional share, longest lengths
-then fill up to ``DP_LIMIT``, and bounded-knapsack dynamic programming fits the rest
-exactly where a subset allows. Which documents of a length are taken is decided by
-rank of a seeded hash of their id.
+is met by length counts: every length gives its proportional share of all but the last
+``DP_LIMIT`` words, what rounding left is filled by longest lengths, and
+bounded-knapsack dynamic programming fits the rest, exactly where a subset allows.
+Which documents of a length are taken is decided by rank of a seeded hash of their id.
 
 The driver holds one row for each source name, and a task one source's histogram (a
 row for each distinct size); documents stay distributed, and ranks within a length
@@ -93,7 +93,8 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, limit: int
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    taken = np.array([int(n) * budget // total for n in counts], dtype=np.int64)  # Python integers: the product may pass 64 bits
+    shared = max(0, budget - limit)  # the rest is left to the knapsack, which needs room to fit exactly
+    taken = np.array([int(n) * shared // total for n in counts], dtype=np.int64)  # Python integers: the product may pass 64 bits
     rest = budget - int((taken * lengths).sum())
     for i in np.argsort(-lengths, kind="stable"):
         if rest <= limit:
