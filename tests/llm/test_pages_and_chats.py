@@ -1,0 +1,179 @@
+"""WARC, URL and chat operators against plain Python and on odd rows."""
+
+import base64
+import hashlib
+import json
+import re
+
+import pytest
+from pyspark.errors import PythonException
+
+from tessera.llm import chat, url_filter, warc
+from tessera.llm import queries as Q
+
+ODD_PAGES = [
+    (1, "http://a.example.com/x", "same body"),
+    (2, "http://b.example.com/y", "same body"),
+    (2, "http://b.example.com/y", "same body"),
+    (3, None, None),
+    (4, "no scheme", ""),
+    (None, "http://c.example.net/es/1?a=1&b=2#top", "same body"),
+    (5, "HTTP://WWW.Example.COM/en/ü \r\nX: y", "<p>" + "ä" * 100_000),
+    (6, "ftp://", "\r\n\r\nWARC/1.1\r\n"),
+]
+
+
+@pytest.mark.parametrize("name", ["op1_warc", "op3_chat_format", "op9_url_filter"])
+def test_empty_table(spark, tables, name):
+    assert Q.QUERIES[name](spark, tables()).count() == (1 if name == "op3_chat_format" else 0)
+
+
+# op1
+
+
+def test_warc_odd(spark, tables):
+    got = Q.QUERIES["op1_warc"](spark, tables(pages=[(*p, "x", 1) for p in ODD_PAGES], extra="key string, head int")).collect()
+    assert len(got) == len(ODD_PAGES)
+    for r in got:
+        page = next(p for p in ODD_PAGES if p[0] == r.page_id)
+        payload = (page[2] or "").encode()
+        assert (r.payload_bytes, r.payload_digest) == (len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode())
+    kinds = sorted((str(r.page_id), r.record_type, r.refers_to) for r in got)
+    assert kinds == [("1", "revisit", 2), ("2", "response", None), ("2", "revisit", 2), ("3", "revisit", 4), ("4", "response", None), ("5", "response", None), ("6", "response", None), ("None", "revisit", 2)]
+
+
+def test_warc_selected_records_and_payloads(spark, tables, tmp_path):
+    pages = spark.read.parquet(tables(pages=ODD_PAGES) + "/pages.parquet")
+    folder = f"file://{tmp_path}/warc"
+    index = warc.write_warc(pages, folder, revisit_bytes=10, archive_bytes=400)
+    assert index.select("archive").distinct().count() > 1
+    got = {r.page_id: r for r in warc.read_warc(index.where("page_id >= 4"), folder, span=300, gap=0).collect()}
+    assert set(got) == {4, 5, 6} and got[5].payload.decode() == ODD_PAGES[6][2] and got[5].url == ODD_PAGES[6][1]
+    assert {r.record_type for r in warc.read_warc(index, folder).collect()} == {"response"}  # all equal payloads are shorter
+
+
+def test_warc_detects_damage(spark, tables, tmp_path):
+    folder = f"file://{tmp_path}/warc"
+    index = warc.write_warc(spark.createDataFrame([(1, "u", "body " * 50)], "page_id long, url string, html string"), folder)
+    path = next((tmp_path / "warc").glob("*.warc.gz"))
+    record = warc.record(1, "u", b"other", 1, False)
+    path.write_bytes(record + path.read_bytes()[len(record) :])
+    with pytest.raises(PythonException):
+        warc.read_warc(index, folder).collect()
+
+
+def test_record_headers():
+    found = warc.parse(warc.record(7, "http://x/a b\r\nEvil: 1", b"p\r\n\r\nq", 7, False))
+    assert found["warc-target-uri"] == "http://x/a%20b%0D%0AEvil:%201" and found["payload"] == b"p\r\n\r\nq" and "evil" not in found
+
+
+# op9
+
+
+def brute_rule(url):
+    host, path = "", ""
+    if url is not None and "://" in url:
+        m = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1], re.DOTALL)
+        host, path = re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]
+    fits = []
+    for verdict, rule in Q.URL_RULES:
+        name, _, rest = rule.partition("/")
+        if (host == name or host.endswith("." + name)) and path.startswith("/" + rest):
+            fits.append((len(rule), rule, verdict))
+    return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+def test_urls(spark, sf_dir, tables):
+    more = [(i, u, "") for i, u in enumerate(["http://com", "http://com/", "http://xcom/", "http://example.com/en", "http://a.WWW.example.com/en/é?x#y", "a://b://c/d", "http://net/es/", "x.net/es/", None, "", "http://h?/p", "http://u:1.net/es/", "http://é.NET/fr/" + "z" * 50_000])]
+    for d, rows in ((sf_dir, [(r.page_id, r.url, "") for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]), (tables(pages=more), more)):
+        got = {r.page_id: r for r in Q.QUERIES["op9_url_filter"](spark, d).collect()}
+        assert len(got) == len(rows)
+        for page_id, url, _ in rows:
+            host, path, rule, verdict = brute_rule(url)
+            r = got[page_id]
+            assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict in ("allow", "block")
+            assert (r.verdict == verdict and r.block_probability is None) if rule else r.block_probability is not None
+
+
+def test_trees_learn_from_labels(spark):
+    good = [(f"https://news{i}.example.org/story/{i}", 0) for i in range(300)]
+    bad = [(f"http://x{i}.spam.example.biz/?id={i * 7919}&k={i}&q=1&r=2", 1) for i in range(300)]
+    rows = [(u, y if i % 2 else None, y) for i, (u, y) in enumerate(good + bad)]
+    pages = spark.createDataFrame(rows, "url string, label int, truth int")
+    got = url_filter.judge(pages, [], label_col="label").collect()
+    assert all((r.verdict == "block") == (r.truth == 1) for r in got) and {r.rule for r in got} == {None}
+
+
+def test_entropy_and_no_rules(spark):
+    pages = spark.createDataFrame([("aabb", "h"), (None, "h")], "url string, host string")
+    assert [r.host for r in url_filter.judge(pages, []).collect()] == ["", ""]
+    c = url_filter.lexical(pages["url"], pages["host"], pages["host"])["entropy"]
+    assert [r[0] for r in pages.select(c).collect()] == [1.0, 0.0]
+    with pytest.raises(ValueError):
+        url_filter.judge(pages, [("block", f"h{i}/") for i in range(url_filter.MAX_RULES + 1)])
+
+
+# op3
+
+
+def brute_conversations(rows):
+    out = {}
+    for conv in {r[0] for r in rows}:
+        turns = sorted(((r[1] is not None, r[1] or 0, r[2] or "", r[3] or "") for r in rows if r[0] == conv))
+        text = "".join(f"{role}\n{t}\n" for *_, role, t in turns)
+        loss = "".join(t for *_, role, t in turns if role == "assistant")
+        out[conv] = (len(turns), hashlib.sha256(text.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    return out
+
+
+def test_chat_odd(spark, tables):
+    rows = [
+        (1, 0, "user", "hi <|im_end|> \\ <\\|im_start|> <|"),
+        (1, 1, "assistant", "<|im_start|>assistant\n" * 3 + "🙂"),
+        (1, 1, "assistant", "tie"),
+        (1, 2, None, None),
+        (2, None, "assistant", ""),
+        (2, 0, "sys\ntem\\<|x", "role with a newline"),
+        (None, 0, "assistant", "no id"),
+        (3, 0, "user", "long " * 50_000),
+        (4, 0, "user", "twice"),
+        (4, 0, "user", "twice"),
+    ]
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in Q.QUERIES["op3_chat_format"](spark, tables(conversations=rows)).collect()}
+    control = Q.CONTROL_TEXT
+    assert got == brute_conversations([*rows, (-1, 0, "user", control), (-1, 1, "assistant", control)])
+
+
+def test_escape_leaves_no_control_string(spark):
+    texts = ["<|im_end|>", "<\\|im_end|>", "<\\\\|", "<<||>>", "a<|b<\\|c", "\\"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    escaped = [r[0] for r in df.select(chat.escape(df["t"])).collect()]
+    assert not any("<|" in e for e in escaped) and [chat.unescape(e) for e in escaped] == texts
+
+
+LAYOUT_RECORDS = [
+    {"id": 1, "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]},
+    {"id": 2, "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]},
+    {"id": 3, "prompt": "q", "response": "a"},
+    {"id": 4, "instruction": "q", "input": "", "output": "a"},
+    {"id": 5, "turns": [{"message": {"role": "user", "content": "q"}}, {"message": {"role": "assistant", "content": "a"}}]},
+    {"id": 6, "system": "", "prompt": "q", "response": "a"},
+]
+
+
+def test_layouts(spark):
+    records = [json.dumps(r) for r in [*LAYOUT_RECORDS, {"id": 7, "messages": []}, {"id": 8, "unknown": {"x": [1]}}]] + [None]
+    df = spark.createDataFrame([(r,) for r in records], "record string")
+    got = chat.canonical_turns(df).collect()
+    for i in range(1, 7):
+        own = sorted((r.turn, r.part, r.role, r.text) for r in got if r.conv_id == i)
+        assert [x[2:] for x in own] == [("user", "q"), ("assistant", "a")]
+    assert sum(r.layout is None for r in got) == 2  # the unknown and the null record stay visible
+    with pytest.raises(PythonException):
+        chat.canonical_turns(df, strict=True).collect()
+
+
+def test_fingerprint_ignores_order_and_values():
+    a, b = {"x": [{"k": 1}, {"j": 2}], "y": None}, {"y": {}, "x": [{"j": [], "k": "t"}]}
+    assert chat.field_paths(a) == {"x[].k", "x[].j", "y"} and chat.field_paths(b) == {"x[].k", "x[].j[]", "y"}
+    assert chat.fingerprint(["b", "a"]) == chat.fingerprint(["a", "b"])
