@@ -2,9 +2,9 @@
 
 Every round writes its edges to the shared folder, so lineage stays short and a lost
 executor costs one round. Before a round, each partition contracts its own edges with
-union-find, in memory bounded by the partition. Minima by node are combined before
-their shuffle, and a node with very many edges is only ever joined, so adaptive
-execution can split it.
+union-find, in memory bounded by the partition, and equal edges become one. Minima by
+node are combined before their shuffle and written, so both sides of the join with a
+root's many edges are plain shuffles, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _round(edges: DataFrame) -> DataFrame:
     """Edges (node, smaller node) after one large-star and one small-star step."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+    least = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")), "component-minima")
     large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
     small = large.join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
@@ -69,9 +69,9 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of every node with an edge to another; root is the component's smallest node and isn't itself listed."""
-    now = written(edges.where("a != b").select("a", "b").mapInArrow(_contract, EDGES), "component-edges")
+    now = written(edges.where("a != b").select("a", "b").mapInArrow(_contract, EDGES).distinct(), "component-edges")
     before = None
     while (state := _state(now)) != before and state[0]:
         before = state
-        now = written(_round(now).mapInArrow(_contract, EDGES), "component-edges")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()
+        now = written(_round(now).mapInArrow(_contract, EDGES).distinct(), "component-edges")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
