@@ -12,17 +12,46 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\f\r"
 
 
+_roots: list[str] = []  # of open scratch blocks, innermost last
+
+
+def _base(spark: SparkSession) -> str:
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    import atexit
+    import shutil
+    import sys
+    import tempfile
+
+    module = sys.modules[__name__].__dict__
+    if "_local" not in module:  # one for each driver process, removed when it ends
+        module["_local"] = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, module["_local"], ignore_errors=True)
+    return f"file://{module['_local']}"
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
     Only where that setting is absent, as in a local test, is a local folder used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
+    return f"{_roots[-1] if _roots else _base(spark)}/{name}-{uuid.uuid4().hex}"
 
-        base = f"file://{tempfile.gettempdir()}/tessera-shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Puts the operators' intermediate tables into one folder and deletes it at the end.
+
+    Results are lazy, so write them inside the block.
+    """
+    root = f"{_base(spark)}/scratch-{uuid.uuid4().hex}"
+    _roots.append(root)
+    try:
+        yield root
+    finally:
+        _roots.remove(root)
+        remove(spark, root)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -89,7 +118,10 @@ def ranked(df: DataFrame, keys: list[str], order: str, buckets: int, rank: str =
 
 
 def per_process(key: str, make, version: object = None):
-    """An object made once in each Python worker, such as a loaded vocabulary; another version replaces it.
+    """An object made once in each Python worker, such as a loaded vocabulary.
+
+    A worker serves one operator at a time and keeps the latest object only: another
+    key or version replaces it, so the operators of a pipeline don't add up.
 
     Functions travel by value, so a module's own globals wouldn't last; a module
     entry of the worker's interpreter does.
@@ -98,9 +130,10 @@ def per_process(key: str, make, version: object = None):
     import types
 
     kept = sys.modules.setdefault("_tessera_kept", types.ModuleType("_tessera_kept")).__dict__
-    if key not in kept or kept[key][0] != version:
-        kept[key] = (version, make())
-    return kept[key][1]
+    if kept.get("key") != (key, version):
+        kept.pop("value", None)
+        kept |= {"value": make(), "key": (key, version)}
+    return kept["value"]
 
 
 def open_store(uri: str):

@@ -40,9 +40,9 @@ def _pieces(tokenizer: str, size: int, end_id: int, keep_ids: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = per_process(f"encoder {tokenizer}", lambda: load_encoder(tokenizer))
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             owner, start, length, crc, total, kept = [], [], [], [], [], []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode([t or "" for t in texts]), strict=True):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                (ids,) = encode([text.as_py() or ""])  # one text's ids at a time: as Python numbers they are large
                 data = np.asarray([*ids, end_id], dtype="<u4").tobytes()
                 n = len(data) // 4
                 for at in range(0, n, size):

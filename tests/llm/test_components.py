@@ -33,6 +33,17 @@ def test_components(spark, shape):
     assert {r.node: r.root for r in components(df).collect()} == brute(edges)
 
 
+def test_scratch_is_deleted(spark, tmp_path):
+    import os
+
+    from tessera.llm.common import scratch, written
+
+    with scratch(spark) as root:
+        assert written(spark.range(5), "rows").count() == 5
+        assert os.path.isdir(root.removeprefix("file://"))
+    assert not os.path.exists(root.removeprefix("file://"))
+
+
 def test_groups_are_cut_only_between_keys():
     import pyarrow as pa
 
