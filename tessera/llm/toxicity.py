@@ -23,6 +23,7 @@ labels (0 without labels). Repeated rows give equal scores; an empty table gives
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -40,7 +41,7 @@ GRAMS = (3, 4, 5)
 DIM, EPOCHS, BATCH, UPDATES, RATE = 8, 10, 128, 600, 0.5
 MIN_DOCS = 5  # n-grams of fewer training documents have no vector: they could only memorise
 FLOOR = 1e-3  # squared gradients that every n-gram starts from: higher damps those of few documents
-TOXIC_DOCS, CLEAN_DOCS = 2_500, 7_500
+TOXIC_DOCS, CLEAN_DOCS = 2_000, 6_000
 THRESHOLD = 0.3
 SEED = 23
 EDGES = ".,;:!?\"'()[]{}<>*%&$#|_-…«»“”"
@@ -114,13 +115,22 @@ class Model:
 class _Corpus:
     """Training texts as word numbers, and each word's n-gram buckets in one flat array."""
 
-    def __init__(self, texts: list[str], buckets: int):
+    def __init__(self, texts: Iterable[str], buckets: int):
         number: dict[str, int] = {"": 0}
-        self.docs = [np.fromiter((number.setdefault(w, len(number)) for w in fresh_words(t)), np.int32) for t in texts]
-        grams = [np.array(subwords(w, buckets) if w else [0], dtype=np.int32) for w in number]
-        self.size = np.array([len(g) for g in grams], dtype=np.int64)
+        size, flat = array("i", [1]), array("i", [0])
+        self.docs = []
+        for text in texts:
+            words = fresh_words(text)
+            for w in words:
+                if w not in number:
+                    number[w] = len(number)
+                    grams = subwords(w, buckets)
+                    size.append(len(grams))
+                    flat.extend(grams)
+            self.docs.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+        self.size = np.array(size, dtype=np.int64)
         self.start = np.concatenate(([0], np.cumsum(self.size)))[:-1]
-        self.flat = np.concatenate(grams)
+        self.flat = np.array(flat, dtype=np.int32)
 
     def document_counts(self, docs: np.ndarray, buckets: int) -> np.ndarray:
         """In how many of the documents each bucket occurs."""
@@ -163,7 +173,7 @@ def _logistic(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tupl
     return float(theta[0] / scale), float(theta[1])
 
 
-def train(texts: list[str], labels: list[int], toxic_share: float | None = None, buckets: int = BUCKETS, seed: int = SEED) -> Model:
+def train(texts: Iterable[str], labels: list[int], toxic_share: float | None = None, buckets: int = BUCKETS, seed: int = SEED) -> Model:
     """Fits vectors and softmax together. ``toxic_share`` is the share among labels where the sample's differs."""
     label = np.array(labels, dtype=np.int64)
     share = float(label.mean()) if len(label) else 0.0
@@ -251,10 +261,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = [ids.where(F.col("toxic") == k).orderBy("place", "label_id").limit(n) for k, n in ((1, toxic_docs), (0, clean_docs))]
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most toxic_docs + clean_docs ids
     found = docs.select(F.col(id_col).alias("label_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(sample, "label_id")
-    rows = {(r["place"], r["label_id"], r["text"], r["toxic"]) for r in found.collect()}
-    ordered = sorted(rows)
-    total = sum(counts.values())
-    return train([r[2] for r in ordered], [r[3] for r in ordered], counts.get(1, 0) / total if total else None)
+    # repeated rows are one; sorted, so the order of arrival changes nothing
+    rows = sorted({tuple(r) for r in found.select("place", "label_id", "toxic", "text").collect()}, reverse=True)
+    labels_of, total = [r[2] for r in reversed(rows)], sum(counts.values())
+    texts = (rows.pop()[3] for _ in labels_of)  # each text is let go once it is read
+    return train(texts, labels_of, counts.get(1, 0) / total if total else None)
 
 
 def _score(model):
@@ -262,9 +273,8 @@ def _score(model):
         kept = model.value
         score = per_process("toxicity", kept.scorer, zlib.crc32(kept.weights.tobytes()))
         for batch in batches:
-            text = batch.column("_score_text").to_pylist()
             names = [n for n in batch.schema.names if n != "_score_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([score(t or "") for t in text], pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([score(t.as_py() or "") for t in batch.column("_score_text")], pa.float64())], [*names, "score"])
 
     return run
 
