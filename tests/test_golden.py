@@ -13,7 +13,7 @@ from tessera.operators import graph as G
 from tessera.operators import weights as W
 from tessera.plans.sweep import sweep_edges
 from tessera.sources import text as T
-from tessera.sources.sinks import edge_lines, posting_lines, write_text
+from tessera.sources.sinks import edge_lines, posting_lines, write_edges, write_text
 
 LINES = ["1:2,2:1,3:1 %a", "1:1,2:3 %b", "2:1,4:2 %c", "4:1,5:1,6:-1 %d", " %z", "", None]
 
@@ -94,6 +94,12 @@ def test_sweep_equals_single_runs(postings):
     assert {t: swept.get(t, {}) for t in steps} == {t: edges(G.similarity_graph(postings, t)) for t in steps}
 
 
+def test_sweep_is_published_by_threshold(spark, postings, tmp_path):
+    write_edges(sweep_edges(postings, (0.0, 0.1)), str(tmp_path / "sweep"), "threshold")
+    assert {p.name for p in (tmp_path / "sweep").glob("threshold=*")} == {"threshold=0.0", "threshold=0.1"}
+    assert spark.read.parquet(str(tmp_path / "sweep")).where("threshold = 0.1").count() == 2
+
+
 def test_parser_quirks(spark):
     got = T.parse_features(lines(spark, ["1:2,1:3\t%e", "1:2,3 %f", "1:2 %g junk", "x:1 %h"])).collect()
     assert sorted((r.image_id, r.feature_id or -1, r.value) for r in got) == [("e", 1, 2.0), ("e", 1, 3.0), ("f", 1, 2.0), ("g", 1, 2.0), ("h", -1, 1.0)]
