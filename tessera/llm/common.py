@@ -80,6 +80,11 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def small_batches(rows: int = 1_000) -> dict[str, str]:
+    """Settings for steps that send texts to Python and are written at once: an Arrow batch of long texts stays small."""
+    return {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}
+
+
 def text_of(column: str = "text") -> Column:
     """A text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))

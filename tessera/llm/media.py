@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tessera.llm.common import open_store, shared_dir
+from tessera.llm.common import open_store, settings, shared_dir, small_batches
 
 WIDTH = 576
 ARCHIVE_BYTES = 64 << 20
@@ -116,7 +116,8 @@ def _write(folder: str, archive_bytes: int):
 def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Archives of all rows' payloads below ``folder``, with their manifest."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("data"))
-    rows.mapInArrow(_write(folder, archive_bytes), "archive string, members long, bytes long").write.parquet(f"{folder}/_manifest")
+    with settings(docs.sparkSession, small_batches()):
+        rows.mapInArrow(_write(folder, archive_bytes), "archive string, members long, bytes long").write.parquet(f"{folder}/_manifest")
 
 
 class ByteRange(InputPartition):

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import per_process, settings, written
+from tessera.llm.common import per_process, settings, small_batches, written
 from tessera.llm.components import components
 
 N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -49,8 +49,7 @@ STRETCH = 25
 BLOCK = 512
 SMALL = 8  # buckets of so few members list their pairs outright
 SEED = 29
-WORDS_KEPT = 200_000  # word hashes that a worker remembers
-BATCH_ROWS = 1_000  # rows of an Arrow batch, so a batch of long texts stays small
+WORDS_KEPT = 100_000  # word hashes that a worker remembers
 FEATURES = "doc_id long, set_hash binary, signature binary, bands array<long>"
 
 
@@ -328,7 +327,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     the number of other documents linked to this one, ``copy_id`` the smallest id with
     the same shingle set and ``copies`` how many documents have it.
     """
-    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}):  # every Python step below is written at once
+    with settings(docs.sparkSession, small_batches()):  # every Python step below is written at once
         return _join(docs, id_col, text_col, n, threshold, tolerance)
 
 

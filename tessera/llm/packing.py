@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bucket_count, per_process, ranked, written
+from tessera.llm.common import bucket_count, per_process, ranked, settings, small_batches, written
 from tessera.llm.tokens import load_encoder
 
 SIZE = 1024
@@ -141,4 +141,6 @@ def pack(parts: DataFrame, size: int = SIZE, seed: int = SEED) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, **options: object) -> DataFrame:
     """Documents straight to placed pieces."""
-    return pack(written(pieces(docs, tokenizer, size=size, **options), "pieces"), size)
+    with settings(docs.sparkSession, small_batches()):
+        parts = written(pieces(docs, tokenizer, size=size, **options), "pieces")
+    return pack(parts, size)

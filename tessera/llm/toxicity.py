@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ TOXIC_DOCS, CLEAN_DOCS = 2_000, 6_000
 THRESHOLD = 0.3
 SEED = 23
 EDGES = ".,;:!?\"'()[]{}<>*%&$#|_-…«»“”"
-CACHE = 400_000
+CACHE = 100_000
 
 
 def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
@@ -268,31 +269,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(texts, labels_of, counts.get(1, 0) / total if total else None)
 
 
-def _score(model):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = model.value
-        score = per_process("toxicity", kept.scorer, zlib.crc32(kept.weights.tobytes()))
+def scored(text: Column, model: Model) -> Column:
+    """Score of a text column. Only the text reaches Python; other columns stay in the JVM."""
+    sent = SparkContext.getOrCreate().broadcast(model)
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kept = sent.value
+        one = per_process("toxicity", kept.scorer, zlib.crc32(kept.weights.tobytes()))
         for batch in batches:
-            names = [n for n in batch.schema.names if n != "_score_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([score(t.as_py() or "") for t in batch.column("_score_text")], pa.float64())], [*names, "score"])
+            yield pa.array([one(t.as_py() or "") for t in batch], pa.float64())
 
-    return run
+    return run(text)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` of every whole text. Only text and id reach Python; the id isn't read there."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_score_text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(_score(sent), f"doc_id {kind}, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+    """``(doc_id, held_out, score, predicted)`` of every whole text."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), scored(F.col(text_col), model).alias("score"))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The documents below the threshold, all columns as they were."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
-    plain = docs.toDF(*(f"in_{n}" for n in names)).withColumn("_score_text", F.col(f"in_{text_col}"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name != "_score_text")
-    scored = plain.mapInArrow(_score(sent), f"{schema}, score double").where(F.col("score") < THRESHOLD)
-    return scored.select(*(F.col(f"in_{n}").alias(n) for n in names))
+    plain = docs.toDF(*(f"in_{n}" for n in names))
+    clean = plain.withColumn("score", scored(F.col(f"in_{text_col}"), model)).where(F.col("score") < THRESHOLD)
+    return clean.select(*(F.col(f"in_{n}").alias(n) for n in names))
