@@ -8,7 +8,8 @@ n-grams with words that were.
 Documents are read as overlapping bags of ``WINDOW`` words and a document's score
 comes from its most toxic bag, so one passage shows in a text of any length. Labels
 are given for documents only: in training, the bag that scores highest stands for its
-document, beside a random one of clean documents. The top bag's margin becomes a
+document, beside a random one of clean documents. Vectors start from the n-grams' log
+odds, so the first bags picked are telling ones. The top bag's margin becomes a
 probability by a logistic fit on labelled documents kept out of training.
 
 The model is fitted on the driver from at most ``TOXIC_DOCS`` and ``CLEAN_DOCS``
@@ -39,22 +40,26 @@ BUCKETS = 1 << 17
 WINDOW, STRIDE = 40, 20
 LEAST_WORDS = 8  # a shorter bag counts as this many, the rest zero vectors
 GRAMS = (3, 4, 5)
-DIM, EPOCHS, BATCH, UPDATES, RATE = 8, 10, 128, 600, 0.5
+GRAM_BYTES = tuple(4 * n for n in GRAMS)  # in UTF-32
+DIM, EPOCHS, BATCH, UPDATES, RATE = 8, 6, 128, 200, 0.5
+PRIOR, START = 4.0, 2.0  # documents that the log odds are drawn by, and their weight in the first vectors
+EMPTY_SHARE = 0.15
 MIN_DOCS = 5  # n-grams of fewer training documents have no vector: they could only memorise
 FLOOR = 1e-3  # squared gradients that every n-gram starts from: higher damps those of few documents
 TOXIC_DOCS, CLEAN_DOCS = 2_000, 6_000
 THRESHOLD = 0.3
 SEED = 23
 EDGES = ".,;:!?\"'()[]{}<>*%&$#|_-…«»“”"
-CACHE = 100_000
+CACHE = 300_000
 
 
 def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
     """Buckets of a word's n-grams and of the whole word, without marks at its ends, lower-cased."""
     whole = f"<{(word.strip(EDGES) or word).lower()}>"
     data = whole.encode("utf-32-le")
-    found = [zlib.crc32(data[4 * i : 4 * (i + n)]) % buckets for n in GRAMS for i in range(len(whole) - n + 1)]
-    found.append(zlib.crc32(data, 1) % buckets)
+    crc, last, top = zlib.crc32, len(data) + 1, buckets - 1  # buckets is a power of two
+    found = [crc(data[i : i + size]) & top for size in GRAM_BYTES for i in range(0, last - size, 4)]
+    found.append(crc(data, 1) & top)
     return found
 
 
@@ -191,24 +196,28 @@ def train(texts: Iterable[str], labels: list[int], toxic_share: float | None = N
     w = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
     b = np.zeros(2, np.float32)
     seen_e, seen_w, seen_b = np.full_like(e, FLOOR), np.full_like(w, FLOOR), np.full_like(b, FLOOR)
-    common = corpus.document_counts(fitted, buckets) >= MIN_DOCS
+    toxic, clean = (corpus.document_counts(fitted[label[fitted] == k], buckets) for k in (1, 0))
+    common = toxic + clean >= MIN_DOCS
+    # start along one axis from smoothed log odds of an n-gram's documents, so the first bags picked are telling ones
+    n_clean, n_toxic = np.bincount(label[fitted], minlength=2)
+    expected = PRIOR * n_toxic / len(fitted)
+    w[0] = -1.0, 1.0
+    e[:, 0] += START * (np.log((toxic + expected) / (n_toxic + PRIOR)) - np.log((clean + PRIOR - expected) / (n_clean + PRIOR)))
     e[~common] = 0.0
     boost = np.where(label == 1, min(4.0, (1 - share) / share), 1.0)
     batch = BATCH if len(fitted) > 4_000 else BATCH // 4
     rounds = max(EPOCHS, -(-UPDATES * batch // len(fitted)))  # few labels are gone through more often
     for epoch in range(rounds):
-        values = corpus.word_values(e @ (w[:, 1] - w[:, 0])) if epoch >= 2 else None
+        values = corpus.word_values(e @ (w[:, 1] - w[:, 0]))
         bags = []
         for d in fitted:
             words = corpus.docs[d]
             spans = windows(len(words))
             random_one = spans[rng.integers(len(spans))]
-            chosen = [random_one] if values is None else [_top_bag(values[words])]
-            if values is not None and label[d] == 0:
-                chosen.append(random_one)
+            chosen = [_top_bag(values[words])]
             if label[d] == 0:  # clean bags of every length, and empty ones
-                a, z = chosen[-1]
-                chosen[-1] = (a, a + rng.integers(z - a + 1))
+                a, z = random_one
+                chosen.append((a, a + rng.integers(z - a + 1)))
             bags += [(words[a:z], int(label[d]), boost[d] / len(chosen)) for a, z in chosen]
         order = rng.permutation(len(bags))
         rate = RATE * (1 - epoch / rounds)
@@ -241,7 +250,9 @@ def train(texts: Iterable[str], labels: list[int], toxic_share: float | None = N
     margin = np.array([bag_means(values[corpus.docs[d]]).max() + bias for d in used])
     known = share if toxic_share is None else toxic_share
     weight = np.where(label[used] == 1, known / share, (1 - known) / (1 - share))
-    slope, shift = _logistic(margin, label[used].astype(float), weight)
+    # an empty text counts as clean rows, so that saying nothing can't look toxic
+    weight = np.append(weight, EMPTY_SHARE * weight[label[used] == 0].sum())
+    slope, shift = _logistic(np.append(margin, bias), np.append(label[used], 0).astype(float), weight)
     return Model(weights, bias, slope, shift)
 
 
