@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the pool of images without one.
@@ -30,12 +30,17 @@ def cluster_pairs(members: DataFrame) -> DataFrame:
     return joined.select(F.col("a.image_id").alias("image_a"), F.col("b.image_id").alias("image_b")).distinct()
 
 
+def eligible_flags(a: Column, b: Column) -> Column:
+    """Whether a pair is to be computed: flags differ, or both are ``in``."""
+    return (a != b) | ((a == "in") & (b == "in"))
+
+
 def flagged_pairs(members: DataFrame) -> DataFrame:
     """Candidate pairs without those whose equal flags aren't ``in``: old against old isn't computed again."""
     own = members.select("cluster_id", "image_id", "sample_flag")
     a, b = own.alias("a"), own.alias("b")
     fa, fb = F.col("a.sample_flag"), F.col("b.sample_flag")
-    joined = a.join(b, (F.col("a.cluster_id") == F.col("b.cluster_id")) & (F.col("a.image_id") < F.col("b.image_id")) & ((fa != fb) | ((fa == "in") & (fb == "in"))))
+    joined = a.join(b, (F.col("a.cluster_id") == F.col("b.cluster_id")) & (F.col("a.image_id") < F.col("b.image_id")) & eligible_flags(fa, fb))
     return joined.select(F.col("a.image_id").alias("image_a"), F.col("b.image_id").alias("image_b")).distinct()
 
 

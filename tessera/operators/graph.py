@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.candidates import cluster_ids, cluster_left_join, cluster_pairs, flagged_pairs
+from tessera.operators.candidates import cluster_ids, cluster_left_join, cluster_pairs, eligible_flags, flagged_pairs
 
 
 def _contributions(postings: DataFrame, keys: list[str], carry: tuple[str, ...] = (), residual: Column | None = None, product: Column | None = None) -> DataFrame:
@@ -72,52 +72,66 @@ def overlapping_cluster_graph(postings: DataFrame, members: DataFrame, threshold
     return _summed(_contributions(rows, ["feature_id", "cluster_id"]))
 
 
-def _candidate_contributions(postings: DataFrame, candidates: DataFrame, product: Column) -> DataFrame:
-    """Candidates joined to both images' postings: the cost follows the candidates' vectors rather than the squares of posting lists."""
-    own = postings.select("feature_id", "image_id", "w_norm")
+def _pool_contributions(rows: DataFrame, members: DataFrame, product: Column, flagged: bool = False) -> DataFrame:
+    """Pairs joined by (feature, pool), a feature once for each pair: the cost follows pairs that share both, and no candidate pair is listed."""
+    flag = ("sample_flag",) if flagged else ()
+    own = rows.select("image_id", "feature_id", "w_norm").join(members.select("image_id", "cluster_id", *flag).distinct(), "image_id")
+    residual = eligible_flags(F.col("a.sample_flag"), F.col("b.sample_flag")) if flagged else None
+    found = _contributions(own, ["feature_id", "cluster_id"], flag, residual, product)
+    return found.dropDuplicates(["image_a", "image_b", "feature_id"])
+
+
+def _candidate_contributions(rows: DataFrame, candidates: DataFrame, product: Column) -> DataFrame:
+    """Candidates joined to both images' postings: the cost follows the candidates' vectors."""
+    own = rows.select("feature_id", "image_id", "w_norm")
     left = candidates.join(own.alias("a"), F.col("image_a") == F.col("a.image_id"))
     both = left.join(own.alias("b"), (F.col("image_b") == F.col("b.image_id")) & (F.col("a.feature_id") == F.col("b.feature_id")))
     return both.select("image_a", "image_b", product.alias("contribution"))
 
 
-def _on_candidates(postings: DataFrame, candidates: DataFrame, threshold: float, edges: str) -> DataFrame:
-    rows = postings.where(F.col("w") > threshold)
-    if edges == "candidates":
-        found = _candidate_contributions(rows, candidates, F.col("a.w_norm") * F.col("b.w_norm"))
+def _on_candidates(rows: DataFrame, members: DataFrame, plan: str, flagged: bool = False) -> DataFrame:
+    """Positive sums over pairs that share a pool, by one of three plans with the same result.
+
+    ``pools`` joins by (feature, pool). ``candidates`` lists the candidate pairs first,
+    which suits small pools and long posting lists. ``features`` joins by feature and
+    semi-joins the candidates below the sum, which suits pools that hold most images.
+    """
+    product = F.col("a.w_norm") * F.col("b.w_norm")
+    if plan == "pools":
+        return _summed(_pool_contributions(rows, members, product, flagged)).where(F.col("similarity") > 0)
+    pairs = flagged_pairs(members) if flagged else cluster_pairs(members)
+    if plan == "candidates":
+        found = _candidate_contributions(rows, pairs, product)
+    elif plan == "features":
+        found = _contributions(rows, ["feature_id"], product=product).join(pairs, ["image_a", "image_b"], "left_semi")
     else:
-        found = _contributions(rows, ["feature_id"]).join(candidates, ["image_a", "image_b"], "left_semi")
+        raise ValueError(f"no plan {plan!r}")
     return _summed(found).where(F.col("similarity") > 0)
 
 
-def candidate_graph(postings: DataFrame, members: DataFrame, threshold: float = 0.0, plan: str = "candidates") -> DataFrame:
-    """Pairs that share a pool, kept where the sum is positive.
-
-    ``plan`` picks what drives the join: ``candidates``, or ``features`` with a
-    semi-join below the sum, which suits pools so large that candidates outnumber
-    the pairs that share a feature.
-    """
-    return _on_candidates(postings, cluster_pairs(members), threshold, plan)
+def candidate_graph(postings: DataFrame, members: DataFrame, threshold: float = 0.0, plan: str = "pools") -> DataFrame:
+    """Pairs that share a pool, kept where the sum is positive."""
+    return _on_candidates(postings.where(F.col("w") > threshold), members, plan)
 
 
-def progressive_graph(postings: DataFrame, flagged: DataFrame, threshold: float = 0.0, plan: str = "candidates") -> DataFrame:
+def progressive_graph(postings: DataFrame, flagged: DataFrame, threshold: float = 0.0, plan: str = "pools") -> DataFrame:
     """As ``candidate_graph`` without pairs of two old images."""
-    return _on_candidates(postings, flagged_pairs(flagged), threshold, plan)
+    return _on_candidates(postings.where(F.col("w") > threshold), flagged, plan, flagged=True)
 
 
-def _float_graph(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+def _float_graph(rows: DataFrame, members: DataFrame, plan: str) -> DataFrame:
     """Weights and products in 32 bits, summed in 64 so that the result doesn't depend on the order."""
-    narrow = rows.withColumn("w_norm", F.col("w_norm").cast("float"))
-    return _summed(_candidate_contributions(narrow, candidates, F.col("a.w_norm") * F.col("b.w_norm"))).where(F.col("similarity") > 0)
+    return _on_candidates(rows.withColumn("w_norm", F.col("w_norm").cast("float")), members, plan)
 
 
-def filter_graph(postings: DataFrame, members: DataFrame, threshold: float = 0.0, edge_threshold: float | None = None) -> DataFrame:
+def filter_graph(postings: DataFrame, members: DataFrame, threshold: float = 0.0, edge_threshold: float | None = None, plan: str = "pools") -> DataFrame:
     """32-bit graph with the threshold on raw and on normalised weights; optionally also on sums."""
     w, wn = F.col("w").cast("float"), F.col("w_norm").cast("float")
     limit = F.lit(threshold).cast("float")
-    edges = _float_graph(postings.where((w > limit) & (wn > limit)), cluster_pairs(members))
+    edges = _float_graph(postings.where((w > limit) & (wn > limit)), members, plan)
     return edges if edge_threshold is None else edges.where(F.col("similarity") > edge_threshold)
 
 
-def filter_precompute_graph(postings: DataFrame, members: DataFrame, threshold: float = 0.0) -> DataFrame:
+def filter_precompute_graph(postings: DataFrame, members: DataFrame, threshold: float = 0.0, plan: str = "pools") -> DataFrame:
     """32-bit graph with the threshold on raw weights only."""
-    return _float_graph(postings.where(F.col("w").cast("float") > F.lit(threshold).cast("float")), cluster_pairs(members))
+    return _float_graph(postings.where(F.col("w").cast("float") > F.lit(threshold).cast("float")), members, plan)

@@ -63,9 +63,15 @@ def test_pruned_by_pools(spark, postings, build):
     assert edges(build(postings, pools(spark, TWO))) == {("a", "b"): 0.605621, ("b", "c"): 0.211566}
 
 
-def test_candidate_plans_agree(spark, postings):
+@pytest.mark.parametrize("plan", ["candidates", "features"])
+def test_plans_agree(spark, postings, plan):
     p = pools(spark, TWO)
-    assert edges(G.candidate_graph(postings, p, plan="features")) == edges(G.candidate_graph(postings, p))
+    flagged = spark.createDataFrame([(c, x, "in" if x in "ad" else "out") for c, x in [*TWO, *ONE]], "cluster_id string, image_id string, sample_flag string")
+    assert edges(G.candidate_graph(postings, p, plan=plan)) == edges(G.candidate_graph(postings, p))
+    assert edges(G.progressive_graph(postings, flagged, plan=plan)) == edges(G.progressive_graph(postings, flagged))
+    assert edges(G.filter_graph(postings, p, 0.05, plan=plan)) == edges(G.filter_graph(postings, p, 0.05))
+    with pytest.raises(ValueError):
+        G.candidate_graph(postings, p, plan="other")
 
 
 def test_progressive(spark, postings):
