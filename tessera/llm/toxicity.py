@@ -50,7 +50,7 @@ TOXIC_DOCS, CLEAN_DOCS = 2_000, 6_000
 THRESHOLD = 0.3
 SEED = 23
 EDGES = ".,;:!?\"'()[]{}<>*%&$#|_-…«»“”"
-CACHE = 200_000
+CACHE = 100_000
 
 
 def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
