@@ -9,12 +9,18 @@ Documents are read as overlapping bags of ``WINDOW`` words and a document's scor
 comes from its most toxic bag, so one passage shows in a text of any length. Labels
 are given for documents only: in training, the bag that scores highest stands for its
 document, beside a random one of clean documents. Vectors start from the n-grams' log
-odds, so the first bags picked are telling ones. The top bag's margin becomes a
-probability by a logistic fit on labelled documents kept out of training.
+odds, less what chance explains, so the first bags picked are telling ones.
+
+Training is cross-fitted: each of ``FOLDS`` models leaves one fold out, the model used
+is their mean, and a logistic fit turns margins into probabilities on the margins that
+every labelled document got from the model that didn't see it.
 
 The model is fitted on the driver from at most ``TOXIC_DOCS`` and ``CLEAN_DOCS``
-labelled documents, those with the smallest seeded hash of their id, whole texts. All
-documents are scored: the model that travels is one number for each n-gram bucket.
+labelled documents, those with the smallest seeded hash of their id, whole texts, of at
+most ``TEXT_BYTES`` each and ``TRAIN_BYTES`` together. All documents are scored, over
+their whole text: the model that travels is one number for each n-gram bucket. Texts
+are hashed a slice of ``SLICE`` code points at a time and no word is remembered, so a
+worker's memory follows the longest text and not the vocabulary.
 
 A null text is empty; an empty text has one empty bag and a defined score; a null id is
 never a training row. Without labels of both kinds every score is the share of toxic
@@ -23,50 +29,86 @@ labels (0 without labels). Repeated rows give equal scores; an empty table gives
 
 from __future__ import annotations
 
-import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import per_process
-
-BUCKETS = 1 << 17
+BUCKETS = 1 << 17  # a power of two
 WINDOW, STRIDE = 40, 20
 LEAST_WORDS = 8  # a shorter bag counts as this many, the rest zero vectors
 GRAMS = (3, 4, 5)
-GRAM_BYTES = tuple(4 * n for n in GRAMS)  # in UTF-32
-DIM, EPOCHS, BATCH, UPDATES, RATE = 8, 6, 128, 200, 0.5
-PRIOR, START = 4.0, 2.0  # documents that the log odds are drawn by, and their weight in the first vectors
+DIM, EPOCHS, BATCH, UPDATES, RATE = 8, 4, 128, 150, 0.5
+FOLDS = 3
+PRIOR, CHANCE, START = 4.0, 2.0, 30.0  # documents that the log odds are drawn by, standard errors taken off, weight in the first vectors
 EMPTY_SHARE = 0.15
 MIN_DOCS = 5  # n-grams of fewer training documents have no vector: they could only memorise
-FLOOR = 1e-3  # squared gradients that every n-gram starts from: higher damps those of few documents
+FLOOR = 1e-2  # squared gradients that every n-gram starts from: higher damps those of few documents
 TOXIC_DOCS, CLEAN_DOCS = 2_000, 6_000
+TEXT_BYTES, TRAIN_BYTES = 1 << 18, 1 << 25
 THRESHOLD = 0.3
 SEED = 23
 EDGES = ".,;:!?\"'()[]{}<>*%&$#|_-…«»“”"
-CACHE = 100_000
-
-
-def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Buckets of a word's n-grams and of the whole word, without marks at its ends, lower-cased."""
-    whole = f"<{(word.strip(EDGES) or word).lower()}>"
-    data = whole.encode("utf-32-le")
-    crc, last, top = zlib.crc32, len(data) + 1, buckets - 1  # buckets is a power of two
-    found = [crc(data[i : i + size]) & top for size in GRAM_BYTES for i in range(0, last - size, 4)]
-    found.append(crc(data, 1) & top)
-    return found
+SLICE = 1 << 16
+#: Odd multipliers of the n-gram hash, from a seed.
+FACTOR, SPREAD, PLACE = (int(x) * 2 + 1 for x in np.random.default_rng(SEED).integers(1 << 61, 1 << 62, 3))
 
 
 def fresh_words(text: str) -> list[str]:
-    """Words between white space; one that repeats the word before it is empty, so it says nothing a second time."""
-    words = text.split()
-    return [w if w != before else "" for w, before in zip(words, ["", *words], strict=False)]
+    """Lower-cased words without marks at their ends; one that repeats the word before it is empty, so it says nothing a second time."""
+    words = [w.strip(EDGES) or w for w in text.lower().split()]
+    return [*words[:1], *("" if w == before else w for before, w in pairwise(words))]
+
+
+def gram_counts(words: list[str]) -> np.ndarray:
+    """N-grams of each word between ``<`` and ``>``, and the word itself; an empty word has none."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    return np.where(size > 0, sum(np.maximum(size + 3 - n, 0) for n in GRAMS) + 1, 0)
+
+
+def gram_slices(words: list[str], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(bucket, word, valid)`` for n-grams of one size that begin in one slice, sorted by word; last the words themselves."""
+    shift, factor = np.uint64(64 - (buckets - 1).bit_length()), np.uint64(FACTOR)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    size[size > 0] += 2
+    ends = np.cumsum(size)
+    starts = ends - size
+    text = "".join([f"<{w}>" for w in words if w])
+    whole = np.zeros(len(words), dtype=np.uint64)
+    for at in range(0, len(text), SLICE):
+        codes = np.frombuffer(text[at : at + SLICE + max(GRAMS) - 1].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        first, last = np.searchsorted(ends, [at, at + len(codes) - 1], side="right")
+        own = np.arange(first, last + 1)
+        inside = np.minimum(ends[own], at + len(codes)) - np.maximum(starts[own], at)
+        word = np.repeat(own, inside)
+        here = min(SLICE, len(codes))
+        mixed = (codes[:here] + np.uint64(1)) * factor + (np.arange(at, at + here) - starts[word[:here]]).astype(np.uint64) * np.uint64(PLACE)
+        mixed ^= mixed >> np.uint64(29)
+        new = np.flatnonzero(np.diff(word[:here], prepend=-1))
+        whole[word[new]] += np.add.reduceat(mixed * np.uint64(SPREAD), new)
+        h = codes
+        for n in range(2, max(GRAMS) + 1):
+            h = h[:-1] * factor + codes[n - 1 :]
+            if n in GRAMS and len(h):
+                m = min(here, len(h))
+                yield (((h[:m] ^ (h[:m] >> np.uint64(31))) * np.uint64(SPREAD)) >> shift).astype(np.int64), word[:m], word[:m] == word[n - 1 : n - 1 + m]
+    present = np.flatnonzero(size)
+    yield ((whole[present] * factor) >> shift).astype(np.int64), present, np.ones(len(present), dtype=bool)
+
+
+def word_values(words: list[str], weights: np.ndarray) -> np.ndarray:
+    """Mean weight of each word's n-grams; 0 for an empty word."""
+    total = np.zeros(len(words))
+    for bucket, word, valid in gram_slices(words, len(weights)):
+        if len(word):
+            new = np.flatnonzero(np.diff(word, prepend=-1))
+            total[word[new]] += np.add.reduceat(np.where(valid, weights[bucket], 0.0), new)
+    return total / np.maximum(gram_counts(words), 1)
 
 
 def windows(n: int) -> list[tuple[int, int]]:
@@ -96,26 +138,27 @@ class Model:
     slope: float
     shift: float
 
-    def scorer(self):
-        weights = self.weights.tolist()
+    def scores(self, texts: Iterable[str]) -> Iterator[float]:
+        """Score of each text. Short texts share a slice of hashing."""
+        weights = self.weights.astype(np.float64)
+        held: list[list[str]] = []
+        size = 0
 
-        class Words(dict):
-            def __missing__(self, word: str) -> float:
-                if len(self) >= CACHE:
-                    self.clear()
-                grams = subwords(word, len(weights))
-                value = self[word] = sum([weights[g] for g in grams]) / len(grams)
-                return value
-
-        known = Words()
-
-        def score(text: str) -> float:
-            words = fresh_words(text)
-            values = np.fromiter((known[w] if w else 0.0 for w in words), np.float64, len(words))
-            margin = float(bag_means(values).max()) + self.bias
-            return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.shift, -60.0, 60.0))))
+        def flush() -> Iterator[float]:
+            values = word_values([w for words in held for w in words], weights)
+            at = 0
+            for words in held:
+                margin = float(bag_means(values[at : at + len(words)]).max()) + self.bias
+                at += len(words)
+                yield float(1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.shift, -60.0, 60.0))))
 
-        return score
+        for text in texts:
+            held.append(fresh_words(text))
+            size += len(text)
+            if size >= SLICE:
+                yield from flush()
+                held, size = [], 0
+        yield from flush()
 
 
 class _Corpus:
@@ -123,40 +166,36 @@ class _Corpus:
 
     def __init__(self, texts: Iterable[str], buckets: int):
         number: dict[str, int] = {"": 0}
-        size, flat = array("i", [1]), array("i", [0])
         self.docs = []
         for text in texts:
             words = fresh_words(text)
-            for w in words:
-                if w not in number:
-                    number[w] = len(number)
-                    grams = subwords(w, buckets)
-                    size.append(len(grams))
-                    flat.extend(grams)
-            self.docs.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-        self.size = np.array(size, dtype=np.int64)
-        self.start = np.concatenate(([0], np.cumsum(self.size)))[:-1]
-        self.flat = np.array(flat, dtype=np.int32)
+            self.docs.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+        words = list(number)
+        self.size = np.maximum(gram_counts(words), 1)
+        parts = [(bucket[valid].astype(np.int32), word[valid].astype(np.int32)) for bucket, word, valid in gram_slices(words, buckets)]
+        flat, owner = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        self.flat = flat[np.argsort(owner, kind="stable")]
+        self.kept = np.bincount(owner, minlength=len(words))
+        self.start = np.cumsum(self.kept) - self.kept
 
     def document_counts(self, docs: np.ndarray, buckets: int) -> np.ndarray:
         """In how many of the documents each bucket occurs."""
         found = np.zeros(buckets, dtype=np.int64)
         for d in docs:
             words = np.unique(self.docs[d])
-            found[np.unique(self.features(words[words > 0])[0])] += 1
+            found[np.unique(self.features(words)[0])] += 1
         return found
 
     def word_values(self, weights: np.ndarray) -> np.ndarray:
-        values = np.add.reduceat(weights[self.flat].astype(np.float64), self.start) / self.size
-        values[0] = 0.0  # the empty word
-        return values
+        total = np.concatenate(([0.0], np.cumsum(weights[self.flat], dtype=np.float64)))
+        return (total[self.start + self.kept] - total[self.start]) / self.size
 
     def features(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Buckets of all n-grams of a run of words, and which word each belongs to."""
-        size = self.size[words]
+        size = self.kept[words]
         owner = np.repeat(np.arange(len(words)), size)
-        first = np.repeat(self.start[words] - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-        return self.flat[first + np.arange(int(size.sum()))], owner
+        first = np.repeat(self.start[words] - (np.cumsum(size) - size), size)
+        return self.flat[first + np.arange(len(owner))], owner
 
 
 def _top_bag(values: np.ndarray) -> tuple[int, int]:
@@ -170,8 +209,8 @@ def _logistic(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tupl
     theta, centre = np.array([1.0, 0.0]), np.array([1.0, 0.0])
     for _ in range(50):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ theta, -30, 30)))
-        gradient = x.T @ (weight * (p - label)) + 1.0 * (theta - centre)
-        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1.0 * np.eye(2)
+        gradient = x.T @ (weight * (p - label)) + 0.1 * (theta - centre)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
         theta = theta - step
         if np.abs(step).max() < 1e-9:
@@ -179,36 +218,36 @@ def _logistic(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tupl
     return float(theta[0] / scale), float(theta[1])
 
 
-def train(texts: Iterable[str], labels: list[int], toxic_share: float | None = None, buckets: int = BUCKETS, seed: int = SEED) -> Model:
-    """Fits vectors and softmax together. ``toxic_share`` is the share among labels where the sample's differs."""
-    label = np.array(labels, dtype=np.int64)
-    share = float(label.mean()) if len(label) else 0.0
-    if share in (0.0, 1.0):
-        at = np.log(max(share, 1e-6) / max(1 - share, 1e-6))
-        return Model(np.zeros(buckets, np.float32), 0.0, 0.0, float(at))
+def _log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Smoothed log odds of an n-gram's documents, less ``CHANCE`` standard errors."""
+    expected = PRIOR * n_toxic / (n_toxic + n_clean)
+    a, b = toxic + expected, clean + PRIOR - expected
+    odds = np.log(a / (n_toxic + PRIOR)) - np.log(b / (n_clean + PRIOR))
+    return np.sign(odds) * np.maximum(np.abs(odds) - CHANCE * np.sqrt(1 / a + 1 / b), 0.0)
+
+
+def _fit_vectors(corpus: _Corpus, label: np.ndarray, fitted: np.ndarray, buckets: int, seed: int) -> tuple[np.ndarray, float]:
+    """One weight for each bucket, and the bias, from vectors and softmax trained together on the documents ``fitted``."""
     rng = np.random.default_rng(seed)
-    corpus = _Corpus(texts, buckets)
-    held = np.arange(len(label)) % 5 == 4  # for the logistic fit
-    if len(set(label[held])) < 2 or len(set(label[~held])) < 2:
-        held = np.zeros(len(label), dtype=bool)
-    fitted = np.flatnonzero(~held)
-    e = rng.normal(0, 0.1, (buckets, DIM)).astype(np.float32)
+    share = label[fitted].mean()
+    toxic, clean = (corpus.document_counts(fitted[label[fitted] == k], buckets) for k in (1, 0))
+    common = np.flatnonzero(toxic + clean >= MIN_DOCS)
+    row = np.full(buckets, -1, dtype=np.int64)  # only common n-grams have a vector
+    row[common] = np.arange(len(common))
+    e = rng.normal(0, 0.1, (len(common), DIM)).astype(np.float32)
     w = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
     b = np.zeros(2, np.float32)
     seen_e, seen_w, seen_b = np.full_like(e, FLOOR), np.full_like(w, FLOOR), np.full_like(b, FLOOR)
-    toxic, clean = (corpus.document_counts(fitted[label[fitted] == k], buckets) for k in (1, 0))
-    common = toxic + clean >= MIN_DOCS
-    # start along one axis from smoothed log odds of an n-gram's documents, so the first bags picked are telling ones
-    n_clean, n_toxic = np.bincount(label[fitted], minlength=2)
-    expected = PRIOR * n_toxic / len(fitted)
+    # start along one axis from the log odds, so the first bags picked are telling ones
     w[0] = -1.0, 1.0
-    e[:, 0] += START * (np.log((toxic + expected) / (n_toxic + PRIOR)) - np.log((clean + PRIOR - expected) / (n_clean + PRIOR)))
-    e[~common] = 0.0
+    e[:, 0] += START * _log_odds(toxic[common], clean[common], *np.bincount(label[fitted], minlength=2)[::-1])
     boost = np.where(label == 1, min(4.0, (1 - share) / share), 1.0)
     batch = BATCH if len(fitted) > 4_000 else BATCH // 4
     rounds = max(EPOCHS, -(-UPDATES * batch // len(fitted)))  # few labels are gone through more often
     for epoch in range(rounds):
-        values = corpus.word_values(e @ (w[:, 1] - w[:, 0]))
+        weights = np.zeros(buckets)
+        weights[common] = e @ (w[:, 1] - w[:, 0])
+        values = corpus.word_values(weights)
         bags = []
         for d in fitted:
             words = corpus.docs[d]
@@ -229,7 +268,9 @@ def train(texts: Iterable[str], labels: list[int], toxic_share: float | None = N
             owner = np.repeat(np.arange(len(part)), [len(x[0]) for x in part])
             share_of_word = 1.0 / np.maximum([len(x[0]) for x in part], LEAST_WORDS)[owner]
             grams, word = corpus.features(words)
-            factor = ((share_of_word / corpus.size[words] * (words > 0))[word] * common[grams]).astype(np.float32)
+            known = row[grams] >= 0
+            grams, word = row[grams[known]], word[known]
+            factor = (share_of_word / corpus.size[words])[word].astype(np.float32)
             bag = owner[word]
             mean = np.stack([np.bincount(bag, e[grams, k] * factor, len(part)) for k in range(DIM)], axis=1)
             logits = mean @ w + b
@@ -238,22 +279,45 @@ def train(texts: Iterable[str], labels: list[int], toxic_share: float | None = N
             p[np.arange(len(part)), [x[1] for x in part]] -= 1.0
             delta = p * np.array([x[2] for x in part])[:, None]
             to_mean = delta @ w.T
-            grad_e = np.stack([np.bincount(grams, to_mean[bag, k] * factor, buckets) for k in range(DIM)], axis=1).astype(np.float32)
+            grad_e = np.stack([np.bincount(grams, to_mean[bag, k] * factor, len(common)) for k in range(DIM)], axis=1).astype(np.float32)
             grad_w, grad_b = (mean.T @ delta).astype(np.float32), delta.sum(axis=0).astype(np.float32)
             for value, seen, grad in ((e, seen_e, grad_e), (w, seen_w, grad_w), (b, seen_b, grad_b)):
                 seen += grad * grad
                 value -= rate * grad / np.sqrt(seen)
-    weights = (e @ (w[:, 1] - w[:, 0])).astype(np.float32)
-    bias = float(b[1] - b[0])
-    values = corpus.word_values(weights)
-    used = np.flatnonzero(held) if held.any() else fitted
-    margin = np.array([bag_means(values[corpus.docs[d]]).max() + bias for d in used])
+    weights = np.zeros(buckets)
+    weights[common] = e @ (w[:, 1] - w[:, 0])
+    return weights, float(b[1] - b[0])
+
+
+def train(texts: Iterable[str], labels: list[int], toxic_share: float | None = None, buckets: int = BUCKETS, seed: int = SEED) -> Model:
+    """Cross-fitted model. ``toxic_share`` is the share among labels where the sample's differs."""
+    label = np.array(labels, dtype=np.int64)
+    share = float(label.mean()) if len(label) else 0.0
+    if share in (0.0, 1.0):
+        at = np.log(max(share, 1e-6) / max(1 - share, 1e-6))
+        return Model(np.zeros(buckets, np.float32), 0.0, 0.0, float(at))
+    corpus = _Corpus(texts, buckets)
+    fold = np.empty(len(label), dtype=np.int64)
+    for k in (0, 1):  # both kinds are dealt evenly
+        own = np.flatnonzero(label == k)
+        fold[own] = np.arange(len(own)) % FOLDS
+    fitted_by = [np.flatnonzero(fold != k) for k in range(FOLDS)]
+    if any(len(set(label[f])) < 2 for f in fitted_by):
+        fitted_by = [np.arange(len(label))] * FOLDS
+    weights, bias, margin = np.zeros(buckets), 0.0, np.zeros(len(label))
+    for k, fitted in enumerate(fitted_by):
+        own_weights, own_bias = _fit_vectors(corpus, label, fitted, buckets, seed + k)
+        values = corpus.word_values(own_weights)
+        for d in np.flatnonzero(fold == k):
+            margin[d] = bag_means(values[corpus.docs[d]]).max() + own_bias
+        weights += own_weights / FOLDS
+        bias += own_bias / FOLDS
     known = share if toxic_share is None else toxic_share
-    weight = np.where(label[used] == 1, known / share, (1 - known) / (1 - share))
+    weight = np.where(label == 1, known / share, (1 - known) / (1 - share))
     # an empty text counts as clean rows, so that saying nothing can't look toxic
-    weight = np.append(weight, EMPTY_SHARE * weight[label[used] == 0].sum())
-    slope, shift = _logistic(np.append(margin, bias), np.append(label[used], 0).astype(float), weight)
-    return Model(weights, bias, slope, shift)
+    weight = np.append(weight, EMPTY_SHARE * weight[label == 0].sum())
+    slope, shift = _logistic(np.append(margin, bias), np.append(label, 0).astype(float), weight)
+    return Model(weights.astype(np.float32), bias, slope, shift)
 
 
 def held_out(id_column: Column) -> Column:
@@ -272,9 +336,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids = known.withColumn("place", F.xxhash64(F.lit(SEED), "label_id"))
     chosen = [ids.where(F.col("toxic") == k).orderBy("place", "label_id").limit(n) for k, n in ((1, toxic_docs), (0, clean_docs))]
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most toxic_docs + clean_docs ids
-    found = docs.select(F.col(id_col).alias("label_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(sample, "label_id")
-    # repeated rows are one; sorted, so the order of arrival changes nothing
-    rows = sorted({tuple(r) for r in found.select("place", "label_id", "toxic", "text").collect()}, reverse=True)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = docs.select(F.col(id_col).alias("label_id"), text.alias("text")).where(F.octet_length("text") <= TEXT_BYTES).join(sample, "label_id")
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("place", "label_id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    found = found.distinct().withColumn("so_far", so_far).where(F.col("so_far") <= TRAIN_BYTES // 2)  # repeated rows are one
+    # sorted, so the order of arrival changes nothing
+    rows = sorted((tuple(r) for r in found.select("place", "label_id", "toxic", "text").collect()), reverse=True)
     labels_of, total = [r[2] for r in reversed(rows)], sum(counts.values())
     texts = (rows.pop()[3] for _ in labels_of)  # each text is let go once it is read
     return train(texts, labels_of, counts.get(1, 0) / total if total else None)
@@ -286,10 +353,8 @@ def scored(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kept = sent.value
-        one = per_process("toxicity", kept.scorer, zlib.crc32(kept.weights.tobytes()))
         for batch in batches:
-            yield pa.array([one(t.as_py() or "") for t in batch], pa.float64())
+            yield pa.array(list(sent.value.scores(t.as_py() or "" for t in batch)), pa.float64())
 
     return run(text)
 

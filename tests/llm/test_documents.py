@@ -185,6 +185,55 @@ def test_toxicity_learns_and_keeps_the_fold_apart(spark, tables):
     assert again == {i: r.score for i, r in got.items()}
 
 
+@pytest.mark.parametrize(("sf", "recall", "precision"), [("sf0.01", 0.6, 0.7), ("sf0.1", 0.65, 0.9)])
+def test_toxicity_on_the_held_out_fold(spark, sf, recall, precision):
+    """Fitted as the query fits it, judged on the fold that training never sees."""
+    d = f"/root/testdata/{sf}"
+    model = toxicity.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+    texts = {i: t or "" for i, t in docs_of(spark, d) if i in truth}
+    called = {i for i, s in zip(texts, model.scores(texts.values()), strict=True) if s >= toxicity.THRESHOLD}
+    toxic = {i for i in texts if truth[i]}
+    assert len(called & toxic) >= recall * len(toxic) and len(called & toxic) >= precision * len(called)
+    assert next(model.scores([""])) < toxicity.THRESHOLD
+
+
+def brute_word(word, weights):
+    """Mean weight of the n-grams, each hashed on its own."""
+    low, shift = (1 << 64) - 1, 64 - (len(weights) - 1).bit_length()
+    codes = [ord(c) for c in f"<{word}>"]
+    found = []
+    for n in toxicity.GRAMS:
+        for at in range(len(codes) - n + 1):
+            h = codes[at]
+            for c in codes[at + 1 : at + n]:
+                h = (h * toxicity.FACTOR + c) & low
+            found.append(((h ^ (h >> 31)) * toxicity.SPREAD & low) >> shift)
+    whole = 0
+    for i, c in enumerate(codes):
+        h = ((c + 1) * toxicity.FACTOR + i * toxicity.PLACE) & low
+        whole += (h ^ (h >> 29)) * toxicity.SPREAD
+    found.append((whole & low) * toxicity.FACTOR % (1 << 64) >> shift)
+    return float(np.mean([weights[g] for g in found]))
+
+
+@pytest.mark.parametrize("size", [7, 64, 1 << 16])
+def test_word_values_match_single_ngrams(monkeypatch, size):
+    monkeypatch.setattr(toxicity, "SLICE", size)
+    weights = np.random.default_rng(6).normal(size=1 << 10)
+    words = ["a", "", "bc", "x" * 300, "naïve", "", "日本語🙂", "z", "\ud800a"]
+    got = toxicity.word_values(words, weights)
+    assert got == pytest.approx([brute_word(w, weights) if w else 0.0 for w in words])
+    assert toxicity.gram_counts(words).tolist() == [len(w) and sum(max(0, len(w) + 3 - n) for n in (3, 4, 5)) + 1 for w in words]
+
+
+def test_texts_without_spaces_leave_no_memory():
+    """A text of one word is hashed by slices: nothing of it stays, and its score doesn't depend on its neighbours."""
+    model = toxicity.Model(np.random.default_rng(7).normal(size=1 << 12).astype(np.float32), 0.0, 1.0, 0.0)
+    texts = ["".join(map(str, range(k, k + 40_000))) for k in range(4)] + ["", "two words"]
+    assert list(model.scores(texts)) == pytest.approx([next(model.scores([t])) for t in texts])
+
+
 def test_toxicity_without_labels(spark, odd):
     got = Q.QUERIES["op5_toxicity"](spark, odd).collect()
     assert len(got) == len(ODD_DOCS) and {r.predicted for r in got} == {0}

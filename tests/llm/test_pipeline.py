@@ -43,8 +43,8 @@ def check(spark, d, unique=True):
     assert all(x.columns == names and x.dtypes == docs[0].dtypes for x in docs[1:5])
 
     model = toxicity.fit(docs[0], spark.read.parquet(f"{d}/labels.parquet"))
-    scorer = model.scorer()
-    assert Counter(docs[1].collect()) == Counter(r for r in docs[0].collect() if scorer(r.text or "") < toxicity.THRESHOLD)
+    rows = docs[0].collect()
+    assert Counter(docs[1].collect()) == Counter(r for r, s in zip(rows, model.scores(r.text or "" for r in rows), strict=True) if s < toxicity.THRESHOLD)
 
     assert Counter(rows_of(docs[2])) == Counter(bare_lines(rows_of(docs[1])))
     assert docs[2].where("text IS NOT NULL").where(F.char_length("text") != F.col("n_chars")).count() == 0
