@@ -2,7 +2,7 @@
 
 Every round writes its edges to the shared folder, so lineage stays short and a lost
 executor costs one round. Before a round, each partition contracts its own edges with
-union-find, in memory bounded by the partition, and equal edges become one. Minima by
+union-find, at most about ``NODES`` nodes at a time, and equal edges become one. Minima by
 node are combined before their shuffle and written, so both sides of the join with a
 root's many edges are plain shuffles, which adaptive execution splits.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import written
 
 EDGES = "a long, b long"
+NODES = 1 << 18  # that a task holds in one forest
 
 
 class Forest:
@@ -44,12 +45,19 @@ class Forest:
 
 def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forest = Forest()
+
+    def edges() -> pa.RecordBatch:
+        nodes = list(forest.parent)
+        roots = np.fromiter(map(forest.root, nodes), np.int64, len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots)], ["a", "b"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             forest.join(a, b)
-    nodes = list(forest.parent)
-    roots = np.fromiter(map(forest.root, nodes), np.int64, len(nodes))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots)], ["a", "b"])
+        if len(forest.parent) >= NODES:
+            yield edges()
+            forest = Forest()
+    yield edges()
 
 
 def _round(edges: DataFrame) -> DataFrame:

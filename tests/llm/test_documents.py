@@ -419,9 +419,10 @@ def brute_join(rows, threshold=(4, 5)):
     return {i: (root(i), links[i]) for i in ids}
 
 
-@pytest.mark.parametrize("block", [512, 9])
-def test_join_matches_brute_force(spark, tables, monkeypatch, block):
+@pytest.mark.parametrize(("block", "block_bytes"), [(512, 1 << 20), (9, 1 << 20), (100, 2_000)])
+def test_join_matches_brute_force(spark, tables, monkeypatch, block, block_bytes):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", block_bytes)
     rng = np.random.default_rng(11)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 4))
     base = [[word() for _ in range(int(rng.integers(3, 120)))] for _ in range(30)]
@@ -454,6 +455,69 @@ def test_join_odd(spark, odd):
     assert by_id[8].n_links == 1 and by_id[None].class_id is None and by_id[10].n_links == 0
 
 
+A, B, C = ("one two three four five six seven eight nine ten " + x for x in ("eleven", "twelve thirteen fourteen fifteen sixteen", "eleven"))
+UNLIKE = "quite another text that shares no run of words with those above"
+REPEATED = [(1, A), (1, UNLIKE), (2, C), (3, B), (3, UNLIKE + " at all"), (1, A), (4, A + " extra"), (None, A), (None, "lone text without id"), (None, "lone text without id"), (5, None), (6, "")]
+
+
+def brute_rows(rows):
+    """Class and links of each row, rows compared and not ids."""
+    low = lambda i: (i is None, i or 0)
+    found = brute_join([(k, t) for k, (_, t) in enumerate(rows)])
+    ids = defaultdict(list)
+    for k, (i, _) in enumerate(rows):
+        ids[found[k][0]].append(i)
+    return [(rows[k][0], min(ids[found[k][0]], key=low), found[k][1]) for k in range(len(rows))], [found[k][0] for k in range(len(rows))]
+
+
+def test_join_takes_rows_that_repeat_an_id(spark):
+    docs = spark.createDataFrame(REPEATED, "doc_id long, text string")
+    want, groups = brute_rows(REPEATED)
+    for _ in range(2):
+        assert Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.join(docs.repartition(5)).collect()) == Counter(want)
+        kept = [(r.doc_id, r.text or "") for r in ngram_join.keep_one(docs.repartition(3)).collect()]
+        assert len(kept) == len(set(groups))
+        low = lambda r: (r[0] is None, r[0] or 0)
+        for g in set(groups):
+            own = [(i, t or "") for (i, t), x in zip(REPEATED, groups, strict=True) if x == g]
+            assert sum((r in own) for r in kept) == 1 and any(r in own and low(r) == min(map(low, own)) for r in kept)
+
+
+def test_join_of_one_group_with_half_the_rows(spark, tmp_path, monkeypatch):
+    """Links are right, and what is shuffled grows with the rows, not with the group's square."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 32)
+    words = [f"w{k}" for k in range(120)]
+
+    def rows(n):
+        rng, found = np.random.default_rng(n), []
+        for k in range(n):
+            own = list(words) if k % 2 else [f"x{k}_{j}" for j in range(120)]
+            own[int(rng.integers(120))] = f"y{k}"
+            found.append((k, " ".join(own)))
+        return found
+
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join(spark.createDataFrame(rows(300), "doc_id long, text string")).collect()}
+    assert got == brute_join(rows(300)) and got[1][1] > 100
+    shuffled = []
+    for n in (600, 2_400):
+        before = shuffle_bytes(spark)
+        ngram_join.join(spark.createDataFrame(rows(n), "doc_id long, text string")).write.mode("overwrite").format("noop").save()
+        shuffled.append(shuffle_bytes(spark) - before)
+    assert shuffled[1] < 1.3 * 4 * shuffled[0]
+
+
+def shuffle_bytes(spark):
+    """Shuffled so far, from the status store."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_long_words_are_not_remembered():
+    shingler = ngram_join.Shingler()
+    shingler.shingles(" ".join([*("z" * 70 + str(k) for k in range(50)), "short"]))
+    assert list(shingler.words) == ["short"]
+
+
 def test_keep_one(spark, tables):
     docs = spark.read.parquet(tables(documents=[(*r, 1, "k") for r in ODD_DOCS], extra="class_id int, root string") + "/documents.parquet")
     kept = ngram_join.keep_one(docs)
