@@ -3,10 +3,13 @@
 import base64
 import hashlib
 import json
+import math
 import re
 
+import numpy as np
 import pytest
 from pyspark.errors import PythonException
+from pyspark.sql import functions as F
 
 from tessera.llm import chat, url_filter, warc
 from tessera.llm import queries as Q
@@ -107,10 +110,102 @@ def test_trees_learn_from_labels(spark):
 def test_entropy_and_no_rules(spark):
     pages = spark.createDataFrame([("aabb", "h"), (None, "h")], "url string, host string")
     assert [r.host for r in url_filter.judge(pages, []).collect()] == ["", ""]
+    assert [r.page_host for r in url_filter.judge(pages, []).collect()] == ["h", "h"]
     c = url_filter.lexical(pages["url"], pages["host"], pages["host"])["entropy"]
     assert [r[0] for r in pages.select(c).collect()] == [1.0, 0.0]
-    with pytest.raises(ValueError):
-        url_filter.judge(pages, [("block", f"h{i}/") for i in range(url_filter.MAX_RULES + 1)])
+
+
+@pytest.mark.parametrize("limit", ["table", 3])
+def test_rules_as_a_table(spark, sf_dir, monkeypatch, limit):
+    """Rules beyond the compiled number, or given as a table, are joined: the same result."""
+    more = spark.createDataFrame([("http://net/es/",), ("http://a.net/es",), (None,), ("http://example.com/en/",), ("http://x.org?q",), ("//",)], "url string")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url").unionByName(more)
+    rules = [*Q.URL_RULES, ("block", "org"), ("allow", "net/es/x"), ("block", "net/es/"), ("allow", "net/es/")]
+    want = {tuple(r) for r in url_filter.judge(pages, rules).select("url", "host", "path", "rule", "verdict").collect()}
+    if limit == "table":
+        rules = spark.createDataFrame([*rules, (None, "com/"), ("block", None)], "verdict string, rule string")
+    else:
+        monkeypatch.setattr(url_filter, "MAX_RULES", limit)
+    assert {tuple(r) for r in url_filter.judge(pages, rules).select("url", "host", "path", "rule", "verdict").collect()} == want
+
+
+def brute_features(url):
+    u = url or ""
+    host, path, *_ = brute_rule(url)
+    query = re.search(r"\?([^#]*)", u)
+    query = query[1] if query else ""
+    n = len(u)
+    return {
+        "n_url": n,
+        "n_host": len(host),
+        "n_path": len(path),
+        "n_query": len(query),
+        "depth": path.count("/"),
+        "labels": host.count(".") + 1,
+        "digits": sum(c in "0123456789" for c in u) / n if n else 0.0,
+        "hyphens": u.count("-"),
+        "entropy": -sum(u.count(c) / n * math.log2(u.count(c) / n) for c in set(u)) if n else 0.0,
+        "params": query.count("&") + 1 if query else 0,
+        "pairs": query.count("="),
+        "marks": u.count("#"),
+        "secure": int(u.startswith("https")),
+    }
+
+
+def test_features_match_plain_python(spark, sf_dir):
+    more = [None, "", "http://é.NET/fr/" + "z9-" * 500, "https://a.b-c.d/1/2?x=1&y=2&z#f#g", "no scheme?a=b", "http://h?#", "HTTPS://u"]
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url").unionByName(spark.createDataFrame([(u,) for u in more], "url string"))
+    url = F.col("url")
+    for r in pages.select(url, *(c.alias(k) for k, c in url_filter.lexical(url, url_filter.host_of(url), url_filter.path_of(url)).items())).collect():
+        assert r.asDict() == pytest.approx({"url": r.url, **brute_features(r.url)}), r.url
+
+
+def test_statistics_leave_out_the_rows_own_fold(spark, monkeypatch):
+    rows = [(f"h{i}.{'ab'[i % 2]}", "/", "ab"[i % 2], i % url_filter.FOLDS, float(i % 3 == 0)) for i in range(60)]
+    labelled = spark.createDataFrame(rows, "u_host string, u_path string, u_suffix string, u_fold int, u_label double")
+    stats, share = url_filter.suffix_statistics(labelled), 1 / 3
+    for small in (True, False):
+        for r in url_filter.with_suffix(labelled, stats, share, small, training=True).collect():
+            others = [] if r.u_fold == url_filter.FOLDS - 1 else [x[4] for x in rows if x[2] == r.u_suffix and x[3] != r.u_fold]
+            assert (r.u_suffix_n, r.u_suffix_blocked) == pytest.approx((math.log2(len(others) + 1), (sum(others) + 2 * share) / (len(others) + 2)))
+        for r in url_filter.with_suffix(labelled, stats, share, small, training=False).collect():
+            every = [x[4] for x in rows if x[2] == r.u_suffix]
+            assert r.u_suffix_blocked == pytest.approx((sum(every) + 2 * share) / (len(every) + 2))
+
+
+def test_trees_on_hosts_never_seen(spark):
+    """Labels overlap within suffixes; the trees are judged on hosts of which no URL is labelled."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(1500):
+        bad = bool(rng.random() < 0.4)
+        suffix = str(rng.choice(["com", "net", "org"], p=[0.2, 0.3, 0.5] if bad else [0.5, 0.3, 0.2]))
+        noisy = bool(rng.random() < 0.1)
+        path = f"/?id={rng.integers(10**8)}&k={rng.integers(10**6)}&s=1" if bad != noisy else f"/story/{'abcdefg'[: int(rng.integers(1, 7))]}"
+        rows.append((f"http://h{i % 300}.example{i % 300}.{suffix}{path}", None if i % 300 >= 200 else int(bad), int(bad)))
+    rows += [(f"http://h{500 + k}.example{500 + k}.xyz{path}", None, None) for k, path in enumerate(["/?id=12345678&k=123456&s=1", "/story/abc"] * 5)]
+    got = url_filter.judge(spark.createDataFrame(rows, "url string, label int, truth int"), [], label_col="label").where("label IS NULL").collect()
+    seen = [(r.block_probability, r.truth) for r in got if r.truth is not None]
+    toxic, clean = ([p for p, t in seen if t == k] for k in (1, 0))
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in toxic for b in clean])
+    assert auc > 0.85
+    unseen = {r.url.rpartition("/")[2][:2]: r.verdict for r in got if r.truth is None}
+    assert unseen == {"?i": "block", "ab": "allow"}  # of a suffix without labels the characters decide
+
+
+def test_verdicts_of_unmatched_urls_differ(spark):
+    pages = "/root/testdata/sf0.01/pages.parquet"
+    got = url_filter.judge(spark.read.parquet(pages), Q.URL_RULES).where("rule IS NULL").collect()
+    assert {r.verdict for r in got} == {"allow", "block"}
+
+
+def test_op9_odd(spark, tables):
+    extra = "host string, verdict int, page_host string, u_label int, s_n string, probability double"
+    got = Q.QUERIES["op9_url_filter"](spark, tables(pages=[(*p, "x", 1, "y", 2, "z", 0.5) for p in ODD_PAGES], extra=extra)).collect()
+    assert sorted((str(r.page_id), r.host, r.path, r.rule) for r in got) == sorted((str(i), *brute_rule(u)[:3]) for i, u, _ in ODD_PAGES)
+    pages = spark.read.parquet(tables(pages=[(*p, "x", 1, "y", 2, "z", 0.5) for p in ODD_PAGES], extra=extra) + "/pages.parquet")
+    found = url_filter.judge(pages, Q.URL_RULES)
+    assert found.columns[:9] == ["page_id", "url", "html", "page_host", "page_verdict", "page_page_host", "u_label", "s_n", "probability"] and found.count() == len(ODD_PAGES)
 
 
 # op3
@@ -166,13 +261,52 @@ def test_layouts(spark):
     df = spark.createDataFrame([(r,) for r in records], "record string")
     got = chat.canonical_turns(df).collect()
     for i in range(1, 7):
-        own = sorted((r.turn, r.part, r.role, r.text) for r in got if r.conv_id == i)
+        own = sorted((r.turn, r.part, r.role, r.text) for r in got if r.conv_id == str(i))
         assert [x[2:] for x in own] == [("user", "q"), ("assistant", "a")]
     assert sum(r.layout is None for r in got) == 2  # the unknown and the null record stay visible
     with pytest.raises(PythonException):
         chat.canonical_turns(df, strict=True).collect()
 
 
+def test_damaged_and_unusual_records(spark):
+    records = [
+        "not JSON",
+        "{",
+        "[" * 100_000,
+        "5",
+        '"text"',
+        "[]",
+        json.dumps({"id": 1, "messages": ["a", "b"]}),
+        json.dumps({"id": 2, "messages": [{"role": "user", "content": [{"type": "text"}]}]}),
+        json.dumps({"id": 3, "messages": [{"role": "user", "content": "x"}], "system": "not read by that mapping"}),
+    ]
+    df = spark.createDataFrame([(r, k, "x") for k, r in enumerate(records)], "record string, conv_id int, layout string")
+    got = chat.canonical_turns(df).collect()
+    assert sorted(r.text for r in got) == sorted(records) and {(r.conv_id, r.role, r.layout, r.extra) for r in got} == {(None, None, None, None)}
+    for r in records:
+        with pytest.raises(PythonException):
+            chat.canonical_turns(spark.createDataFrame([(r,)], "record string"), strict=True).collect()
+
+
+def test_ids_and_turn_numbers_of_any_kind(spark):
+    cases = [("abc", "1"), (7, 2), (1.5, 3.0), (True, "x"), (1 << 70, 1 << 70), (None, None), ("ü\ud800", " 12 "), ("", -1)]
+    want = [("abc", 1), ("7", 2), ("1.5", 3), ("true", None), (str(1 << 70), None), (None, None), ("ü\ufffd", 12), ("", -1)]
+    df = spark.createDataFrame([(json.dumps({"conv_id": i, "turn": t, "role": "user", "text": "q\ud83d"}),) for i, t in cases], "record string")
+    got = chat.canonical_turns(df)
+    assert sorted(map(str, ((r.conv_id, r.turn) for r in got.collect()))) == sorted(map(str, want))
+    assert {r.text for r in got.collect()} == {"q\ufffd"}
+    assert chat.digests(chat.format_turns(got)).count() == len(cases)
+
+
+def test_fields_beyond_a_mapping(spark):
+    record = {"id": "c", "messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "assistant", "content": "a"}], "meta": {"x.y": [1]}}
+    df = spark.createDataFrame([(json.dumps(record),)], "record string")
+    got = sorted((r.turn, r.role, r.text, r.layout, r.extra) for r in chat.canonical_turns(df).collect())
+    assert got == [(0, "user", "q", "messages", "messages[].name,meta.x\\.y[]*"), (1, "assistant", "a", "messages", "messages[].name,meta.x\\.y[]*")]
+    with pytest.raises(PythonException):
+        chat.canonical_turns(df, strict=True).collect()
+
+
 def test_fingerprint_ignores_order_and_values():
     a, b = {"x": [{"k": 1}, {"j": 2}], "y": None}, {"y": {}, "x": [{"j": [], "k": "t"}]}
     assert chat.field_paths(a) == {"x[].k", "x[].j", "y"} and chat.field_paths(b) == {"x[].k", "x[].j[]", "y"}
