@@ -2,8 +2,11 @@
 
 A record is JSON. Its nested field paths (``messages[].role``), sorted and hashed, are
 its fingerprint, and the fingerprint selects a declarative mapping: where the turns
-are, and where a turn's role and text. Records without a mapping aren't dropped: they
-give one row with a null layout, or an error with ``strict``.
+are, and where a turn's role and text. A record with fields beyond its mapping (a name
+beside a role, metadata) is mapped by the fingerprint of the paths that some mapping
+reads, and ``extra`` lists the paths left aside. Records without a mapping, and text
+that isn't JSON, aren't dropped: they give one row with a null layout and the record as
+text, or an error with ``strict``, which takes exact layouts only.
 
 A turn is ``<|im_start|>role NEWLINE text<|im_end|> NEWLINE``. Inside texts and roles a
 backslash goes between ``<``, any backslashes, and ``|``, so no control string is left
@@ -12,9 +15,11 @@ escaped too. Each turn is one row with its loss span, so a conversation of any l
 is formatted in as many tasks as its turns; only digests read a conversation in order,
 streaming it with constant memory.
 
-Null roles and texts are empty; a null conversation id is a conversation of its own;
-turns of equal number are ordered by role and text; repeated rows are turns of their
-own; an empty table gives no rows.
+Conversation ids are text: numbers as they are written, other values as JSON. A turn's
+number is a whole number or a text of one, of 64 bits; anything else is null and comes
+first. Lone surrogates become U+FFFD. Null roles and texts are empty; a null conversation
+id is a conversation of its own; turns of equal number are ordered by role and text;
+repeated rows are turns of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,8 +36,8 @@ from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLES = ("assistant",)
-TURN_SCHEMA = "conv_id long, turn long, part int, role string, text string, layout string"
-TURN_KINDS = (("conv_id", pa.int64()), ("turn", pa.int64()), ("part", pa.int32()), ("role", pa.string()), ("text", pa.string()), ("layout", pa.string()))
+TURN_SCHEMA = "conv_id string, turn long, part int, role string, text string, layout string, extra string"
+TURN_KINDS = (("conv_id", pa.string()), ("turn", pa.int64()), ("part", pa.int32()), ("role", pa.string()), ("text", pa.string()), ("layout", pa.string()), ("extra", pa.string()))
 
 
 @dataclass(frozen=True)
@@ -66,11 +71,12 @@ LAYOUTS = (
 
 
 def field_paths(value: object, prefix: str = "") -> set[str]:
-    """Paths of a value's leaves; lists add ``[]``, and an empty list or object is a leaf."""
+    """Paths of a value's leaves; lists add ``[]``, their plain members ``[]*``; an empty list or object is a leaf; dots and brackets in names are escaped."""
     if isinstance(value, dict) and value:
-        return set().union(*(field_paths(v, f"{prefix}.{k}" if prefix else k) for k, v in value.items()))
+        names = ((re.sub(r"([\\.\[])", r"\\\1", k), v) for k, v in value.items())
+        return set().union(*(field_paths(v, f"{prefix}.{k}" if prefix else k) for k, v in names))
     if isinstance(value, list):
-        return set().union({prefix + "[]"} if not value else set(), *(field_paths(v, prefix + "[]") for v in value))
+        return set().union({prefix + "[]"} if not value else set(), *(field_paths(v, prefix + "[]") if isinstance(v, dict | list) and v else {prefix + "[]*"} for v in value))
     return {prefix}
 
 
@@ -89,6 +95,20 @@ def registry(layouts: Sequence[Layout] = LAYOUTS) -> dict[str, Layout]:
     return found
 
 
+def known_paths(layouts: Sequence[Layout] = LAYOUTS) -> frozenset[str]:
+    """All paths that some mapping reads, and those of empty and null lists."""
+    return frozenset(p for x in layouts for p in (*x.paths, *((x.items, x.items + "[]") if x.items else ())))
+
+
+def select_layout(paths: set[str], layouts: dict[str, Layout], known: frozenset[str], strict: bool) -> tuple[Layout | None, str | None]:
+    """The mapping of a record's paths, and the paths it leaves aside."""
+    exact = layouts.get(fingerprint(paths))
+    if exact is not None or strict:
+        return exact, None
+    found = layouts.get(fingerprint(paths & known))
+    return found, ",".join(sorted(paths - known)) if found else None
+
+
 def _at(value: object, path: str) -> object:
     for name in path.split("."):
         value = value.get(name) if isinstance(value, dict) else None
@@ -96,15 +116,27 @@ def _at(value: object, path: str) -> object:
 
 
 def _string(value: object) -> str | None:
-    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    if value is None:
+        return None
+    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def _number(value: object) -> int | None:
+    """A whole number of 64 bits, also from text; else null."""
+    if isinstance(value, str) and re.fullmatch(r"[+-]?[0-9]{1,19}", value.strip()):
+        value = int(value)
+    if isinstance(value, float) and value.is_integer():
+        value = int(value)
+    return value if type(value) is int and -(1 << 63) <= value < 1 << 63 else None
 
 
 def turns_of(record: object, layout: Layout) -> Iterator[tuple]:
     """Canonical turns of one record."""
-    conv_id = _at(record, layout.conv_id)
+    conv_id = _string(_at(record, layout.conv_id))
     rename = dict(layout.roles)
     for i, item in enumerate(_at(record, layout.items) or () if layout.items else (record,)):
-        order = _at(record, layout.order) if layout.order else i
+        order = _number(_at(record, layout.order)) if layout.order else i
         for part, (role, path) in enumerate(layout.turns):
             text = _string(_at(item, path))
             if path in layout.skip_empty and not text:
@@ -115,23 +147,27 @@ def turns_of(record: object, layout: Layout) -> Iterator[tuple]:
 
 def _canonical(layouts: Sequence[Layout], strict: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = registry(layouts)
+        by_print, known = registry(layouts), known_paths(layouts)
         for batch in batches:
             rows = []
             for raw in batch.column(0).to_pylist():
-                record = json.loads(raw) if raw is not None else None
-                layout = known.get(fingerprint(field_paths(record)))
+                try:
+                    record = json.loads(raw) if raw is not None else None
+                    paths = field_paths(record)
+                except (ValueError, RecursionError):  # not JSON, or nested beyond reading
+                    record, paths = None, {"(not JSON)"}
+                layout, extra = select_layout(paths, by_print, known, strict)
                 if layout is None and strict:
-                    raise ValueError(f"no mapping for {sorted(field_paths(record))}")
-                rows.extend(turns_of(record, layout) if layout else [(None, None, 0, None, raw, None)])
+                    raise ValueError(f"no mapping for {sorted(paths)}")
+                rows.extend((*turn, extra) for turn in turns_of(record, layout)) if layout else rows.append((None, None, 0, None, raw, None, None))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(TURN_KINDS)], [n for n, _ in TURN_KINDS])
 
     return run
 
 
 def canonical_turns(records: DataFrame, record_col: str = "record", layouts: Sequence[Layout] = LAYOUTS, strict: bool = False) -> DataFrame:
-    """``(conv_id, turn, part, role, text, layout)`` of JSON records; an unmapped record is one row with its JSON as text."""
-    return records.select(record_col).mapInArrow(_canonical(layouts, strict), TURN_SCHEMA)
+    """``(conv_id, turn, part, role, text, layout, extra)`` of JSON records; an unmapped record is one row with the record as text."""
+    return records.select(F.col(record_col).cast("string")).mapInArrow(_canonical(layouts, strict), TURN_SCHEMA)
 
 
 def escape(text: Column) -> Column:
@@ -179,8 +215,8 @@ def parse_segment(segment: str) -> tuple[str, str]:
     return _unescape_role(found[1]), unescape(found[2])
 
 
-DIGEST_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-DIGEST_KINDS = (("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()))
+DIGEST_SCHEMA = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+DIGEST_KINDS = (("conv_id", pa.string()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()))
 
 
 def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

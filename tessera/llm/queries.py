@@ -35,7 +35,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("record"))
     extra = F.to_json(F.struct(F.lit(-1).cast("bigint").alias("id"), F.lit(CONTROL_TEXT).alias("prompt"), F.lit(CONTROL_TEXT).alias("response")))
     records = records.unionByName(spark.range(1).select(extra.alias("record")))
-    return chat.digests(chat.format_turns(chat.canonical_turns(records, strict=True)))
+    found = chat.digests(chat.format_turns(chat.canonical_turns(records, strict=True)))
+    return found.withColumn("conv_id", F.col("conv_id").cast("bigint"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
