@@ -8,9 +8,11 @@ largest id that holds it, there at every place.
 1. Occurrences ``(hash, document, position)`` are written once; texts don't travel.
 2. They are range-partitioned by hash and sorted by document (largest first) and
    position, so each hash streams past with the occurrence that stays in front.
-3. Hashes so common that one would fill a partition go a second way with the same
-   outcome: they are counted with a combiner and joined back by broadcast. A sample
-   decides only which way a hash goes; at most ``MAX_HEAVY`` go the second way.
+3. Hashes of more than about ``HEAVY_ROWS`` lines, which would fill a task, go a second
+   way with the same outcome: they are counted with a combiner and joined back, by
+   broadcast while there are at most ``MAX_HEAVY`` of them, else by a shuffle whose
+   skewed keys adaptive execution splits. A sample decides only which way a hash goes,
+   so what a task holds of one hash is bounded by rows and not by a share of the table.
 4. Places to drop become one run-length bitmap for each document that loses lines.
 
 Keys are compared by 128 bits of hash. Rows that repeat a document id count as one
@@ -25,9 +27,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import SPACE, lower_ascii, text_of, written
 
-SAMPLE_ROWS = 1_000_000
+SAMPLE_ROWS = 1_000_000  # a table of so few rows is counted, of a larger one SHARE at least
+SHARE = 0.01
+HEAVY_ROWS = 10_000
 MAX_HEAVY = 10_000
-HEAVY_IN_SAMPLE = 100
 
 
 def line_key(line: Column) -> Column:
@@ -51,17 +54,17 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 
 
 def _heavy_hashes(occ: DataFrame) -> DataFrame:
-    """At most ``MAX_HEAVY`` hashes: each has a ten-thousandth of a sample of about ``SAMPLE_ROWS`` rows."""
-    rows = occ.count()
-    fraction = min(1.0, SAMPLE_ROWS / max(1, rows))
-    least = max(HEAVY_IN_SAMPLE, -(-int(rows * fraction) // MAX_HEAVY))
+    """Hashes of about ``HEAVY_ROWS`` rows or more, as a sample of ``SHARE`` of the rows shows them."""
+    fraction = max(SHARE, min(1.0, SAMPLE_ROWS / max(1, occ.count())))
     sample = occ.select("h1", "h2") if fraction == 1.0 else occ.select("h1", "h2").sample(fraction, seed=7)
-    return sample.groupBy("h1", "h2").count().where(F.col("count") >= least).select("h1", "h2")
+    return sample.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= fraction * HEAVY_ROWS).select("h1", "h2")
 
 
 def dropped_places(occ: DataFrame, min_docs: int) -> DataFrame:
     """``(doc_id, text_key, pos)`` of lines that go."""
-    heavy = F.broadcast(_heavy_hashes(occ))
+    heavy = written(_heavy_hashes(occ), "heavy-lines")
+    few = F.broadcast if heavy.count() <= MAX_HEAVY else lambda df: df
+    heavy = few(heavy)
 
     light = occ.join(heavy, ["h1", "h2"], "left_anti")
     light = light.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", F.col("doc_id").desc_nulls_last(), "pos")
@@ -71,7 +74,7 @@ def dropped_places(occ: DataFrame, min_docs: int) -> DataFrame:
 
     common = occ.join(heavy, ["h1", "h2"], "left_semi")
     stays = common.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last")).where(F.col("n_docs") >= min_docs)
-    common = common.join(F.broadcast(stays), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
+    common = common.join(few(stays), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
 
     place = ["doc_id", "text_key", "pos"]
     return light.select(*place).unionByName(common.select(*place))

@@ -267,8 +267,10 @@ def brute_lines(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("which", ["odd", "hot"])
-def test_lines(spark, tables, which):
+@pytest.mark.parametrize(("which", "heavy", "most"), [("odd", 10_000, 10_000), ("hot", 10_000, 10_000), ("hot", 20, 10_000), ("hot", 20, 0)])
+def test_lines(spark, tables, monkeypatch, which, heavy, most):
+    monkeypatch.setattr(line_dedup, "HEAVY_ROWS", heavy)
+    monkeypatch.setattr(line_dedup, "MAX_HEAVY", most)
     rows = ODD_DOCS
     if which == "hot":  # one line in every document, so common that it goes the second way
         rows = [(i, f"A line that every document has\nown line number {i} and more words\nA line that every document has\nshared by some {i % 40} of them all\nx", "en", "s", 1) for i in range(300)]
@@ -309,6 +311,26 @@ def test_media(spark, sf_dir, odd, which):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def brute_feature(payload):
+    from collections import Counter
+    from math import log2, sqrt
+
+    n, counts = len(payload), Counter(payload)
+    mean = sum(payload) / n
+    spread = sqrt(sum(c * (b - mean) ** 2 for b, c in counts.items()) / n)
+    entropy = -sum(c / n * log2(c / n) for c in counts.values())
+    change = sum(abs(payload[i + 576] - payload[i]) for i in range(n - 576)) / n
+    return 576, n // 576, mean, spread, entropy, change
+
+
+def test_media_feature_matches_plain_python(spark, odd, sf_dir):
+    for d in (odd, sf_dir):
+        texts = {hashlib.sha256(media.padded((t or "").encode())).hexdigest(): media.padded((t or "").encode()) for _, t in docs_of(spark, d)}
+        for r in Q.QUERIES["op7_media"](spark, d).dropDuplicates(["payload_sha256"]).collect():
+            width, height, *numbers = map(float, re.fullmatch(r"(\d+)x(\d+);mean=(.*);spread=(.*);entropy=(.*);change=(.*)", r.feature).groups())
+            assert (width, height, *numbers) == pytest.approx(brute_feature(texts[r.payload_sha256]), abs=1e-4)
+
+
 def test_media_ranges_and_damage(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     folder = f"file://{tmp_path}/media"
