@@ -19,6 +19,8 @@ def _base(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     import atexit
     import shutil
     import sys
@@ -34,7 +36,7 @@ def _base(spark: SparkSession) -> str:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent, as in a local test, is a local folder used.
+    Only on a local master, as in tests, may the setting be absent; a local folder is used then.
     """
     return f"{_roots[-1] if _roots else _base(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -52,3 +52,27 @@ def test_groups_are_cut_only_between_keys():
     chunks = [list(zip(c.column("k").to_pylist(), c.column("v").to_pylist(), strict=True)) for c in _grouped(iter(batches), ("k",))]
     assert [x for c in chunks for x in c] == rows and BLOCK > 1
     assert all(a[-1][0] != b[0][0] for a, b in zip(chunks, chunks[1:], strict=False))
+
+
+def test_a_cluster_must_name_its_shared_folder(spark):
+    import types
+
+    from tessera.llm import common
+
+    def session(master, folder):
+        conf = types.SimpleNamespace(get=lambda key, default=None: folder)
+        return types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(master=master))
+
+    with pytest.raises(ValueError):
+        common.shared_dir(session("spark://host:7077", None), "x")
+    assert common.shared_dir(session("yarn", "hdfs://h/d/"), "x").startswith("hdfs://h/d/x-")
+    assert common.shared_dir(session("local[2]", None), "x").startswith("file:///")
+
+
+@pytest.mark.parametrize("limit", [3, 50])
+def test_components_with_small_forests(spark, monkeypatch, limit):
+    from tessera.llm import components as module
+
+    monkeypatch.setattr(module, "NODES", limit)
+    edges = [(int(a), int(b)) for a, b in np.random.default_rng(9).integers(0, 200, (150, 2))]
+    assert {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()} == brute(edges)
