@@ -129,7 +129,15 @@ def _place(table: dict[int, tuple[np.ndarray, ...]]):
 
 
 def pack(parts: DataFrame, size: int = SIZE, seed: int = SEED) -> DataFrame:
-    """Pieces with ``sequence_id``, ``offset`` and ``padded_to``. ``parts`` must be a written table."""
+    """Pieces with ``sequence_id``, ``offset`` and ``padded_to``. ``parts`` must be a written table.
+
+    Ids, where they are kept, don't travel while pieces are ranked: they join the placed
+    pieces by the piece's number, one shuffle.
+    """
+    if "ids" in parts.columns:
+        placed = pack(parts.drop("ids"), size, seed)
+        ids = parts.select(F.col("piece").alias("i_piece"), "ids")
+        return placed.join(ids, F.col("piece") == F.col("i_piece")).select(*parts.columns, "sequence_id", "offset", "padded_to")
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = slots(pack_histogram(histogram, size), size)
     rows = parts.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "start"))
@@ -142,5 +150,8 @@ def pack(parts: DataFrame, size: int = SIZE, seed: int = SEED) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, **options: object) -> DataFrame:
     """Documents straight to placed pieces."""
     with settings(docs.sparkSession, small_batches()):
-        parts = written(pieces(docs, tokenizer, size=size, **options), "pieces")
-    return pack(parts, size)
+        parts = pieces(docs, tokenizer, size=size, **options)
+        if "ids" in parts.columns:
+            parts = parts.withColumn("piece", F.monotonically_increasing_id())
+        parts = written(parts, "pieces")
+    return pack(parts, size).drop("piece")

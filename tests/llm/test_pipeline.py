@@ -1,6 +1,7 @@
 """Every pipeline stage against plain Python on what the stage before kept, and the whole run."""
 
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -37,7 +38,7 @@ def run_stages(spark, d):
     return docs
 
 
-def check(spark, d, unique=True):
+def check(spark, d):
     docs = run_stages(spark, d)
     names = docs[0].columns
     assert all(x.columns == names and x.dtypes == docs[0].dtypes for x in docs[1:5])
@@ -49,10 +50,15 @@ def check(spark, d, unique=True):
     assert Counter(rows_of(docs[2])) == Counter(bare_lines(rows_of(docs[1])))
     assert docs[2].where("text IS NOT NULL").where(F.char_length("text") != F.col("n_chars")).count() == 0
 
-    before = rows_of(docs[2])
-    if unique:
-        groups = brute_join(before)
-        assert Counter(rows_of(docs[3])) == Counter((i, t) for i, t in before if groups[i][0] == i)
+    before, kept = rows_of(docs[2]), rows_of(docs[3])
+    groups = brute_join([(k, t) for k, (_, t) in enumerate(before)])
+    low = lambda i: (i is None, i or 0)
+    own = {}
+    for k, row in enumerate(before):
+        own.setdefault(groups[k][0], []).append(row)
+    assert not Counter(kept) - Counter(before) and len(kept) == len(own)
+    for rows in own.values():  # one of each group's rows with the smallest id
+        assert any(i == min((x for x, _ in rows), key=low) and (i, t) in kept for i, t in rows)
 
     sizes = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in docs[3].collect()]
     words = Counter()
@@ -73,6 +79,7 @@ def check(spark, d, unique=True):
         assert taken[s] == whole * words[s] + max(sums)
 
     packed = docs[5].collect()
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in packed)
     check_packing(rows_of(docs[4]), packed)
     assert sum(r.start == 0 for r in packed) == docs[4].count()
     return docs
@@ -85,7 +92,12 @@ def test_stages_on_table(spark, sf_dir):
 
 
 def test_stages_on_odd_rows(spark, tables):
-    check(spark, tables(documents=[(*r, "x", 1, 2) for r in ODD_DOCS], extra="score string, root int, size int"), unique=False)
+    check(spark, tables(documents=[(*r, "x", 1, 2) for r in ODD_DOCS], extra="score string, root int, size int"))
+
+
+def test_line_stage_without_lengths(spark):
+    docs = spark.createDataFrame([(1, "a line that all three of them have\nx"), (2, "a line that all three of them have"), (3, "a line that all three of them have")], "doc_id long, text string")
+    assert sorted(map(tuple, P.drop_repeated_lines(spark, docs, "").collect())) == [(1, "x"), (2, ""), (3, "a line that all three of them have")]
 
 
 def test_empty(spark, tables):
