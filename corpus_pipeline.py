@@ -22,13 +22,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in many documents stay in one of them; every document stays, with ``n_chars`` of its new text."""
+    """Lines found in many documents stay in one of them; every document stays, with ``n_chars``, if it has any, of its new text."""
     found = line_dedup.dedup_lines(docs)
+    if "n_chars" not in docs.columns:
+        return found
     return found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length(text_of())).cast(docs.schema["n_chars"].dataType))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of the n-gram join connect, the smallest id stays."""
+    """Of documents that links of the n-gram join connect, one with the smallest id stays."""
     return ngram_join.keep_one(docs)
 
 
@@ -38,8 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their place in a sequence."""
-    return packing.pack_documents(docs, tokens.default_tokenizer(), keep_ids=False)
+    """Pieces of all documents with their token ids (``ids``, little-endian unsigned 32-bit) and their place in a sequence."""
+    return packing.pack_documents(docs, tokens.default_tokenizer())
 
 
 STAGES = [
