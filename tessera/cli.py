@@ -1,18 +1,25 @@
-"""Command line: ``python -m tessera.cli base|overlap|feature|single|candidates|filter|precompute|progressive ...``.
+"""Command line: ``python -m tessera.cli base|overlap|feature|single|candidates|filter|precompute|progressive|sweep ...``.
 
 ``base <features> <threshold> <out> [compress]``; the others
 ``<variant> <features> <clusters> <threshold> <min size> <out> [compress]``.
+``sweep`` takes thresholds with commas and a folder of ``iterate1``, ``iterate2``, ... and
+writes gzip or plain text into ``threshold_T/min_hash_iterateJ`` folders.
+
+``feature``, ``single``, ``filter`` and ``precompute`` don't split features from image ids
+at tabs, and ``single`` takes a cluster's whole key as its id, as their formats have it.
 """
 
 from __future__ import annotations
 
 import sys
 
+from tessera.functions import DELIMITERS_NARROW, DELIMITERS_WIDE
 from tessera.operators import graph as G
-from tessera.operators.weights import postings_of
+from tessera.operators.weights import postings_of, vocabulary_of
+from tessera.plans.sweep import sweep_pool_edges
 from tessera.session import local_session
-from tessera.sources.sinks import edge_lines, write_text
-from tessera.sources.text import read_clusters, read_features
+from tessera.sources.sinks import edge_lines, write_sweep, write_text
+from tessera.sources.text import read_clusters, read_features, read_iterated_clusters
 
 VARIANTS = {
     "overlap": G.cluster_overlap_graph,
@@ -24,20 +31,29 @@ VARIANTS = {
     "progressive": G.progressive_graph,
 }
 
+NARROW = {"feature", "single", "filter", "precompute"}
+WHOLE_KEY = {"single"}
+
 
 def main(args: list[str]) -> int:
     args = list(args)
     compress = bool(args) and args[-1] == "compress"
     args = args[: len(args) - compress]
-    if not args or len(args) != (4 if args[0] == "base" else 6) or args[0] not in {"base", *VARIANTS}:
+    if not args or len(args) != (4 if args[0] == "base" else 6) or args[0] not in {"base", "sweep", *VARIANTS}:
         print(__doc__)
         return 2
     spark = local_session()
-    postings = postings_of(read_features(spark, args[1]))
+    obs = read_features(spark, args[1], delimiters=DELIMITERS_NARROW if args[0] in NARROW else DELIMITERS_WIDE)
+    postings = postings_of(obs, vocabulary_of(obs))
     if args[0] == "base":
         edges = G.similarity_graph(postings, float(args[2]))
+    elif args[0] == "sweep":
+        thresholds = {float(t): t for t in args[3].split(",")}
+        edges = sweep_pool_edges(postings, read_iterated_clusters(spark, args[2], min_size=int(args[4])), list(thresholds))
+        write_sweep(edges, args[-1], thresholds, compress)
+        return 0
     else:
-        pools = read_clusters(spark, args[2], min_size=int(args[4]), flagged=args[0] == "progressive")
+        pools = read_clusters(spark, args[2], min_size=int(args[4]), flagged=args[0] == "progressive", whole_key=args[0] in WHOLE_KEY)
         edges = VARIANTS[args[0]](postings, pools, float(args[3]))
     write_text(edge_lines(edges), args[-1], compress)
     return 0

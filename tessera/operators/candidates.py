@@ -22,12 +22,46 @@ def cluster_members(pools: DataFrame, min_size: int = 0) -> DataFrame:
     return pools.join(kept.select("cluster_id"), "cluster_id").select("cluster_id", "image_id")
 
 
+def with_pools(members: DataFrame, flagged: bool = False) -> DataFrame:
+    """``(cluster_id, image_id, pools[, flags])``: each distinct membership with all pools of its image, sorted.
+
+    ``flags`` are the flags of the image in its pools, by pool. An image's own pools are
+    few, so its row stays small.
+    """
+    if not flagged:
+        rows = members.groupBy("image_id").agg(F.array_sort(F.collect_set("cluster_id")).alias("pools"))
+        return rows.select(F.explode("pools").alias("cluster_id"), "image_id", "pools")
+    each = members.where("cluster_id IS NOT NULL").groupBy("image_id", "cluster_id").agg(F.collect_set("sample_flag").alias("f"))
+    rows = each.groupBy("image_id").agg(F.array_sort(F.collect_list("cluster_id")).alias("pools"), F.map_from_entries(F.collect_list(F.struct("cluster_id", "f"))).alias("flags"))
+    return rows.select(F.explode("pools").alias("cluster_id"), "image_id", "pools", "flags")
+
+
+def in_first_shared_pool(flagged: bool = False) -> Column:
+    """Whether rows ``a`` and ``b`` of ``with_pools`` meet in the smallest pool that counts for the pair.
+
+    A pair that shares several pools meets in each; this lets it count once without a
+    distinct over pairs.
+    """
+    shared = F.array_intersect("a.pools", "b.pools")
+    if flagged:
+        shared = F.filter(shared, lambda c: eligible_flag_sets(F.element_at("a.flags", c), F.element_at("b.flags", c)))
+    return F.col("a.cluster_id") == F.array_min(shared)
+
+
+def _pairs_of(rows: DataFrame, flagged: bool = False) -> DataFrame:
+    a, b = rows.alias("a"), rows.alias("b")
+    met = (F.col("a.cluster_id") == F.col("b.cluster_id")) & (F.col("a.image_id") < F.col("b.image_id")) & in_first_shared_pool(flagged)
+    return a.join(b, met).select(F.col("a.image_id").alias("image_a"), F.col("b.image_id").alias("image_b"))
+
+
 def cluster_pairs(members: DataFrame) -> DataFrame:
-    """Distinct ``(image_a, image_b)``, a before b as strings, that share a pool."""
-    own = members.select("cluster_id", "image_id")
-    a, b = own.alias("a"), own.alias("b")
-    joined = a.join(b, (F.col("a.cluster_id") == F.col("b.cluster_id")) & (F.col("a.image_id") < F.col("b.image_id")))
-    return joined.select(F.col("a.image_id").alias("image_a"), F.col("b.image_id").alias("image_b")).distinct()
+    """Distinct ``(image_a, image_b)``, a before b as strings, that share a pool.
+
+    All pairs of a pool are the result asked for, so its size is the square of a pool's;
+    graphs don't need it (their plan ``pools`` lists no pairs). Adaptive execution splits
+    a pool that holds much of the data.
+    """
+    return _pairs_of(with_pools(members))
 
 
 def eligible_flags(a: Column, b: Column) -> Column:
@@ -35,13 +69,14 @@ def eligible_flags(a: Column, b: Column) -> Column:
     return (a != b) | ((a == "in") & (b == "in"))
 
 
+def eligible_flag_sets(a: Column, b: Column) -> Column:
+    """``eligible_flags`` of some flag of each set; a membership repeated with other flags has several."""
+    return (F.size(a) > 0) & (F.size(b) > 0) & ((F.size(F.array_union(a, b)) > 1) | F.array_contains(F.array_intersect(a, b), "in"))
+
+
 def flagged_pairs(members: DataFrame) -> DataFrame:
     """Candidate pairs without those whose equal flags aren't ``in``: old against old isn't computed again."""
-    own = members.select("cluster_id", "image_id", "sample_flag")
-    a, b = own.alias("a"), own.alias("b")
-    fa, fb = F.col("a.sample_flag"), F.col("b.sample_flag")
-    joined = a.join(b, (F.col("a.cluster_id") == F.col("b.cluster_id")) & (F.col("a.image_id") < F.col("b.image_id")) & eligible_flags(fa, fb))
-    return joined.select(F.col("a.image_id").alias("image_a"), F.col("b.image_id").alias("image_b")).distinct()
+    return _pairs_of(with_pools(members, flagged=True), flagged=True)
 
 
 def cluster_ids(members: DataFrame) -> DataFrame:

@@ -7,10 +7,10 @@ the sum's shuffle and partially summed on the map side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.candidates import cluster_ids, cluster_left_join, cluster_pairs, eligible_flags, flagged_pairs
+from tessera.operators.candidates import cluster_ids, cluster_left_join, cluster_pairs, flagged_pairs, in_first_shared_pool, with_pools
 
 
 def _contributions(postings: DataFrame, keys: list[str], carry: tuple[str, ...] = (), residual: Column | None = None, product: Column | None = None) -> DataFrame:
@@ -41,16 +41,13 @@ def similarity_graph(postings: DataFrame, threshold: float = 0.0) -> DataFrame:
 
 def similarity_graph_bag(postings: DataFrame, threshold: float = 0.0) -> DataFrame:
     """As ``similarity_graph`` for postings that repeat (image, feature): every repeat counts, and pairs of an image with itself appear."""
-    rows = postings.where(F.col("w") > threshold).withColumn("row", F.monotonically_increasing_id())
+    repeat = F.row_number().over(Window.partitionBy("image_id", "feature_id").orderBy("w", "w_norm"))  # equal repeats are alike, so any order gives the same sums
+    rows = postings.where(F.col("w") > threshold).withColumn("repeat", repeat)
     a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.feature_id") == F.col("b.feature_id")) & (F.col("a.row") < F.col("b.row")))
-    return _summed(
-        pairs.select(
-            F.least("a.image_id", "b.image_id").alias("image_a"),
-            F.greatest("a.image_id", "b.image_id").alias("image_b"),
-            (F.col("a.w_norm") * F.col("b.w_norm")).alias("contribution"),
-        )
-    )
+    before = (F.col("a.image_id") < F.col("b.image_id")) | ((F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.repeat") < F.col("b.repeat")))
+    pairs = a.join(b, (F.col("a.feature_id") == F.col("b.feature_id")) & before)
+    contribution = (F.col("a.w_norm") * F.col("b.w_norm")).alias("contribution")
+    return _summed(pairs.select(F.col("a.image_id").alias("image_a"), F.col("b.image_id").alias("image_b"), contribution))
 
 
 def cluster_overlap_graph(postings: DataFrame, members: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -60,10 +57,8 @@ def cluster_overlap_graph(postings: DataFrame, members: DataFrame, threshold: fl
 
 
 def cluster_feature_graph(postings: DataFrame, members: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """Pairs joined by (feature, pool); a feature counts once however many pools a pair shares."""
-    rows = postings.where(F.col("w") > threshold).join(members.select("image_id", "cluster_id").distinct(), "image_id")
-    contributions = _contributions(rows, ["feature_id", "cluster_id"])
-    return _summed(contributions.dropDuplicates(["image_a", "image_b", "feature_id"]))
+    """Pairs joined by (feature, pool); a feature counts once, in the pair's first shared pool, however many the pair shares."""
+    return _summed(_pool_contributions(postings.where(F.col("w") > threshold), members))
 
 
 def overlapping_cluster_graph(postings: DataFrame, members: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -72,13 +67,10 @@ def overlapping_cluster_graph(postings: DataFrame, members: DataFrame, threshold
     return _summed(_contributions(rows, ["feature_id", "cluster_id"]))
 
 
-def _pool_contributions(rows: DataFrame, members: DataFrame, product: Column, flagged: bool = False) -> DataFrame:
+def _pool_contributions(rows: DataFrame, members: DataFrame, flagged: bool = False) -> DataFrame:
     """Pairs joined by (feature, pool), a feature once for each pair: the cost follows pairs that share both, and no candidate pair is listed."""
-    flag = ("sample_flag",) if flagged else ()
-    own = rows.select("image_id", "feature_id", "w_norm").join(members.select("image_id", "cluster_id", *flag).distinct(), "image_id")
-    residual = eligible_flags(F.col("a.sample_flag"), F.col("b.sample_flag")) if flagged else None
-    found = _contributions(own, ["feature_id", "cluster_id"], flag, residual, product)
-    return found.dropDuplicates(["image_a", "image_b", "feature_id"])
+    own = rows.select("image_id", "feature_id", "w_norm").join(with_pools(members, flagged), "image_id")
+    return _contributions(own, ["feature_id", "cluster_id"], ("pools", "flags") if flagged else ("pools",), in_first_shared_pool(flagged))
 
 
 def _candidate_contributions(rows: DataFrame, candidates: DataFrame, product: Column) -> DataFrame:
@@ -98,7 +90,7 @@ def _on_candidates(rows: DataFrame, members: DataFrame, plan: str, flagged: bool
     """
     product = F.col("a.w_norm") * F.col("b.w_norm")
     if plan == "pools":
-        return _summed(_pool_contributions(rows, members, product, flagged)).where(F.col("similarity") > 0)
+        return _summed(_pool_contributions(rows, members, flagged)).where(F.col("similarity") > 0)
     pairs = flagged_pairs(members) if flagged else cluster_pairs(members)
     if plan == "candidates":
         found = _candidate_contributions(rows, pairs, product)

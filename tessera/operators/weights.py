@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions import normalised_idf, saturated_tf
 
+#: Rows of (feature, frequency) that may be broadcast: some tens of megabytes.
+BROADCAST_FEATURES = 1_000_000
+
+
+def vocabulary_of(rows: DataFrame, feature: str = "feature_id") -> int:
+    """About how many features there are: one column read, no shuffle of rows. Five standard errors are added, so it errs upwards."""
+    return int(rows.agg(F.approx_count_distinct(feature, 0.01)).first()[0] * 1.05) + 1
+
 
 def doc_lengths(obs: DataFrame) -> DataFrame:
     """``(image_id, dl)``: features per image, whatever their value."""
@@ -18,8 +26,9 @@ def doc_lengths(obs: DataFrame) -> DataFrame:
 
 
 def corpus_stats(obs: DataFrame) -> DataFrame:
-    """One row ``(n_images, adl)``."""
-    return doc_lengths(obs).agg(F.count(F.lit(1)).alias("n_images"), F.avg("dl").alias("adl"))
+    """One row ``(n_images, adl, n_positive)``: images, their average length, and observations that can have a weight."""
+    by_image = obs.groupBy("image_id").agg(F.count(F.lit(1)).alias("dl"), F.count_if(F.col("value") > 0).alias("positive"))
+    return by_image.agg(F.count(F.lit(1)).alias("n_images"), F.avg("dl").alias("adl"), F.sum("positive").alias("n_positive"))
 
 
 def with_stats(rows: DataFrame, stats: DataFrame) -> DataFrame:
@@ -28,9 +37,13 @@ def with_stats(rows: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def tf_weights(obs: DataFrame, stats: DataFrame) -> DataFrame:
-    """``(image_id, feature_id, tf)`` of positive values."""
+    """``(image_id, feature_id, tf)`` of positive values.
+
+    Asking the statistics for ``n_positive`` changes no result, but makes them read the
+    values too, so that statistics, document frequencies and weights share one exchange.
+    """
     dl = F.count(F.lit(1)).over(Window.partitionBy("image_id"))
-    rows = with_stats(obs.withColumn("dl", dl).where(F.col("value") > 0), stats)
+    rows = with_stats(obs.withColumn("dl", dl).where(F.col("value") > 0), stats).where(F.col("n_positive") > 0)
     return rows.select("image_id", "feature_id", saturated_tf(F.col("value"), F.col("dl"), F.col("adl")).alias("tf"))
 
 
@@ -40,9 +53,17 @@ def idf_values(tf: DataFrame, stats: DataFrame) -> DataFrame:
     return with_stats(df, stats).select("feature_id", "df", normalised_idf(F.col("n_images"), F.col("df")).alias("idf"))
 
 
-def tfidf_weights(tf: DataFrame, idf: DataFrame) -> DataFrame:
-    """``(image_id, feature_id, w)``."""
-    rows = tf.join(idf.select("feature_id", "idf"), "feature_id")
+def tfidf_weights(tf: DataFrame, idf: DataFrame, vocabulary: int | None = None) -> DataFrame:
+    """``(image_id, feature_id, w)``.
+
+    ``vocabulary`` is the counted number of features, where it is known: up to
+    ``BROADCAST_FEATURES`` frequencies are broadcast, so rows dealt by image stay so and
+    norms need no further shuffle. Unknown or larger ones are joined by a shuffle.
+    """
+    frequencies = idf.select("feature_id", "idf")
+    if vocabulary is not None and vocabulary <= BROADCAST_FEATURES:
+        frequencies = F.broadcast(frequencies)
+    rows = tf.join(frequencies, "feature_id")
     return rows.select("image_id", "feature_id", (F.col("tf").cast("double") * F.col("idf")).alias("w"))
 
 
@@ -61,16 +82,16 @@ def inverted_list(weights: DataFrame) -> DataFrame:
     return rows.select("feature_id", "image_id", "w", (F.col("w") / F.col("norm")).alias("w_norm"))
 
 
-def weights_of(obs: DataFrame) -> DataFrame:
+def weights_of(obs: DataFrame, vocabulary: int | None = None) -> DataFrame:
     """Weights straight from observations."""
     stats = corpus_stats(obs)
     tf = tf_weights(obs, stats)
-    return tfidf_weights(tf, idf_values(tf, stats))
+    return tfidf_weights(tf, idf_values(tf, stats), vocabulary)
 
 
-def postings_of(obs: DataFrame) -> DataFrame:
+def postings_of(obs: DataFrame, vocabulary: int | None = None) -> DataFrame:
     """Postings straight from observations."""
-    return inverted_list(weights_of(obs))
+    return inverted_list(weights_of(obs, vocabulary))
 
 
 def image_vectors(weights: DataFrame) -> DataFrame:

@@ -11,12 +11,14 @@ from tessera.functions import rounded
 from tessera.operators import candidates as C
 from tessera.operators import graph as G
 from tessera.operators import weights as W
-from tessera.plans.sweep import sweep_summary
+from tessera.plans.sweep import sweep_pool_summary, sweep_summary
 from tessera.sources import tables as T
 from tessera.sources.text import parse_features, render_features, tagged_union
 
 BASE_T, PRUNED_T, CLUSTER_T, FLOAT_T, NORM_T = 0.01, 0.55, 0.01, 0.2, 0.2
 SWEEP = (0.50, 0.55, 0.60)
+POOL_SWEEP = (0.01, 0.3, 0.5)
+BAG_T = 0.55
 MEMBERS_MIN, CUSTOMER_MIN = 5, 10
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,8 +28,12 @@ def _edges(df: DataFrame) -> DataFrame:
     return df.select("image_a", "image_b", rounded("similarity"))
 
 
+def _weights(spark: SparkSession, d: str) -> DataFrame:
+    return W.weights_of(T.observations(spark, d), T.vocabulary(spark, d))
+
+
 def _postings(spark: SparkSession, d: str) -> DataFrame:
-    return W.postings_of(T.observations(spark, d))
+    return W.inverted_list(_weights(spark, d))
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
@@ -64,11 +70,11 @@ def q_idf_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
-    return W.weights_of(T.observations(spark, d)).select("image_id", "feature_id", rounded("w"))
+    return _weights(spark, d).select("image_id", "feature_id", rounded("w"))
 
 
 def q_l2_normalize(spark: SparkSession, d: str) -> DataFrame:
-    return W.l2_norms(W.weights_of(T.observations(spark, d))).select("image_id", rounded("norm"), "n_features")
+    return W.l2_norms(_weights(spark, d)).select("image_id", rounded("norm"), "n_features")
 
 
 def q_inverted_list(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +82,7 @@ def q_inverted_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_image_vectors(spark: SparkSession, d: str) -> DataFrame:
-    vectors = W.image_vectors(W.weights_of(T.observations(spark, d)))
+    vectors = W.image_vectors(_weights(spark, d))
     w = F.col("vector.w")
     return vectors.select(
         "image_id",
@@ -98,6 +104,16 @@ def q_threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     return sweep_summary(_postings(spark, d), SWEEP).select("threshold", "n_edges", rounded("sum_similarity"))
 
 
+def q_iteration_sweep(spark: SparkSession, d: str) -> DataFrame:
+    found = sweep_pool_summary(_postings(spark, d), T.iterated_pools(spark, d), POOL_SWEEP)
+    return found.select("threshold", "iterate", "n_edges", rounded("sum_similarity"))
+
+
+def q_similarity_graph_bag(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of lines, not summed by feature, so that an image repeats a feature."""
+    return _edges(G.similarity_graph_bag(W.postings_of(T.line_observations(spark, d), T.vocabulary(spark, d)), BAG_T))
+
+
 def q_cluster_members(spark: SparkSession, d: str) -> DataFrame:
     return C.cluster_members(T.pools(spark, d), MEMBERS_MIN)
 
@@ -107,13 +123,13 @@ def q_cluster_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_cluster_join(spark: SparkSession, d: str) -> DataFrame:
-    lengths = W.l2_norms(W.weights_of(T.observations(spark, d))).select("image_id", "n_features")
+    lengths = W.l2_norms(_weights(spark, d)).select("image_id", "n_features")
     joined = C.cluster_join(lengths, _members(spark, d))
     return joined.select("image_id", "n_features", F.size("cluster_ids").cast("bigint").alias("n_clusters"))
 
 
 def q_cluster_left_join(spark: SparkSession, d: str) -> DataFrame:
-    lengths = W.l2_norms(W.weights_of(T.observations(spark, d))).select("image_id", "n_features")
+    lengths = W.l2_norms(_weights(spark, d)).select("image_id", "n_features")
     return C.cluster_left_join(lengths, C.cluster_members(T.customer_pools(spark, d), CUSTOMER_MIN)).select("image_id", "cluster_id", "n_features")
 
 
@@ -219,6 +235,22 @@ ORACLE: dict[str, str] = {
   FROM postings a JOIN postings b ON a.feature_id = b.feature_id AND a.image_id < b.image_id
   JOIN (VALUES {", ".join(f"(CAST({t} AS DOUBLE))" for t in SWEEP)}) t(threshold) ON a.w > t.threshold AND b.w > t.threshold
   GROUP BY 1, 2, 3) GROUP BY threshold""",
+    "iteration_sweep": _CTE
+    + f"""SELECT threshold, iterate, COUNT(*) AS n_edges, ROUND(SUM(similarity), 6) AS sum_similarity FROM (
+  SELECT t.threshold, c.iterate, a.image_id AS x, b.image_id AS y, SUM(a.w_norm * b.w_norm) AS similarity
+  FROM postings a JOIN postings b ON a.feature_id = b.feature_id AND a.image_id < b.image_id
+  JOIN (SELECT DISTINCT CASE WHEN p.cluster_id LIKE 'c:%' THEN 1 ELSE 2 END AS iterate, p.image_id AS image_a, q.image_id AS image_b
+        FROM pools p JOIN pools q ON p.cluster_id = q.cluster_id AND p.image_id < q.image_id) c
+    ON c.image_a = a.image_id AND c.image_b = b.image_id
+  JOIN (VALUES {", ".join(f"(CAST({t} AS DOUBLE))" for t in POOL_SWEEP)}) t(threshold) ON a.w > t.threshold AND b.w > t.threshold
+  GROUP BY 1, 2, 3, 4) GROUP BY threshold, iterate""",
+    "similarity_graph_bag": _CTE.replace("SUM(l_quantity) AS value\n  FROM lineitem GROUP BY 1, 2)", "l_quantity AS value, l_linenumber AS line FROM lineitem)")
+    .replace("SELECT o.image_id, o.feature_id, CAST(", "SELECT o.image_id, o.feature_id, o.line, CAST(")
+    .replace("SELECT t.image_id, t.feature_id, CAST(", "SELECT t.image_id, t.feature_id, t.line, CAST(")
+    .replace("SELECT w.feature_id, w.image_id, w.w,", "SELECT w.feature_id, w.image_id, w.line, w.w,")
+    + f"""SELECT LEAST(a.image_id, b.image_id) AS image_a, GREATEST(a.image_id, b.image_id) AS image_b, ROUND(SUM(a.w_norm * b.w_norm), 6) AS similarity
+FROM postings a JOIN postings b ON a.feature_id = b.feature_id AND (a.image_id, a.line) < (b.image_id, b.line)
+WHERE {_both("w", str(BAG_T))} GROUP BY 1, 2""",
     "cluster_members": _CTE + f"SELECT cluster_id, image_id FROM pools WHERE cluster_id IN (SELECT cluster_id FROM pools GROUP BY 1 HAVING COUNT(*) > {MEMBERS_MIN})",
     "cluster_pairs": _CTE + "SELECT image_a, image_b FROM candidates",
     "cluster_join": _CTE + "SELECT n.image_id, n.n_features, COUNT(DISTINCT p.cluster_id) AS n_clusters FROM norms n JOIN pools p USING (image_id) GROUP BY 1, 2",

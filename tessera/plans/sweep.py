@@ -1,10 +1,10 @@
-"""Threshold sweeps in one plan."""
+"""Sweeps over thresholds, and over thresholds and runs of clustering, in one plan each."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,25 +16,56 @@ def sweep_edges(postings: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     the thresholds give each graph. The join is done once, not once a threshold.
     """
     steps = sorted(thresholds)
-    own = postings.where(F.col("w") > steps[0]).select("feature_id", "image_id", "w", "w_norm")
+    return _running(_by_level(postings, steps), steps)
+
+
+def sweep_pool_edges(postings: DataFrame, members: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """``(threshold, iterate, image_a, image_b, similarity)``: graphs of pairs that share a pool, for every threshold and run of clustering.
+
+    ``members`` are ``(iterate, cluster_id, image_id)``. Images carry their pools of all
+    runs, so one self-join serves the whole grid; a pair counts once in each run in which
+    it shares a pool.
+    """
+    steps = sorted(thresholds)
+    pool = F.struct(F.col("iterate").cast("int").alias("iterate"), "cluster_id")
+    ids = members.where("cluster_id IS NOT NULL AND iterate IS NOT NULL").groupBy("image_id").agg(F.array_sort(F.collect_set(pool)).alias("pools"))
+    runs = F.array_distinct(F.array_intersect("a.pools", "b.pools")["iterate"])
+    sums = _by_level(postings.join(ids, "image_id"), steps, ("pools",), F.arrays_overlap("a.pools", "b.pools"), {"iterate": F.explode(runs)})
+    return _running(sums, steps, ("iterate",))
+
+
+def _by_level(postings: DataFrame, steps: list[float], carry: tuple[str, ...] = (), residual: Column | None = None, keys: dict[str, Column] | None = None) -> DataFrame:
+    """Sums by pair, highest threshold passed and further keys, from one self-join."""
+    own = postings.where(F.col("w") > steps[0]).select("feature_id", "image_id", "w", "w_norm", *carry)
     a, b = own.alias("a"), own.alias("b")
     low = F.least("a.w", "b.w")
     level = sum((F.when(low > t, 1).otherwise(0) for t in steps[1:]), F.lit(0))
-    pairs = a.join(b, (F.col("a.feature_id") == F.col("b.feature_id")) & (F.col("a.image_id") < F.col("b.image_id")))
-    sums = (
-        pairs.select(F.col("a.image_id").alias("image_a"), F.col("b.image_id").alias("image_b"), level.alias("level"), (F.col("a.w_norm") * F.col("b.w_norm")).alias("c"))
-        .groupBy("image_a", "image_b", "level")
-        .agg(F.sum("c").alias("c"))
-    )
-    above = Window.partitionBy("image_a", "image_b").orderBy(F.col("level").desc())
+    condition = (F.col("a.feature_id") == F.col("b.feature_id")) & (F.col("a.image_id") < F.col("b.image_id"))
+    pairs = a.join(b, condition if residual is None else condition & residual)
+    more = [c.alias(k) for k, c in (keys or {}).items()]
+    rows = pairs.select(F.col("a.image_id").alias("image_a"), F.col("b.image_id").alias("image_b"), level.alias("level"), (F.col("a.w_norm") * F.col("b.w_norm")).alias("c"), *more)
+    return rows.groupBy("image_a", "image_b", *(keys or ()), "level").agg(F.sum("c").alias("c"))
+
+
+def _running(sums: DataFrame, steps: list[float], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Each threshold's sums from those by level."""
+    above = Window.partitionBy("image_a", "image_b", *keys).orderBy(F.col("level").desc())
     running = sums.withColumn("similarity", F.sum("c").over(above)).withColumn("next_level", F.lead("level", 1, -1).over(above))
     levels = F.array(*(F.lit(float(t)) for t in steps))
     # a running sum holds from its own level down to just above the next one present
     spans = F.transform(F.sequence(F.col("next_level") + 1, F.col("level")), lambda i: F.element_at(levels, i + 1))
-    return running.select(F.explode(spans).alias("threshold"), "image_a", "image_b", "similarity")
+    return running.select(F.explode(spans).alias("threshold"), *keys, "image_a", "image_b", "similarity")
 
 
 def sweep_summary(postings: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """``(threshold, n_edges, sum_similarity)``."""
-    edges = sweep_edges(postings, thresholds)
-    return edges.groupBy("threshold").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("similarity").alias("sum_similarity"))
+    return _summary(sweep_edges(postings, thresholds), "threshold")
+
+
+def sweep_pool_summary(postings: DataFrame, members: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """``(threshold, iterate, n_edges, sum_similarity)``."""
+    return _summary(sweep_pool_edges(postings, members, thresholds), "threshold", "iterate")
+
+
+def _summary(edges: DataFrame, *keys: str) -> DataFrame:
+    return edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_edges"), F.sum("similarity").alias("sum_similarity"))

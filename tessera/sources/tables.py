@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.weights import vocabulary_of
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,6 +22,17 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.repartition("image_id").groupBy("image_id", "feature_id").agg(F.sum("l_quantity").alias("value"))
 
 
+def line_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per line: an image repeats a feature that several of its lines have."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("image_id"), F.col("l_partkey").alias("feature_id"), F.col("l_quantity").alias("value"))
+    return rows.repartition("image_id")
+
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> int:
+    """About how many features there are, never too few."""
+    return vocabulary_of(table(spark, sf_dir, "lineitem"), "l_partkey")
+
+
 def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two memberships per image: its customer's pool and its order date's pool."""
     orders = table(spark, sf_dir, "orders").select(
@@ -33,6 +46,11 @@ def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("image_id", "sample_flag", F.explode("ids").alias("cluster_id"))
 
 
+def iterated_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of clustering: customers' pools are the first, dates' pools the second."""
+    return pools(spark, sf_dir).select(F.when(F.col("cluster_id").startswith("c:"), 1).otherwise(2).alias("iterate"), "cluster_id", "image_id")
+
+
 def customer_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Membership in the customer's pool only."""
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("image_id"), F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("cluster_id"))

@@ -49,25 +49,31 @@ def read_features(spark: SparkSession, path: str, **options: object) -> DataFram
     return parse_features(spark.read.text(path), **options)
 
 
-def parse_clusters(lines: DataFrame, line: str = "value", min_size: int = 0, flagged: bool = False) -> DataFrame:
-    """``(cluster_id, image_id[, sample_flag])`` from cluster lines.
+def parse_clusters(lines: DataFrame, line: str = "value", min_size: int = 0, flagged: bool = False, whole_key: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(cluster_id, image_id[, sample_flag])`` from cluster lines, after the columns ``keep`` of the lines.
+
+    A cluster's id is what stands between the first and second colon of the key, or, with
+    ``whole_key``, the whole key: then ``a:1`` and ``b:1`` are two clusters. A key without
+    a colon is no cluster either way.
 
     Only pools of more than ``min_size`` listed ids count, duplicates included.
     With ``flagged``, members are ``id#flag`` or ``id%flag``. Lines without a
     cluster id or without members give no rows.
     """
     key = F.split(F.col(line), "\t")
+    second = F.get(F.split(F.get(key, F.lit(0)), ":"), F.lit(1))
+    cluster_id = F.when(second.isNotNull(), F.get(key, F.lit(0))) if whole_key else second
     rows = (
         lines.where(F.col(line).isNotNull())
-        .select(F.get(F.split(F.get(key, F.lit(0)), ":"), F.lit(1)).alias("cluster_id"), split_ids(F.get(key, F.lit(1))).alias("ids"))
+        .select(*keep, cluster_id.alias("cluster_id"), split_ids(F.get(key, F.lit(1))).alias("ids"))
         .where(F.col("cluster_id").isNotNull() & F.col("ids").isNotNull() & (F.size("ids") > min_size))
-        .select("cluster_id", F.explode("ids").alias("image_id"))
+        .select(*keep, "cluster_id", F.explode("ids").alias("image_id"))
         .where(F.col("image_id") != "")
     )
     if not flagged:
         return rows
     part = F.split("image_id", "[#%]")
-    return rows.select("cluster_id", F.get(part, F.lit(0)).alias("image_id"), F.get(part, F.lit(1)).alias("sample_flag"))
+    return rows.select(*keep, "cluster_id", F.get(part, F.lit(0)).alias("image_id"), F.get(part, F.lit(1)).alias("sample_flag"))
 
 
 def read_clusters(spark: SparkSession, path: str, **options: object) -> DataFrame:
@@ -75,6 +81,14 @@ def read_clusters(spark: SparkSession, path: str, **options: object) -> DataFram
     return parse_clusters(spark.read.text(path), **options)
 
 
+def read_iterated_clusters(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    """Cluster rows of the folders ``iterate1``, ``iterate2``, ... under a path, with their number as ``iterate``; other files give no rows."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"/iterate([0-9]+)/[^/]*$", 1)
+    lines = lines.select("value", number.try_cast("int").alias("iterate")).where("iterate IS NOT NULL")
+    return parse_clusters(lines, keep=("iterate",), **options)
+
+
 def tagged_union(features: DataFrame, clusters: DataFrame) -> DataFrame:
     """Both inputs as one relation with a ``kind`` column."""
     vectors = features.select(F.lit("vector").alias("kind"), "image_id", "feature_id", "value")

@@ -1,5 +1,6 @@
 """Hand-computed graphs on four images, quirks, and a brute-force comparison."""
 
+import gzip
 import math
 import random
 
@@ -11,7 +12,7 @@ from tessera.cli import main
 from tessera.operators import candidates as C
 from tessera.operators import graph as G
 from tessera.operators import weights as W
-from tessera.plans.sweep import sweep_edges
+from tessera.plans.sweep import sweep_edges, sweep_pool_edges
 from tessera.sources import text as T
 from tessera.sources.sinks import edge_lines, posting_lines, write_edges, write_text
 
@@ -100,6 +101,17 @@ def test_sweep_equals_single_runs(postings):
     assert {t: swept.get(t, {}) for t in steps} == {t: edges(G.similarity_graph(postings, t)) for t in steps}
 
 
+def test_sweep_over_runs_equals_single_runs(spark, postings):
+    runs = {1: TWO, 2: ONE, 3: [("9", "a"), ("9", "d"), ("8", "a"), ("8", "d")]}
+    members = spark.createDataFrame([(j, c, i) for j, rows in runs.items() for c, i in rows], "iterate int, cluster_id string, image_id string")
+    steps, swept = (0.0, 0.1), {}
+    for r in sweep_pool_edges(postings, members, steps).collect():
+        swept.setdefault((r.threshold, r.iterate), {})[(r.image_a, r.image_b)] = round(r.similarity, 6)
+    for t in steps:
+        for j, rows in runs.items():
+            assert swept.get((t, j), {}) == edges(G.cluster_overlap_graph(postings, pools(spark, rows), t))
+
+
 def test_sweep_is_published_by_threshold(spark, postings, tmp_path):
     write_edges(sweep_edges(postings, (0.0, 0.1)), str(tmp_path / "sweep"), "threshold")
     assert {p.name for p in (tmp_path / "sweep").glob("threshold=*")} == {"threshold=0.0", "threshold=0.1"}
@@ -132,6 +144,36 @@ def test_clusters(spark):
     flagged = T.parse_clusters(lines(spark, ["p:1\ta#in b%out"]), flagged=True).collect()
     assert {(r.image_id, r.sample_flag) for r in flagged} == {("a", "in"), ("b", "out")}
     assert C.cluster_members(pools(spark, TWO), 2).count() == 0
+    whole = T.parse_clusters(lines(spark, ["a:1\tx y", "b:1\tz", "plain\tx"]), whole_key=True).collect()
+    assert {(r.cluster_id, r.image_id) for r in whole} == {("a:1", "x"), ("a:1", "y"), ("b:1", "z")}
+
+
+def test_pairs_that_share_several_pools_count_once(spark, postings):
+    p = pools(spark, [*TWO, *ONE, ("3", "a"), ("3", "b"), ("3", "b")])
+    assert edges(G.cluster_feature_graph(postings, p)) == edges(G.similarity_graph(postings))
+    assert C.cluster_pairs(p).count() == 6
+    rows = [("1", "a", "old"), ("1", "b", "old"), ("2", "a", "in"), ("2", "b", "old"), ("3", "a", "in"), ("3", "b", "in"), ("4", "c", "x"), ("4", "d", "x"), ("4", "d", "y"), ("5", "a", None), ("5", "c", "in")]
+    flagged = spark.createDataFrame(rows, "cluster_id string, image_id string, sample_flag string")
+    assert sorted(map(tuple, C.flagged_pairs(flagged).collect())) == [("a", "b"), ("c", "d")]
+    for plan in ("pools", "candidates", "features"):
+        assert edges(G.progressive_graph(postings, flagged, plan=plan)) == {("a", "b"): 0.605621, ("c", "d"): 0.448957}
+
+
+def test_broadcast_and_shuffled_frequencies_agree(spark):
+    obs = T.parse_features(lines(spark, LINES))
+    n = W.vocabulary_of(obs)
+    assert n >= 6
+    rows = [sorted((r.image_id, r.feature_id, r.w) for r in W.weights_of(obs, v).collect()) for v in (None, n, W.BROADCAST_FEATURES + 1)]
+    assert rows[0] == rows[1] == rows[2]
+
+
+def test_gzip_input(spark, tmp_path):
+    with gzip.open(tmp_path / "f.txt.gz", "wt") as file:
+        file.write("\n".join(x for x in LINES if x))
+    (tmp_path / "g.txt").write_text("9:1 %y\n")
+    got = T.read_features(spark, str(tmp_path)).collect()
+    plain = T.parse_features(lines(spark, [*LINES, "9:1 %y"])).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, plain))
 
 
 def test_left_join_default(spark):
@@ -160,6 +202,23 @@ def test_text_out_and_command_line(spark, tmp_path, postings):
     assert main(["overlap", str(tmp_path / "in"), str(tmp_path / "pools"), "0", "0", str(tmp_path / "o2"), "compress"]) == 0
     assert spark.read.text(str(tmp_path / "o2")).count() == 2
     assert main(["nonsense"]) == 2
+    for j, rows in ((1, "m:1\ta b\nm:2\tb c\n"), (2, "m:1\tc d\n")):
+        (tmp_path / f"runs/iterate{j}").mkdir(parents=True)
+        (tmp_path / f"runs/iterate{j}/c.txt").write_text(rows)
+    assert main(["sweep", str(tmp_path / "in"), str(tmp_path / "runs"), "0,0.1", "0", str(tmp_path / "o3"), "compress"]) == 0
+    found = {str(p.parent.relative_to(tmp_path / "o3")) for p in (tmp_path / "o3").rglob("*.gz")}
+    assert found == {f"threshold_{t}/min_hash_iterate{j}" for t in ("0", "0.1") for j in (1, 2)}
+    assert [x.value for x in spark.read.text(str(tmp_path / "o3/threshold_0.1/min_hash_iterate2")).collect()][0].startswith("(c,d)\t")
+
+
+def test_command_line_delimiters_and_keys_by_variant(spark, tmp_path):
+    """Some formats split at tabs, others have tabs in image ids; one keeps a cluster's whole key."""
+    (tmp_path / "f.txt").write_text("1:2 %a\tx\n1:2 %b\tx\n2:1 %c\n")
+    (tmp_path / "c.txt").write_text("p:1\ta b\nq:1\tc\n")
+    for variant, want in (("overlap", {"(a,b)"}), ("feature", set()), ("candidates", {"(a,b)"}), ("single", {"(a\tx,b\tx)"})):
+        out = str(tmp_path / variant)
+        assert main([variant, str(tmp_path / "f.txt"), str(tmp_path / "c.txt"), "0", "0", out]) == 0
+        assert {x.value.rpartition("\t")[0] for x in spark.read.text(out).collect()} == want
 
 
 def brute(obs, t):
