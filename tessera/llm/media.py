@@ -5,7 +5,8 @@ row) in ZIP archives below a shared folder and writes a manifest of the archives
 committed tasks made; archives of lost attempts aren't listed and so never read.
 
 The ``media_archive`` source plans (archive, first byte, last byte) partitions from
-sizes alone. A task reads the archive's directory, takes the members whose header
+sizes alone: ranges of ``RANGE_BYTES``, longer where a read would have more than
+``MAX_RANGES`` of them, so the driver's plan is bounded. A task reads the archive's directory, takes the members whose header
 begins in its range, streams them as Arrow batches of at most ``BATCH_BYTES``, and
 retries each member alone at its offset. A member that can't be read after
 ``RETRIES`` attempts gives a row with its error and a null payload; others go on.
@@ -35,6 +36,7 @@ from tessera.llm.common import open_store, settings, shared_dir, small_batches
 WIDTH = 576
 ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 16 << 20
+MAX_RANGES = 100_000
 BATCH_BYTES = 8 << 20
 RETRIES = 3
 LEVEL = 6
@@ -143,7 +145,8 @@ class ArchiveReader(DataSourceReader):
             sizes = [(r["archive"], r["bytes"]) for r in listed]
         else:
             sizes = [(x.base_name, x.size) for x in store.get_file_info(fs.FileSelector(at)) if x.base_name.endswith(".zip")]
-        found = [ByteRange(name, a, min(a + self.range_bytes, size)) for name, size in sorted(sizes) for a in range(0, size, self.range_bytes)]
+        step = max(self.range_bytes, -(-sum(size for _, size in sizes) // MAX_RANGES))
+        found = [ByteRange(name, a, min(a + step, size)) for name, size in sorted(sizes) for a in range(0, size, step)]
         return found or [ByteRange("", 0, 0)]
 
     def member(self, source, entry: zipfile.ZipInfo) -> bytes:
