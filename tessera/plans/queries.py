@@ -167,7 +167,7 @@ QUERIES: dict[str, Query] = {name[2:]: f for name, f in list(globals().items())
 _CTE = """
 WITH obs AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS image_id, l_partkey AS feature_id, SUM(l_quantity) AS value
-  FROM lineitem GROUP BY 1, 2),
+  FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL GROUP BY 1, 2),
 lengths AS (SELECT image_id, COUNT(*) AS dl FROM obs GROUP BY image_id),
 stats AS (SELECT COUNT(*) AS n_images, AVG(dl) AS adl FROM lengths),
 tf AS (
@@ -244,7 +244,8 @@ ORACLE: dict[str, str] = {
     ON c.image_a = a.image_id AND c.image_b = b.image_id
   JOIN (VALUES {", ".join(f"(CAST({t} AS DOUBLE))" for t in POOL_SWEEP)}) t(threshold) ON a.w > t.threshold AND b.w > t.threshold
   GROUP BY 1, 2, 3, 4) GROUP BY threshold, iterate""",
-    "similarity_graph_bag": _CTE.replace("SUM(l_quantity) AS value\n  FROM lineitem GROUP BY 1, 2)", "l_quantity AS value, l_linenumber AS line FROM lineitem)")
+    "similarity_graph_bag": _CTE.replace("SUM(l_quantity) AS value", "l_quantity AS value, l_linenumber AS line")
+    .replace("l_partkey IS NOT NULL GROUP BY 1, 2)", "l_partkey IS NOT NULL)")
     .replace("SELECT o.image_id, o.feature_id, CAST(", "SELECT o.image_id, o.feature_id, o.line, CAST(")
     .replace("SELECT t.image_id, t.feature_id, CAST(", "SELECT t.image_id, t.feature_id, t.line, CAST(")
     .replace("SELECT w.feature_id, w.image_id, w.w,", "SELECT w.feature_id, w.image_id, w.line, w.w,")

@@ -13,19 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (image, feature).
+    """One row per (image, feature); a row without either is no observation.
 
-    Rows are dealt by image before grouping: the grouping hardly shrinks them, and
+    The condition is stated here so that every use of the rows has the same one, and the
+    uses share the exchange. Rows are dealt by image before grouping: the grouping hardly shrinks them, and
     lengths and norms per image then need no further shuffle.
     """
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("image_id"), F.col("l_partkey").alias("feature_id"), "l_quantity")
-    return rows.repartition("image_id").groupBy("image_id", "feature_id").agg(F.sum("l_quantity").alias("value"))
+    return rows.where("image_id IS NOT NULL AND feature_id IS NOT NULL").repartition("image_id").groupBy("image_id", "feature_id").agg(F.sum("l_quantity").alias("value"))
 
 
 def line_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line: an image repeats a feature that several of its lines have."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("image_id"), F.col("l_partkey").alias("feature_id"), F.col("l_quantity").alias("value"))
-    return rows.repartition("image_id")
+    return rows.where("image_id IS NOT NULL AND feature_id IS NOT NULL").repartition("image_id")
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> int:
