@@ -56,10 +56,10 @@ def scratch(spark: SparkSession):
         remove(spark, root)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """The rows, written to the shared folder and read back: cuts lineage and fixes what later steps see."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

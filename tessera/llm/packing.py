@@ -153,5 +153,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, **options:
         parts = pieces(docs, tokenizer, size=size, **options)
         if "ids" in parts.columns:
             parts = parts.withColumn("piece", F.monotonically_increasing_id())
-        parts = written(parts, "pieces")
+        parts = written(parts, "pieces", "zstd")  # half of an id's bytes are mostly zero
     return pack(parts, size).drop("piece")
