@@ -53,7 +53,7 @@ STRETCH = 25
 BLOCK, BLOCK_BYTES = 256, 8 << 20
 SMALL = 8  # buckets of so few members list their pairs outright
 SEED = 29
-WORDS_KEPT, WORD_CHARS = 100_000, 64  # word hashes that a worker remembers, of words no longer than this
+WORDS_KEPT, WORD_CHARS = 50_000, 64  # word hashes that a worker remembers, of words no longer than this
 FEATURES = "k1 long, k2 long, doc_id long, set_hash binary, n_shingles long, signature binary, bands array<long>"
 
 

@@ -171,11 +171,16 @@ class _Corpus:
             words = fresh_words(text)
             self.docs.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
         words = list(number)
+        del number
         self.size = np.maximum(gram_counts(words), 1)
-        parts = [(bucket[valid].astype(np.int32), word[valid].astype(np.int32)) for bucket, word, valid in gram_slices(words, buckets)]
-        flat, owner = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        self.flat = flat[np.argsort(owner, kind="stable")]
-        self.kept = np.bincount(owner, minlength=len(words))
+        flat, kept = [], []
+        for at in range(0, len(words), SLICE):  # some words at a time: the lists of all n-grams' words would be large
+            own = words[at : at + SLICE]
+            parts = [(bucket[valid].astype(np.int32), word[valid].astype(np.int32)) for bucket, word, valid in gram_slices(own, buckets)]
+            bucket, word = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            flat.append(bucket[np.argsort(word, kind="stable")])
+            kept.append(np.bincount(word, minlength=len(own)))
+        self.flat, self.kept = np.concatenate(flat), np.concatenate(kept)
         self.start = np.cumsum(self.kept) - self.kept
 
     def document_counts(self, docs: np.ndarray, buckets: int) -> np.ndarray:
