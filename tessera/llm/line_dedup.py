@@ -29,7 +29,7 @@ from tessera.llm.common import SPACE, lower_ascii, text_of, written
 
 SAMPLE_ROWS = 1_000_000  # a table of so few rows is counted, of a larger one SHARE at least
 SHARE = 0.01
-HEAVY_ROWS = 10_000
+HEAVY_ROWS = 2_000
 MAX_HEAVY = 10_000
 
 
