@@ -495,8 +495,8 @@ def brute_rows(rows):
 def test_join_takes_rows_that_repeat_an_id(spark):
     docs = spark.createDataFrame(REPEATED, "doc_id long, text string")
     want, groups = brute_rows(REPEATED)
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.join(docs.repartition(5)).collect()) == Counter(want)
     for _ in range(2):
-        assert Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.join(docs.repartition(5)).collect()) == Counter(want)
         kept = [(r.doc_id, r.text or "") for r in ngram_join.keep_one(docs.repartition(3)).collect()]
         assert len(kept) == len(set(groups))
         low = lambda r: (r[0] is None, r[0] or 0)
@@ -521,11 +521,11 @@ def test_join_of_one_group_with_half_the_rows(spark, tmp_path, monkeypatch):
     got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join(spark.createDataFrame(rows(300), "doc_id long, text string")).collect()}
     assert got == brute_join(rows(300)) and got[1][1] > 100
     shuffled = []
-    for n in (600, 2_400):
+    for n in (400, 1_200):
         before = shuffle_bytes(spark)
         ngram_join.join(spark.createDataFrame(rows(n), "doc_id long, text string")).write.mode("overwrite").format("noop").save()
         shuffled.append(shuffle_bytes(spark) - before)
-    assert shuffled[1] < 1.3 * 4 * shuffled[0]
+    assert shuffled[1] < 1.3 * 3 * shuffled[0]
 
 
 def shuffle_bytes(spark):

@@ -234,7 +234,8 @@ def test_chat_odd(spark, tables):
         (4, 0, "user", "twice"),
         (4, 0, "user", "twice"),
     ]
-    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in Q.QUERIES["op3_chat_format"](spark, tables(conversations=rows)).collect()}
+    d = tables(conversations=[(*r, "x", 1, "y") for r in rows], extra="record string, part int, segment string")
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in Q.QUERIES["op3_chat_format"](spark, d).collect()}
     control = Q.CONTROL_TEXT
     assert got == brute_conversations([*rows, (-1, 0, "user", control), (-1, 1, "assistant", control)])
 
