@@ -23,29 +23,34 @@ def cluster_members(pools: DataFrame, min_size: int = 0) -> DataFrame:
 
 
 def with_pools(members: DataFrame, flagged: bool = False) -> DataFrame:
-    """``(cluster_id, image_id, pools[, flags])``: each distinct membership with all pools of its image, sorted.
+    """``(cluster_id, image_id, lower[, own, flags])``: each distinct membership with the image's smaller pools.
 
-    ``flags`` are the flags of the image in its pools, by pool. An image's own pools are
-    few, so its row stays small.
+    ``own`` are the image's flags in the pool and ``flags`` those in all its pools. An
+    image's own pools are few, so its row stays small.
     """
+    lower = F.slice("pools", F.lit(1), F.col("at")).alias("lower")
     if not flagged:
         rows = members.groupBy("image_id").agg(F.array_sort(F.collect_set("cluster_id")).alias("pools"))
-        return rows.select(F.explode("pools").alias("cluster_id"), "image_id", "pools")
+        return rows.select(F.posexplode("pools").alias("at", "cluster_id"), "image_id", "pools").select("cluster_id", "image_id", lower)
     each = members.where("cluster_id IS NOT NULL").groupBy("image_id", "cluster_id").agg(F.collect_set("sample_flag").alias("f"))
     rows = each.groupBy("image_id").agg(F.array_sort(F.collect_list("cluster_id")).alias("pools"), F.map_from_entries(F.collect_list(F.struct("cluster_id", "f"))).alias("flags"))
-    return rows.select(F.explode("pools").alias("cluster_id"), "image_id", "pools", "flags")
+    rows = rows.select(F.posexplode("pools").alias("at", "cluster_id"), "image_id", "pools", "flags")
+    return rows.select("cluster_id", "image_id", lower, F.element_at("flags", F.col("cluster_id")).alias("own"), "flags")
 
 
 def in_first_shared_pool(flagged: bool = False) -> Column:
     """Whether rows ``a`` and ``b`` of ``with_pools`` meet in the smallest pool that counts for the pair.
 
     A pair that shares several pools meets in each; this lets it count once without a
-    distinct over pairs.
+    distinct over pairs. Most pairs are settled by an empty list.
     """
-    shared = F.array_intersect("a.pools", "b.pools")
-    if flagged:
-        shared = F.filter(shared, lambda c: eligible_flag_sets(F.element_at("a.flags", c), F.element_at("b.flags", c)))
-    return F.col("a.cluster_id") == F.array_min(shared)
+    first = (F.size("a.lower") == 0) | (F.size("b.lower") == 0) | ~F.arrays_overlap("a.lower", "b.lower")
+    if not flagged:
+        return first
+    counted = F.exists(F.array_intersect("a.lower", "b.lower"), lambda c: eligible_flag_sets(F.element_at("a.flags", c), F.element_at("b.flags", c)))
+    single = (F.size("a.own") == 1) & (F.size("b.own") == 1)
+    eligible = F.when(single, eligible_flags(F.get("a.own", F.lit(0)), F.get("b.own", F.lit(0)))).otherwise(eligible_flag_sets(F.col("a.own"), F.col("b.own")))
+    return eligible & (first | ~counted)
 
 
 def _pairs_of(rows: DataFrame, flagged: bool = False) -> DataFrame:

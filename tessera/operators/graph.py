@@ -70,7 +70,7 @@ def overlapping_cluster_graph(postings: DataFrame, members: DataFrame, threshold
 def _pool_contributions(rows: DataFrame, members: DataFrame, flagged: bool = False) -> DataFrame:
     """Pairs joined by (feature, pool), a feature once for each pair: the cost follows pairs that share both, and no candidate pair is listed."""
     own = rows.select("image_id", "feature_id", "w_norm").join(with_pools(members, flagged), "image_id")
-    return _contributions(own, ["feature_id", "cluster_id"], ("pools", "flags") if flagged else ("pools",), in_first_shared_pool(flagged))
+    return _contributions(own, ["feature_id", "cluster_id"], ("lower", "own", "flags") if flagged else ("lower",), in_first_shared_pool(flagged))
 
 
 def _candidate_contributions(rows: DataFrame, candidates: DataFrame, product: Column) -> DataFrame:
