@@ -1,6 +1,6 @@
 """One JSON line: seconds of the headline queries on ``$BENCH_SF_DIR`` with ``local[$BENCH_CPUS]``.
 
-Each query runs ``RUNS`` times from the files, nothing cached between runs; its figure is the median.
+Each query runs ``RUNS`` times from the files, nothing cached between runs; its figure is the median (of two, their mean).
 """
 
 import json
@@ -16,7 +16,7 @@ os.environ["PYTHONPATH"] = f"{sys.path[0]}:{os.environ.get('PYTHONPATH', '')}"
 from tessera.plans.queries import QUERIES  # noqa: E402
 from tessera.session import local_session  # noqa: E402
 
-RUNS = 3
+RUNS = 2
 HEADLINE = (
     "corpus_stats",
     "inverted_list",
