@@ -244,7 +244,7 @@ ORACLE: dict[str, str] = {
     ON c.image_a = a.image_id AND c.image_b = b.image_id
   JOIN (VALUES {", ".join(f"(CAST({t} AS DOUBLE))" for t in POOL_SWEEP)}) t(threshold) ON a.w > t.threshold AND b.w > t.threshold
   GROUP BY 1, 2, 3, 4) GROUP BY threshold, iterate""",
-    "similarity_graph_bag": _CTE.replace("SUM(l_quantity) AS value", "l_quantity AS value, l_linenumber AS line")
+    "similarity_graph_bag": _CTE.replace("SUM(l_quantity) AS value", "l_quantity AS value, ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_quantity) AS line")
     .replace("l_partkey IS NOT NULL GROUP BY 1, 2)", "l_partkey IS NOT NULL)")
     .replace("SELECT o.image_id, o.feature_id, CAST(", "SELECT o.image_id, o.feature_id, o.line, CAST(")
     .replace("SELECT t.image_id, t.feature_id, CAST(", "SELECT t.image_id, t.feature_id, t.line, CAST(")
