@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -74,6 +75,20 @@ def test_exact_dedup_over_batches_and_reruns(spark, sf_dir, tmp_path):
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.digest) for r in got) == brute_exact(rows)
 
 
+def test_exact_dedup_state_reserves_no_disk(spark, sf_dir):
+    """State takes disk by its rows, not some MB for each partition."""
+    local = spark._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf())
+    found = lambda: {p: p.stat().st_blocks * 512 for p in Path(local).rglob("MANIFEST-*")}
+    made = {}
+    for _ in range(3):  # Spark may delete the folders of ended streams at any time
+        before = found()
+        exact_dedup.dedup(spark, f"{sf_dir}/documents.parquet").count()
+        made = {p: n for p, n in found().items() if p not in before}
+        if made:
+            break
+    assert made and max(made.values()) < 1 << 20
+
+
 def test_exact_dedup_survives_collisions(spark, sf_dir):
     weak = lambda text: F.substring(F.sha2(text, 256), 1, 1)  # noqa: E731  sixteen digests for all texts
     got = exact_dedup.dedup(spark, f"{sf_dir}/documents.parquet", digest=weak).collect()
