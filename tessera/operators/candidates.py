@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: the pool of images without one.
 UNKNOWN = "unknown"
+#: Members of a pool in one block. Two blocks meet in one row, so a task holds the square of this many pairs at a time.
+BLOCK = 512
 
 
 def cluster_members(pools: DataFrame, min_size: int = 0) -> DataFrame:
@@ -53,20 +55,46 @@ def in_first_shared_pool(flagged: bool = False) -> Column:
     return eligible & (first | ~counted)
 
 
-def _pairs_of(rows: DataFrame, flagged: bool = False) -> DataFrame:
-    a, b = rows.alias("a"), rows.alias("b")
-    met = (F.col("a.cluster_id") == F.col("b.cluster_id")) & (F.col("a.image_id") < F.col("b.image_id")) & in_first_shared_pool(flagged)
-    return a.join(b, met).select(F.col("a.image_id").alias("image_a"), F.col("b.image_id").alias("image_b"))
+def pool_blocks(members: DataFrame) -> DataFrame:
+    """``(cluster_id, block, ids, larger)``: the distinct members of each pool in order, cut into blocks.
+
+    ``larger`` are the pools of each member that come before this one, larger pools first;
+    null where no member of the block has any. Numbering a pool's members is one sort,
+    little beside its pairs.
+    """
+    known = members.where("cluster_id IS NOT NULL AND image_id IS NOT NULL")
+    sizes = known.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+    pools = F.array_sort(F.collect_set(F.struct((-F.col("size")).alias("order"), "cluster_id")))["cluster_id"]
+    rows = known.join(sizes, "cluster_id").groupBy("image_id").agg(pools.alias("pools"))
+    rows = rows.select("image_id", "pools", F.posexplode("pools").alias("at", "cluster_id"))
+    before = F.row_number().over(Window.partitionBy("cluster_id").orderBy("image_id")) - 1
+    rows = rows.select("cluster_id", F.floor(before / BLOCK).alias("block"), "image_id", F.slice("pools", F.lit(1), F.col("at")).alias("larger"))
+    blocks = rows.groupBy("cluster_id", "block").agg(F.array_sort(F.collect_list(F.struct("image_id", "larger"))).alias("of"), F.max(F.size("larger")).alias("most"))
+    return blocks.select("cluster_id", "block", F.col("of.image_id").alias("ids"), F.when(F.col("most") > 0, F.col("of.larger")).alias("larger"))
+
+
+def _share(a: Column, b: Column) -> Column:
+    """``arrays_overlap`` that makes no hash table when one list has one element."""
+    first = lambda c: F.get(c, F.lit(0))
+    return F.when(F.size(a) == 1, F.array_contains(b, first(a))).when(F.size(b) == 1, F.array_contains(a, first(b))).otherwise(F.arrays_overlap(a, b))
 
 
 def cluster_pairs(members: DataFrame) -> DataFrame:
     """Distinct ``(image_a, image_b)``, a before b as strings, that share a pool.
 
     All pairs of a pool are the result asked for, so its size is the square of a pool's;
-    graphs don't need it (their plan ``pools`` lists no pairs). Adaptive execution splits
-    a pool that holds much of the data.
+    graphs don't need it (their plan ``pools`` lists no pairs). Blocks of a pool are joined
+    instead of members, by pool and lower block, so a large pool is dealt over many tasks and
+    members are in order without being compared. A pair counts in the largest pool it
+    shares: the many pairs of the largest pools need no look at others.
     """
-    return _pairs_of(with_pools(members))
+    blocks = pool_blocks(members)
+    later = blocks.select("cluster_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("block"))).alias("block"), F.col("block").alias("b_block"), F.col("ids").alias("b_ids"), F.col("larger").alias("b_larger"))
+    met = later.join(blocks, ["cluster_id", "block"]).select((F.col("block") == F.col("b_block")).alias("same"), "ids", "larger", "b_ids", "b_larger")
+    rows = met.select("same", "larger", "b_ids", "b_larger", F.posexplode("ids").alias("i", "image_a"))
+    rows = rows.select("same", "larger", "b_larger", "i", "image_a", F.posexplode("b_ids").alias("j", "image_b"))
+    new = F.col("larger").isNull() | F.col("b_larger").isNull() | ~_share(F.get("larger", F.col("i")), F.get("b_larger", F.col("j")))
+    return rows.where((~F.col("same") | (F.col("i") < F.col("j"))) & new).select("image_a", "image_b")
 
 
 def eligible_flags(a: Column, b: Column) -> Column:
@@ -81,7 +109,10 @@ def eligible_flag_sets(a: Column, b: Column) -> Column:
 
 def flagged_pairs(members: DataFrame) -> DataFrame:
     """Candidate pairs without those whose equal flags aren't ``in``: old against old isn't computed again."""
-    return _pairs_of(with_pools(members, flagged=True), flagged=True)
+    rows = with_pools(members, flagged=True)
+    a, b = rows.alias("a"), rows.alias("b")
+    met = (F.col("a.cluster_id") == F.col("b.cluster_id")) & (F.col("a.image_id") < F.col("b.image_id")) & in_first_shared_pool(flagged=True)
+    return a.join(b, met).select(F.col("a.image_id").alias("image_a"), F.col("b.image_id").alias("image_b"))
 
 
 def cluster_ids(members: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import gzip
 import math
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -148,6 +149,35 @@ def test_clusters(spark):
     assert {(r.cluster_id, r.image_id) for r in whole} == {("a:1", "x"), ("a:1", "y"), ("b:1", "z")}
 
 
+@pytest.mark.parametrize("block", [1, 4, 512])
+def test_cluster_pairs_by_blocks(spark, monkeypatch, block):
+    """All pairs of pools of one and several blocks, each once, whatever the pools' sizes, order, repeats and nulls."""
+    monkeypatch.setattr(C, "BLOCK", block)
+    rng = random.Random(block)
+    rows = [(f"{rng.choice('abc')}:{int(rng.random() ** 2 * 9)}", str(rng.randrange(40))) for _ in range(150)]
+    rows += [("z", str(k)) for k in range(30)] + [("y", str(k)) for k in range(10, 40)] + [(None, "1"), (None, "2"), ("z", None), ("y", None), ("é", "Ω"), ("é", "1")]
+    members = defaultdict(set)
+    for pool, image in rows:
+        if pool is not None and image is not None:
+            members[pool].add(image)
+    want = {(x, y) for of in members.values() for x in of for y in of if x < y}
+    df = spark.createDataFrame(rows, "cluster_id string, image_id string")
+    got = [tuple(r) for r in C.cluster_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert C.cluster_pairs(df.limit(0)).count() == 0
+
+
+def test_cluster_pairs_join_blocks(spark, monkeypatch):
+    """A join of a pool of n members yields pairs of blocks, not of members, and no task has the whole pool."""
+    monkeypatch.setattr(C, "BLOCK", 50)
+    df = spark.createDataFrame([("p", str(k)) for k in range(1_000)], "cluster_id string, image_id string")
+    found = C.cluster_pairs(df)
+    assert found.count() == 1_000 * 999 // 2
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x]
+    assert joins and not [x for x in joins if "arrays_overlap" in x or "image_id" in x]
+    assert [x for x in joins if "cluster_id" in x and "block" in x]
+
+
 def test_pairs_that_share_several_pools_count_once(spark, postings):
     p = pools(spark, [*TWO, *ONE, ("3", "a"), ("3", "b"), ("3", "b")])
     assert edges(G.cluster_feature_graph(postings, p)) == edges(G.similarity_graph(postings))
