@@ -42,4 +42,30 @@ SELECT l.doc_id, count(*) AS n_lines,
        count(*) FILTER (c.key IS NOT NULL AND c.last <> l.doc_id) AS n_dropped,
        sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (c.key IS NULL OR c.last = l.doc_id), '')) AS kept_sha256
 FROM lines l LEFT JOIN common c ON l.key = c.key GROUP BY l.doc_id""",
+    "op11_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+marks AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT d.part, coalesce(m.good, false) AS good, coalesce(m.toxic, false) AS toxic,
+         CAST(len(d.words) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(d.words)) < 50 * len(d.words) AS INTEGER)
+         + 4 * CAST(100 * length(regexp_replace(d.text, '[^A-Z]+', '', 'g')) > 3 * length(d.text) AS INTEGER)
+         + 8 * CAST(regexp_matches(d.text, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(d.doc_id > f.first, false) AS INTEGER) AS m
+  FROM d JOIN firsts f ON d.text = f.text LEFT JOIN marks m ON d.doc_id = m.doc_id),
+counted AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM fails GROUP BY part, m),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b),
+orders AS (
+  SELECT v.x || w.x || y.x || z.x || u.x AS filter_order, [v.b, w.b, y.b, z.b, u.b] AS bits
+  FROM letters v, letters w, letters y, letters z, letters u WHERE v.b | w.b | y.b | z.b | u.b = 31),
+steps AS (SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS before FROM orders, range(1, 6) r(step)),
+rows AS (
+  SELECT c.part, s.filter_order, s.step, s.bit,
+         coalesce(sum(n) FILTER (m & (before | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (m & before = 0 AND m & bit <> 0), 0) AS removed,
+         coalesce(sum(n) FILTER (m & before <> 0 AND m & bit <> 0), 0) AS redundant, coalesce(sum(n) FILTER (m = bit), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (m & before = 0 AND m & bit <> 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (m & before = 0 AND m & bit <> 0), 0) AS toxic_lost
+  FROM counted c, steps s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM rows""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, line_dedup, media, mixing, ngram_join, packing, tokens, toxicity, url_filter, warc
+from tessera.llm import chat, exact_dedup, filter_audit, line_dedup, media, mixing, ngram_join, packing, tokens, toxicity, url_filter, warc
 from tessera.llm.common import text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,4 +83,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(docs)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
+    return filter_audit.audit(filter_audit.failures(docs, labels))
+
+
 QUERIES: dict[str, Query] = {name: f for name, f in list(globals().items()) if name.startswith("op") and name[2].isdigit()}
