@@ -68,4 +68,20 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
        CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
        CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
 FROM rows""",
+    "op13_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+anchors AS (SELECT DISTINCT vec_id, label, x FROM v WHERE vec_id % 100 = 0),
+scored AS (SELECT a.vec_id AS anchor_id, a.label AS own, a.x AS ax, b.vec_id, b.label, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score FROM anchors a, v b),
+positives AS (
+  SELECT anchor_id, own, ax, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = own AND vec_id IS DISTINCT FROM anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id, own, ax ORDER BY score DESC, vec_id NULLS LAST) <= 5),
+found AS (
+  SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.own, p.ax, p.positive_id ORDER BY s.score DESC, s.vec_id NULLS LAST) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND s.own = p.own AND s.ax = p.ax
+  WHERE s.label <> s.own AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 5""",
 }

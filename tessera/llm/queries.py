@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, filter_audit, line_dedup, media, mixing, ngram_join, packing, tokens, toxicity, url_filter, warc
+from tessera.llm import chat, exact_dedup, filter_audit, hard_negatives, line_dedup, media, mixing, ngram_join, packing, quality, tokens, toxicity, url_filter, warc
 from tessera.llm.common import text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,4 +89,17 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.failures(docs, labels))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+    return quality.score(docs, model)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    label = F.col("label").cast("bigint")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(hard_negatives.whole_vectors(rows), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {name: f for name, f in list(globals().items()) if name.startswith("op") and name[2].isdigit()}
