@@ -18,8 +18,8 @@ This runs twice: for the positives (same label, best ``n_positives``), and for t
 (other labels, with a window of scores for each positive). Both joins are exact; bounds only
 spare work, and are widened by ``SLACK`` against rounding.
 
-Rows travel as tiles: matrices of up to ``TILE`` candidates made where they are read, and of
-up to ``BLOCK`` anchors of a group, dealt by group and salt so that a group that holds much
+Rows travel as tiles: matrices of up to ``TILE`` candidates of a cell, made where they are read
+and written once for all joins, and of up to ``BLOCK`` anchors of a group, dealt by group and salt so that a group that holds much
 of the table is many tiles. Spark joins the tiles of a group, and its adaptive skew join
 splits a hot one; a task computes one pair of tiles at a time. What is broadcast is bounded:
 pivots, and a row of bounds for each. Where vectors lie so that bounds spare nothing, as
@@ -54,8 +54,10 @@ SEED = 29
 LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max  # no floor, no ceiling; MOST also orders a null id last
 EXACT = 2.0**53
 
-TILE_FIELDS = pa.schema([("group", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("known", pa.binary()), ("labels", pa.binary()), ("kind", pa.string()), ("vectors", pa.binary())])
-TILE_SCHEMA = "group int, width int, ids binary, known binary, labels binary, kind string, vectors binary"
+TILE_FIELDS = pa.schema([("cell", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("known", pa.binary()), ("labels", pa.binary()), ("kind", pa.string()), ("vectors", pa.binary())])
+TILE_SCHEMA = "cell int, width int, ids binary, known binary, labels binary, kind string, vectors binary"
+SERVING_FIELDS = pa.schema([*TILE_FIELDS, ("group", pa.int32()), ("serves", pa.binary())])
+SERVING_SCHEMA = f"{TILE_SCHEMA}, group int, serves binary"
 BLOCK_FIELDS = pa.schema([("group", pa.int32()), ("q_width", pa.int32()), ("q_ids", pa.binary()), ("q_rows", pa.binary()), ("q_labels", pa.binary()), ("q_kind", pa.string()), ("q_vectors", pa.binary()), ("q_low", pa.binary()), ("q_high", pa.binary())])
 BLOCK_SCHEMA = "group int, q_width int, q_ids binary, q_rows binary, q_labels binary, q_kind string, q_vectors binary, q_low binary, q_high binary"
 FOUND_FIELDS = pa.schema([("anchor", pa.int64()), ("anchor_row", pa.int64()), ("slot", pa.int32()), ("score", pa.int64()), ("found_id", pa.int64())])
@@ -126,49 +128,54 @@ def _unpacked(kind: str, data: bytes, rows: int, width: int) -> np.ndarray:
     return np.frombuffer(data, kind).reshape(rows, width).astype(np.float64)
 
 
-def candidate_tiles(vectors: DataFrame, cells: Cells, bounds: dict[int, tuple[float, float]] | None) -> DataFrame:
-    """Tiles of candidates by group: of their own cell without ``bounds``, else of every other group that they might serve."""
+def candidate_tiles(vectors: DataFrame, cells: Cells) -> DataFrame:
+    """Tiles of the candidates of a cell, each in order of id."""
 
-    def tile(group: int, parts: list) -> list:
+    def tile(cell: int, parts: list) -> list:
         ids, known, labels, x = (np.concatenate([p[i] for p in parts]) for i in range(4))
         order = np.argsort(np.where(known, ids, MOST), kind="stable")  # so that ties are in order of id
-        return [group, x.shape[1], ids[order].tobytes(), known[order].tobytes(), labels[order].tobytes(), *_packed(x[order])]
+        return [cell, x.shape[1], ids[order].tobytes(), known[order].tobytes(), labels[order].tobytes(), *_packed(x[order])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
-        size: dict[tuple[int, int], int] = {}
-        slack = SLACK * (1.0 + np.sqrt(cells.norm2))
         for batch in batches:
             x = matrix(batch.column(2))
             known = ~np.asarray(batch.column(0).is_null())
             ids, labels = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            far = cells.distances(x, cells.augmented(x))
-            cell = far.argmin(axis=1)
-            full = []
-            for group in range(len(cells.pivots)):
-                if bounds is None:
-                    chosen = np.flatnonzero(cell == group)
-                elif group in bounds:  # a distance that isn't a number is never out of bounds
-                    low, high = bounds[group]
-                    chosen = np.flatnonzero((cell != group) & ~(far[:, group] < low - slack) & ~(far[:, group] > high + slack))
-                else:
-                    continue
-                key = (group, x.shape[1])
+            cell = cells.distances(x, cells.augmented(x)).argmin(axis=1)
+            for c in np.unique(cell):
+                chosen = np.flatnonzero(cell == c)
                 for at in range(0, len(chosen), TILE):
                     own = chosen[at : at + TILE]
-                    held.setdefault(key, []).append((ids[own], known[own], labels[own], x[own]))
-                    size[key] = size.get(key, 0) + len(own)
-                    if size[key] >= TILE:
-                        full.append(tile(group, held.pop(key)))
-                        size[key] = 0
-            if full:
-                yield _batch(full, TILE_FIELDS)
-        for (group, _), parts in held.items():
-            yield _batch([tile(group, parts)], TILE_FIELDS)
+                    parts = held.setdefault((int(c), x.shape[1]), [])
+                    parts.append((ids[own], known[own], labels[own], x[own]))
+                    if sum(len(p[0]) for p in parts) >= TILE:
+                        yield _batch([tile(int(c), held.pop((int(c), x.shape[1])))], TILE_FIELDS)
+        for (c, _), parts in held.items():
+            yield _batch([tile(c, parts)], TILE_FIELDS)
 
     return vectors.select("vec_id", "label", "vector").mapInArrow(run, TILE_SCHEMA)
 
 
+def replicated(tiles: DataFrame, cells: Cells, bounds: dict[int, tuple[float, float]]) -> DataFrame:
+    """Each tile once for every other group that some of its candidates might serve; ``serves`` tells which ones, a byte each."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slack = SLACK * (1.0 + np.sqrt(cells.norm2))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                t = batch.slice(i, 1).to_pylist()[0]
+                x = _unpacked(t["kind"], t["vectors"], len(t["known"]), t["width"])
+                far = cells.distances(x, cells.augmented(x))
+                for group, (low, high) in bounds.items():
+                    # a distance that isn't a number is never out of bounds
+                    serves = ~(far[:, group] < low - slack) & ~(far[:, group] > high + slack)
+                    if group != t["cell"] and serves.any():
+                        yield _batch([[*(t[f.name] for f in TILE_FIELDS), group, serves.tobytes()]], SERVING_FIELDS)
+
+    return tiles.mapInArrow(run, SERVING_SCHEMA)
+
+
 def _batch(rows: list, fields: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], schema=fields)
 
@@ -244,7 +251,10 @@ def meet(tiles: DataFrame, blocks: DataFrame, same_label: bool, k: int) -> DataF
         q_ids, q_rows, q_labels = (np.frombuffer(x[c], np.int64) for c in ("q_ids", "q_rows", "q_labels"))
         ids, labels, known = np.frombuffer(x["ids"], np.int64), np.frombuffer(x["labels"], np.int64), np.frombuffer(x["known"], bool)
         low, high = (np.frombuffer(x[c], np.int64).reshape(len(q_ids), -1) for c in ("q_low", "q_high"))
-        found = scores(_unpacked(x["q_kind"], x["q_vectors"], len(q_ids), x["q_width"]), _unpacked(x["kind"], x["vectors"], len(ids), x["width"]))
+        vectors = _unpacked(x["kind"], x["vectors"], len(ids), x["width"])
+        if x["serves"] is not None:
+            ids, labels, known, vectors = (v[np.frombuffer(x["serves"], bool)] for v in (ids, labels, known, vectors))
+        found = scores(_unpacked(x["q_kind"], x["q_vectors"], len(q_ids), x["q_width"]), vectors)
         fits = (q_labels[:, None] == labels[None]) == same_label
         if same_label:
             fits &= (q_ids[:, None] != ids[None]) | ~known[None]
@@ -280,12 +290,12 @@ def _bounds(anchors: DataFrame, norm2: float) -> dict[int, tuple[float, float]]:
     return {x["group"]: (x["low"], x["high"]) for x in rows.collect()}  # a row a pivot
 
 
-def search(vectors: DataFrame, cells: Cells, anchors: DataFrame, slots: DataFrame, same_label: bool, k: int) -> DataFrame:
+def search(tiles: DataFrame, cells: Cells, anchors: DataFrame, slots: DataFrame, same_label: bool, k: int) -> DataFrame:
     """``(anchor, anchor_row, slot, rank, score, found_id)``: the ``k`` best candidates of each slot within its ``low`` and ``high`` scores.
 
-    ``anchors`` are placed ones, ``slots`` ``(anchor, anchor_row, slot, low, high)``; slots count from 0.
+    ``tiles`` and ``anchors`` are written ones, ``slots`` ``(anchor, anchor_row, slot, low, high)``; slots count from 0.
     """
-    spark = vectors.sparkSession
+    spark = tiles.sparkSession
     n = anchors.count()
     salts, partitions = max(1, n // SALT_ROWS), max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // (16 * BLOCK))
     width = (slots.agg(F.max("slot")).first()[0] or 0) + 1
@@ -297,19 +307,18 @@ def search(vectors: DataFrame, cells: Cells, anchors: DataFrame, slots: DataFram
         each = [F.array(*(F.coalesce(F.try_element_at("of", F.lit(i))[c], F.lit(none)) for i in range(width))).alias(c) for c, none in (("low", MOST), ("high", LEAST))]
         return written(anchors.join(lists.select("anchor", "anchor_row", *each), ["anchor", "anchor_row"]), "negatives-anchors")
 
-    def found(rows: DataFrame, bounds: dict[int, tuple[float, float]] | None) -> DataFrame:
+    def found(rows: DataFrame, serving: DataFrame) -> DataFrame:
+        # blocks are written, so both sides of the join are plain shuffles, which adaptive execution splits
+        blocks = written(anchor_blocks(rows, partitions, salts), "negatives-blocks")
         with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(PAIRS_PER_BATCH)}):
-            blocks = written(anchor_blocks(rows, partitions, salts), "negatives-blocks")
-            # tiles are written, so both sides of their join are plain shuffles, which adaptive execution splits
-            return written(meet(tiles_of[bounds is None](bounds), blocks, same_label, k), "negatives-found")
+            return written(meet(serving, blocks, same_label, k), "negatives-found")
 
-    tiles_of = {True: lambda _: written(candidate_tiles(vectors, cells, None), "negatives-tiles"), False: lambda b: written(candidate_tiles(vectors, cells, b), "negatives-tiles")}
-    home = found(with_slots(slots), None)
+    home = found(with_slots(slots), tiles.withColumns({"group": F.col("cell"), "serves": F.lit(None).cast("binary")}))
     at_home = ranked_best(home, k)
     floors = at_home.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
     raised = slots.join(floors, KEY, "left").select(*KEY, F.when(F.col("n") >= k, F.greatest("low", "least")).otherwise(F.col("low")).alias("low"), "high")
     rows = with_slots(raised)
-    rest = found(rows, _bounds(rows, cells.norm2))
+    rest = found(rows, replicated(tiles, cells, _bounds(rows, cells.norm2)))
     return ranked_best(home.unionByName(rest), k)
 
 
@@ -321,11 +330,12 @@ def mine(vectors: DataFrame, is_anchor: Column, n_positives: int = 5, n_negative
     cells = cells_of(vectors, pivots)
     own = vectors.where(is_anchor & F.col("vec_id").isNotNull()).select(F.col("vec_id").alias("anchor"), F.xxhash64("label", "vector").alias("anchor_row"), "label", "vector", "norm2")
     anchors = written(placed_anchors(own.dropDuplicates(["anchor", "anchor_row"]), cells), "negatives-placed")
+    tiles = written(candidate_tiles(vectors, cells), "negatives-tiles")
     every = anchors.select("anchor", "anchor_row", F.lit(0).alias("slot"), F.lit(LEAST).alias("low"), F.lit(MOST).alias("high"))
-    positives = search(vectors, cells, anchors, every, True, n_positives)
+    positives = search(tiles, cells, anchors, every, True, n_positives)
     positives = written(positives.select("anchor", "anchor_row", (F.col("rank") - 1).alias("slot"), F.col("found_id").alias("positive_id"), F.col("score").alias("positive_score")), "negatives-positives")
     exact = F.col("positive_score").cast("decimal(20,0)")
     windows = positives.where("positive_score >= 0").select(*KEY, F.ceil(exact * F.lit(least_share).cast("decimal(6,4)")).cast("bigint").alias("low"), F.col("positive_score").alias("high"))
-    negatives = search(vectors, cells, anchors, windows, False, n_negatives)
+    negatives = search(tiles, cells, anchors, windows, False, n_negatives)
     rows = negatives.select(*KEY, "rank", F.col("found_id").alias("negative_id"), F.col("score").alias("negative_score")).join(positives, KEY)
     return rows.select(F.col("anchor").alias("anchor_id"), "positive_id", "rank", "negative_id", "positive_score", "negative_score")
