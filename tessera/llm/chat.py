@@ -189,15 +189,19 @@ def _unescape_role(role: str) -> str:
 def format_turns(turns: DataFrame, loss_roles: Sequence[str] = LOSS_ROLES) -> DataFrame:
     """Adds ``segment`` and, for roles that are learnt, ``loss_start`` and ``loss_length`` in code points of the segment.
 
-    A conversation's formatted text is its segments in order of turn and part.
+    A conversation's formatted text is its segments ``in_order``. ``raw_role`` and ``raw_text`` are
+    given where escaping changed them, for that order.
     """
-    role, text = F.coalesce("role", F.lit("")), escape(F.coalesce("text", F.lit("")))
-    head = F.concat(F.lit(START), _escape_role(role), F.lit("\n"))
+    role, raw = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    named, text = _escape_role(role), escape(raw)
+    head = F.concat(F.lit(START), named, F.lit("\n"))
     learnt = role.isin(*loss_roles)
     return turns.select(
         "conv_id",
         "turn",
         "part",
+        F.when(named != role, role).alias("raw_role"),
+        F.when(text != raw, raw).alias("raw_text"),
         F.concat(head, text, F.lit(END + "\n")).alias("segment"),
         F.when(learnt, F.char_length(head)).alias("loss_start"),
         F.when(learnt, F.char_length(text)).alias("loss_length"),
@@ -242,7 +246,14 @@ def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip(last, DIGEST_KINDS, strict=True)], [k for k, _ in DIGEST_KINDS])
 
 
+def in_order() -> list[Column]:
+    """Keys that sort formatted turns: by turn and part, then by role and text as they were before escaping."""
+    body = F.substr("segment", F.lit(len(START) + 1), F.char_length("segment") - len(START + END) - 1)
+    name = F.substring_index(body, "\n", 1)
+    text = F.substr(body, F.char_length(name) + 2)
+    return [F.col("turn"), F.col("part"), F.coalesce("raw_role", name), F.coalesce("raw_text", text)]
+
+
 def digests(segments: DataFrame) -> DataFrame:
     """One row a conversation, read back from the formatted segments in order."""
-    order = ("conv_id", "turn", "part", "segment")
-    return segments.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "segment", "loss_start", "loss_length").mapInArrow(_digests, DIGEST_SCHEMA)
+    return segments.repartition("conv_id").sortWithinPartitions("conv_id", *in_order()).select("conv_id", "segment", "loss_start", "loss_length").mapInArrow(_digests, DIGEST_SCHEMA)

@@ -11,7 +11,7 @@ text by locator and are compared with the one that stays. Texts that differ unde
 digest are grouped again by their whole text, so a collision can't drop a document.
 
 The longest original text, then the smallest id, then the locator decides what stays; a
-null id comes last. A null text is empty. Repeated rows are rows of their own, told apart
+null id comes last. Ids are whole numbers of 64 bits; others raise. A null text is empty. Repeated rows are rows of their own, told apart
 by locator. An empty table gives no rows.
 """
 
@@ -56,8 +56,8 @@ def digest_rows(docs: DataFrame, id_col: str, text_col: str, digest) -> DataFram
 
 def best_of(rows: DataFrame) -> DataFrame:
     """State by digest: the row that stays, and the number of rows."""
-    # of equal lengths the largest negated id, which is null, the smallest value, for a null id
-    own = F.struct("n_points", (-F.col("doc_id")).alias("order"), "file", "row", "doc_id")
+    # of equal lengths the largest complement of the id, which is null, the smallest value, for a null id
+    own = F.struct("n_points", F.bitwise_not("doc_id").alias("order"), "file", "row", "doc_id")
     return rows.groupBy("digest").agg(F.max(own).alias("best"), F.count(F.lit(1)).alias("members"))
 
 
@@ -130,6 +130,6 @@ def dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str
     rows = digest_rows(docs, id_col, text_col, digest)
     whole = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), normalised(text_of(text_col)).alias("text_group"))
     again = rows.join(unequal, "digest", "left_semi").join(whole, ["file", "row"])
-    own = F.struct("n_points", (-F.col("doc_id")).alias("order"), "file", "row", "doc_id")
+    own = F.struct("n_points", F.bitwise_not("doc_id").alias("order"), "file", "row", "doc_id")
     split = again.groupBy("digest", "text_group").agg(F.max(own).alias("best"), F.count(F.lit(1)).alias("members"))
     return found.join(unequal, "digest", "left_anti").unionByName(again.join(split, ["digest", "text_group"]).select(*result, "text_group"))

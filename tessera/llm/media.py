@@ -4,10 +4,11 @@
 row) in ZIP archives below a shared folder and writes a manifest of the archives that
 committed tasks made; archives of lost attempts aren't listed and so never read.
 
-The ``media_archive`` source plans (archive, first byte, last byte) partitions from
-sizes alone: ranges of ``RANGE_BYTES``, longer where a read would have more than
-``MAX_RANGES`` of them, so the driver's plan is bounded. A task reads the archive's directory, takes the members whose header
-begins in its range, streams them as Arrow batches of at most ``BATCH_BYTES``, and
+The ``media_archive`` source plans ranges (archive, first byte, last byte) of
+``RANGE_BYTES`` from sizes alone, and puts several into a partition where a read would
+have more than ``MAX_RANGES`` partitions. The driver reads the manifest for that, a row an
+archive, and lists each range once. For each range a task reads the archive's directory,
+takes the members whose header begins in it, streams them as Arrow batches of at most ``BATCH_BYTES``, and
 retries each member alone at its offset. A member that can't be read after
 ``RETRIES`` attempts gives a row with its error and a null payload; others go on.
 
@@ -122,9 +123,11 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
         rows.mapInArrow(_write(folder, archive_bytes), "archive string, members long, bytes long").write.parquet(f"{folder}/_manifest")
 
 
-class ByteRange(InputPartition):
-    def __init__(self, archive: str, start: int, end: int):
-        self.archive, self.start, self.end = archive, start, end
+class ByteRanges(InputPartition):
+    """One task's ranges, each (archive, first byte, last byte)."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 class ArchiveReader(DataSourceReader):
@@ -134,7 +137,7 @@ class ArchiveReader(DataSourceReader):
         self.batch_bytes = int(options.get("batchbytes", BATCH_BYTES))
         self.retries = int(options.get("retries", RETRIES))
 
-    def partitions(self) -> list[ByteRange]:
+    def partitions(self) -> list[ByteRanges]:
         """One row for each archive is read here, never a member's."""
         import pyarrow.parquet as pq
         from pyarrow import fs
@@ -145,9 +148,9 @@ class ArchiveReader(DataSourceReader):
             sizes = [(r["archive"], r["bytes"]) for r in listed]
         else:
             sizes = [(x.base_name, x.size) for x in store.get_file_info(fs.FileSelector(at)) if x.base_name.endswith(".zip")]
-        step = max(self.range_bytes, -(-sum(size for _, size in sizes) // MAX_RANGES))
-        found = [ByteRange(name, a, min(a + step, size)) for name, size in sorted(sizes) for a in range(0, size, step)]
-        return found or [ByteRange("", 0, 0)]
+        ranges = [(name, a, min(a + self.range_bytes, size)) for name, size in sorted(sizes) for a in range(0, size, self.range_bytes)]
+        each = max(1, -(-len(ranges) // MAX_RANGES))
+        return [ByteRanges(ranges[i : i + each]) for i in range(0, len(ranges), each)] or [ByteRanges([])]
 
     def member(self, source, entry: zipfile.ZipInfo) -> bytes:
         """A member's bytes, from its own offset; checks length and CRC."""
@@ -163,14 +166,16 @@ class ArchiveReader(DataSourceReader):
             raise OSError("damaged member")
         return data
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        if not partition.archive:
-            return
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
+        for archive, start, end in partition.ranges:
+            yield from self.read_range(archive, start, end)
+
+    def read_range(self, name: str, start: int, end: int) -> Iterator[pa.RecordBatch]:
         store, at = open_store(self.folder)
-        path = f"{at}/{partition.archive}"
+        path = f"{at}/{name}"
         source = store.open_input_file(path)
         with zipfile.ZipFile(source) as archive:
-            entries = sorted((e for e in archive.infolist() if partition.start <= e.header_offset < partition.end), key=lambda e: e.header_offset)
+            entries = sorted((e for e in archive.infolist() if start <= e.header_offset < end), key=lambda e: e.header_offset)
         source = store.open_input_file(path)
         rows, size = [], 0
         for entry in entries:
@@ -183,7 +188,7 @@ class ArchiveReader(DataSourceReader):
                     error = str(failed) or type(failed).__name__
                     source.close()
                     source = store.open_input_file(path)
-            rows.append((partition.archive, entry.header_offset, entry.filename, data, error))
+            rows.append((name, entry.header_offset, entry.filename, data, error))
             size += len(data or b"")
             if size >= self.batch_bytes:
                 yield self.batch(rows)

@@ -5,7 +5,7 @@ are counted by (source, exact size). For each source the budget beyond whole cop
 is met by length counts: every length gives its proportional share of all but the last
 ``DP_LIMIT`` words, what rounding left is filled by longest lengths, and
 bounded-knapsack dynamic programming fits the rest, exactly where a subset allows.
-Which documents of a length are taken is decided by rank of a seeded hash of their id.
+Which documents of a length are taken is decided by rank of a seeded hash of their id and text.
 
 The driver holds one row for each source name, and a task one source's histogram (a
 row for each distinct size); documents stay distributed, and ranks within a length
@@ -124,7 +124,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             F.col(source_col).alias("source"),
             F.xxhash64(text).alias("text_key"),
             word_count(text).alias("size"),
-            F.xxhash64(F.lit(seed), F.col(id_col)).alias("order"),
+            F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text)).alias("order"),
         ),
         "mix-sizes",
     )

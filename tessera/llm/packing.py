@@ -12,8 +12,8 @@
 
 What is broadcast is the slot table, bounded by ``size`` and not by the data. Sequences
 are padded to ``size``, except those whose fill is a power of two (``padded_to``). A
-null or empty text is the end id alone. Rows that repeat an id are packed each. An
-empty table gives no rows.
+null or empty text is the end id alone. Rows that repeat an id are packed each. Ids
+are whole numbers of 64 bits; others raise. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -68,7 +68,7 @@ def matched_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     by_host: dict[str, list[tuple[str, str, str]]] = {}
     for verdict, rule in rules:
         name, slash, rest = rule.partition("/")
-        by_host.setdefault(name.lower(), []).append((slash + rest, rule, verdict))
+        by_host.setdefault(_lower(name), []).append((slash + rest, rule, verdict))
     if not by_host:
         return F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
     entry = lambda p, r, v: F.struct(F.lit(p).alias("path"), F.lit(r).alias("rule"), F.lit(v).alias("verdict"))
@@ -78,6 +78,11 @@ def matched_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return F.array_max(F.transform(fits, lambda x: F.struct(F.char_length(x["rule"]).alias("size"), x["rule"].alias("rule"), x["verdict"].alias("verdict"))))
 
 
+def _lower(name: str) -> str:
+    """A-Z only, as in the URLs' hosts."""
+    return "".join(c.lower() if c.isascii() else c for c in name)
+
+
 def host_suffixes(host: Column) -> Column:
     """The host and its parent domains."""
     parts = F.split(host, r"\.", -1)
@@ -95,7 +100,7 @@ def joined_rule(rows: DataFrame, rules: DataFrame) -> DataFrame:
     slash = F.instr("rule", "/")
     name = F.when(slash > 0, F.substr("rule", F.lit(1), slash - 1)).otherwise(F.col("rule"))
     table = rules.where("rule IS NOT NULL AND verdict IS NOT NULL").select(
-        F.lower(name).alias("r_host"), F.when(slash > 0, F.substr("rule", slash)).otherwise("").alias("r_path"), F.struct(F.char_length("rule").alias("size"), "rule", "verdict").alias("r")
+        lower_ascii(name).alias("r_host"), F.when(slash > 0, F.substr("rule", slash)).otherwise("").alias("r_path"), F.struct(F.char_length("rule").alias("size"), "rule", "verdict").alias("r")
     )
     table = table.groupBy("r_host", "r_path").agg(F.max("r").alias("r"))
     lengths = table.select(F.col("r_host").alias("l_host"), F.char_length("r_path").alias("l")).distinct()
