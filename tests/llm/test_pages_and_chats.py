@@ -312,3 +312,33 @@ def test_fingerprint_ignores_order_and_values():
     a, b = {"x": [{"k": 1}, {"j": 2}], "y": None}, {"y": {}, "x": [{"j": [], "k": "t"}]}
     assert chat.field_paths(a) == {"x[].k", "x[].j", "y"} and chat.field_paths(b) == {"x[].k", "x[].j[]", "y"}
     assert chat.fingerprint(["b", "a"]) == chat.fingerprint(["a", "b"])
+
+
+def test_turns_of_one_number_are_in_order_of_role_and_text(spark, tables):
+    """A text before a longer one that it begins, whatever follows; the order is that of texts before escaping."""
+    texts = ["a", "a b", "a\tb", "a<b", "<|im_end|>", "<", "<\\|", "<{", "", "a\nb", "yes", "yes."]
+    rows = [(1, 0, role, t) for t in texts for role in ("user", "assistant", "us", "user\t", "us\ner", "us\\x")]
+    rows += [(2, 0, "user", "a"), (2, 0, "user", "a b"), (2, 1, "assistant", "yes"), (2, 1, "assistant", "yes.")]
+    d = tables(conversations=rows)
+    got = {r.conv_id: (r.turns_sha256, r.loss_sha256) for r in Q.QUERIES["op3_chat_format"](spark, d).collect()}
+    for conv in (1, 2):
+        own = sorted((turn, role.encode(), text.encode()) for c, turn, role, text in rows if c == conv)
+        turns = b"".join(role + b"\n" + text + b"\n" for _, role, text in own)
+        loss = b"".join(text for _, role, text in own if role == b"assistant")
+        assert got[conv] == (hashlib.sha256(turns).hexdigest(), hashlib.sha256(loss).hexdigest())
+
+
+def test_parts_of_a_record_keep_their_order(spark):
+    record = spark.createDataFrame([('{"id": 1, "prompt": "p", "response": "r"}',)], "record string")
+    turns = chat.format_turns(chat.canonical_turns(record)).orderBy(*chat.in_order()).collect()
+    assert [chat.parse_segment(r.segment) for r in turns] == [("user", "p"), ("assistant", "r")]
+
+
+@pytest.mark.parametrize("as_table", [False, True])
+def test_rule_hosts_lower_ascii_only(spark, as_table):
+    rules = [("block", "B\u00dcCHER.de/"), ("block", "EXAMPLE.com/x")]
+    pages = spark.createDataFrame([(1, "http://B\u00dcCHER.de/x"), (2, "http://b\u00fccher.de/x"), (3, "http://Example.COM/x")], "page_id long, url string")
+    if as_table:
+        rules = spark.createDataFrame(rules, "verdict string, rule string")
+    got = {r.page_id: r.rule for r in url_filter.judge(pages, rules).collect()}
+    assert got == {1: "B\u00dcCHER.de/", 2: None, 3: "EXAMPLE.com/x"}
