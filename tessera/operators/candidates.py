@@ -97,6 +97,12 @@ def cluster_pairs(members: DataFrame) -> DataFrame:
     return rows.where((~F.col("same") | (F.col("i") < F.col("j"))) & new).select("image_a", "image_b")
 
 
+def supplied_pairs(pairs: DataFrame) -> DataFrame:
+    """Distinct ``(image_a, image_b)``, a before b, of a table of pairs in any order; nulls and an image with itself are no pairs."""
+    a, b = F.col("image_a").cast("string"), F.col("image_b").cast("string")
+    return pairs.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("image_a"), F.greatest(a, b).alias("image_b")).distinct()
+
+
 def eligible_flags(a: Column, b: Column) -> Column:
     """Whether a pair is to be computed: flags differ, or both are ``in``."""
     return (a != b) | ((a == "in") & (b == "in"))

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.candidates import cluster_ids, cluster_left_join, cluster_pairs, flagged_pairs, in_first_shared_pool, with_pools
+from tessera.functions.bloom import bloom_of, passing, words_for
+from tessera.operators.candidates import cluster_left_join, cluster_pairs, flagged_pairs, in_first_shared_pool, supplied_pairs, with_pools
 
 
 def _contributions(postings: DataFrame, keys: list[str], carry: tuple[str, ...] = (), residual: Column | None = None, product: Column | None = None) -> DataFrame:
@@ -34,8 +35,10 @@ def _summed(contributions: DataFrame) -> DataFrame:
     return contributions.groupBy("image_a", "image_b").agg(F.sum("contribution").alias("similarity"))
 
 
-def similarity_graph(postings: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """All pairs that share a feature whose raw weights both exceed the threshold."""
+def similarity_graph(postings: DataFrame, threshold: float = 0.0, edge_threshold: float | None = None) -> DataFrame:
+    """All pairs that share a feature whose raw weights both exceed the threshold; optionally only those whose sum exceeds another, found by bounds."""
+    if edge_threshold is not None:
+        return bounded_graph(postings.where(F.col("w") > threshold), edge_threshold)
     return _summed(_contributions(postings.where(F.col("w") > threshold), ["feature_id"]))
 
 
@@ -52,8 +55,20 @@ def similarity_graph_bag(postings: DataFrame, threshold: float = 0.0) -> DataFra
 
 def cluster_overlap_graph(postings: DataFrame, members: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Pairs whose lists of pools share an id, tested beside the join on the feature."""
-    rows = postings.where(F.col("w") > threshold).join(cluster_ids(members), "image_id")
-    return _summed(_contributions(rows, ["feature_id"], ("cluster_ids",), F.arrays_overlap("a.cluster_ids", "b.cluster_ids")))
+    rows = postings.where(F.col("w") > threshold).join(signed_pools(members), "image_id")
+    return _summed(_contributions(rows, ["feature_id"], ("cluster_ids", "signature"), signatures_meet() & F.arrays_overlap("a.cluster_ids", "b.cluster_ids")))
+
+
+def signed_pools(members: DataFrame) -> DataFrame:
+    """``(image_id, cluster_ids, signature)``; the signature has a bit for each pool's hash."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64("cluster_id"), F.lit(64)).cast("int"))
+    known = members.where(F.col("cluster_id").isNotNull())
+    return known.groupBy("image_id").agg(F.array_sort(F.collect_set("cluster_id")).alias("cluster_ids"), F.bit_or(bit).alias("signature"))
+
+
+def signatures_meet() -> Column:
+    """Whether rows ``a`` and ``b`` have a bit in common: if not, they share no pool, and their lists needn't be read."""
+    return F.col("a.signature").bitwiseAND(F.col("b.signature")) != 0
 
 
 def cluster_feature_graph(postings: DataFrame, members: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -111,17 +126,94 @@ def progressive_graph(postings: DataFrame, flagged: DataFrame, threshold: float
     return _on_candidates(postings.where(F.col("w") > threshold), flagged, plan, flagged=True)
 
 
-def _float_graph(rows: DataFrame, members: DataFrame, plan: str) -> DataFrame:
+def candidate_pairs_graph(postings: DataFrame, pairs: DataFrame, threshold: float = 0.0, plan: str = "features") -> DataFrame:
+    """Positive sums over the pairs of a table ``(image_a, image_b)``, whatever made it: either order, repeats and pairs of an image with itself allowed.
+
+    ``features`` joins postings by feature and drops, by a Bloom filter of the pairs, what
+    can't be asked for before it is shuffled; a semi-join then keeps exactly the pairs.
+    Beyond the filter's bound on pairs the semi-join works alone. ``candidates`` starts from
+    the pairs and joins both images' postings, which suits few pairs and long posting lists.
+    """
+    rows = postings.where(F.col("w") > threshold)
+    known = supplied_pairs(pairs)
+    if plan == "candidates":
+        found = _candidate_contributions(rows, known, F.col("a.w_norm") * F.col("b.w_norm"))
+    elif plan == "features":
+        keys = ["image_a", "image_b"]
+        words = words_for(known.count())
+        met = passing(_contributions(rows, ["feature_id"]), bloom_of(known, keys, words) if words else None, keys, words)
+        found = met.join(known, keys, "left_semi")
+    else:
+        raise ValueError(f"no plan {plan!r}")
+    return _summed(found).where(F.col("similarity") > 0)
+
+
+#: What rounding may take off a bound: weights and products are of 32 bits in some graphs.
+BOUND_SLACK = 1e-5
+
+
+def with_rest(rows: DataFrame) -> DataFrame:
+    """Adds ``rest``: the norm of an image's vector from this feature on, features read from rare to common.
+
+    All images read in one order, so what a pair can still sum from its first shared
+    feature on is at most the product of the two rests there.
+    """
+    df = rows.groupBy("feature_id").agg(F.count(F.lit(1)).alias("df"))
+    unread = Window.partitionBy("image_id").orderBy(F.col("df").desc(), F.col("feature_id").desc())
+    square = F.col("w_norm").cast("double") * F.col("w_norm").cast("double")
+    return rows.join(df, "feature_id").withColumn("rest", F.sqrt(F.sum(square).over(unread.rowsBetween(Window.unboundedPreceding, 0)))).drop("df")
+
+
+def bounded_meetings(rows: DataFrame, edge_threshold: float, members: DataFrame | None = None) -> DataFrame:
+    """``(image_a, image_b)`` of every meeting at a feature from which on a pair could still sum to more than the threshold.
+
+    A posting is joined only if its rest could reach the threshold with the best partner
+    there is, so the common features at the end of a vector are joined seldom or never.
+    A pair above the threshold meets at its first shared feature at least.
+    """
+    limit = edge_threshold * (1 - BOUND_SLACK)
+    rested = with_rest(rows)
+    best = rested.agg(F.max("rest").alias("best"))  # one row
+    own = rested.crossJoin(F.broadcast(best)).where(F.col("rest") * F.col("best") > limit).select("feature_id", "image_id", "rest")
+    keys, first = ["feature_id"], F.lit(True)
+    if members is not None:
+        own = own.join(with_pools(members), "image_id")
+        keys, first = ["feature_id", "cluster_id"], in_first_shared_pool()
+    a, b = own.alias("a"), own.alias("b")
+    met = (F.col("a.image_id") < F.col("b.image_id")) & (F.col("a.rest") * F.col("b.rest") > limit) & first
+    for key in keys:
+        met = (F.col(f"a.{key}") == F.col(f"b.{key}")) & met
+    return a.join(b, met).select(F.col("a.image_id").alias("image_a"), F.col("b.image_id").alias("image_b"))
+
+
+def bounded_graph(rows: DataFrame, edge_threshold: float, members: DataFrame | None = None) -> DataFrame:
+    """Pairs whose sum exceeds a threshold above zero: those that might are found by bounds, their sums are made whole from both vectors."""
+    if edge_threshold <= 0:
+        raise ValueError("bounds need a threshold above zero")
+    pairs = bounded_meetings(rows, edge_threshold, members).distinct()
+    found = _candidate_contributions(rows, pairs, F.col("a.w_norm") * F.col("b.w_norm"))
+    return _summed(found).where(F.col("similarity") > edge_threshold)
+
+
+def _float_graph(rows: DataFrame, members: DataFrame, plan: str, edge_threshold: float | None = None) -> DataFrame:
     """Weights and products in 32 bits, summed in 64 so that the result doesn't depend on the order."""
-    return _on_candidates(rows.withColumn("w_norm", F.col("w_norm").cast("float")), members, plan)
+    rows = rows.withColumn("w_norm", F.col("w_norm").cast("float"))
+    if edge_threshold is None:
+        return _on_candidates(rows, members, plan)
+    if plan == "bounds" and edge_threshold > 0:
+        return bounded_graph(rows, edge_threshold, members)
+    return _on_candidates(rows, members, "pools" if plan == "bounds" else plan).where(F.col("similarity") > edge_threshold)
+
 
+def filter_graph(postings: DataFrame, members: DataFrame, threshold: float = 0.0, edge_threshold: float | None = None, plan: str | None = None) -> DataFrame:
+    """32-bit graph with the threshold on raw and on normalised weights; optionally also on sums.
 
-def filter_graph(postings: DataFrame, members: DataFrame, threshold: float = 0.0, edge_threshold: float | None = None, plan: str = "pools") -> DataFrame:
-    """32-bit graph with the threshold on raw and on normalised weights; optionally also on sums."""
+    With a threshold on sums the plan is ``bounds``, which never forms pairs that can't reach
+    it, unless another is named.
+    """
     w, wn = F.col("w").cast("float"), F.col("w_norm").cast("float")
     limit = F.lit(threshold).cast("float")
-    edges = _float_graph(postings.where((w > limit) & (wn > limit)), members, plan)
-    return edges if edge_threshold is None else edges.where(F.col("similarity") > edge_threshold)
+    return _float_graph(postings.where((w > limit) & (wn > limit)), members, plan or ("pools" if edge_threshold is None else "bounds"), edge_threshold)
 
 
 def filter_precompute_graph(postings: DataFrame, members: DataFrame, threshold: float = 0.0, plan: str = "pools") -> DataFrame:

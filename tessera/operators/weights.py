@@ -1,7 +1,9 @@
 """Corpus statistics and weights of observations ``(image_id, feature_id, value)``.
 
-Contract: (image_id, feature_id) is unique. Non-positive values count in an
-image's length and give no weight.
+Contract: (image_id, feature_id) is unique, unless observations tell the lines of an
+image apart by ``line_id``: then each line is a document of its own in the statistics, in
+lengths and in frequencies, while an image's vector is that of all its lines. Non-positive
+values count in a document's length and give no weight.
 """
 
 from __future__ import annotations
@@ -20,14 +22,19 @@ def vocabulary_of(rows: DataFrame, feature: str = "feature_id") -> int:
     return int(rows.agg(F.approx_count_distinct(feature, 0.01)).first()[0] * 1.05) + 1
 
 
+def unit_of(obs: DataFrame) -> list[str]:
+    """What one document of the corpus is: an image, or a line of it."""
+    return ["image_id", "line_id"] if "line_id" in obs.columns else ["image_id"]
+
+
 def doc_lengths(obs: DataFrame) -> DataFrame:
-    """``(image_id, dl)``: features per image, whatever their value."""
-    return obs.groupBy("image_id").agg(F.count(F.lit(1)).alias("dl"))
+    """``(image_id[, line_id], dl)``: features per document, whatever their value."""
+    return obs.groupBy(*unit_of(obs)).agg(F.count(F.lit(1)).alias("dl"))
 
 
 def corpus_stats(obs: DataFrame) -> DataFrame:
-    """One row ``(n_images, adl, n_positive)``: images, their average length, and observations that can have a weight."""
-    by_image = obs.groupBy("image_id").agg(F.count(F.lit(1)).alias("dl"), F.count_if(F.col("value") > 0).alias("positive"))
+    """One row ``(n_images, adl, n_positive)``: images (or their lines), their average length, and observations that can have a weight."""
+    by_image = obs.groupBy(*unit_of(obs)).agg(F.count(F.lit(1)).alias("dl"), F.count_if(F.col("value") > 0).alias("positive"))
     return by_image.agg(F.count(F.lit(1)).alias("n_images"), F.avg("dl").alias("adl"), F.sum("positive").alias("n_positive"))
 
 
@@ -42,7 +49,7 @@ def tf_weights(obs: DataFrame, stats: DataFrame) -> DataFrame:
     Asking the statistics for ``n_positive`` changes no result, but makes them read the
     values too, so that statistics, document frequencies and weights share one exchange.
     """
-    dl = F.count(F.lit(1)).over(Window.partitionBy("image_id"))
+    dl = F.count(F.lit(1)).over(Window.partitionBy(*unit_of(obs)))
     rows = with_stats(obs.withColumn("dl", dl).where(F.col("value") > 0), stats).where(F.col("n_positive") > 0)
     return rows.select("image_id", "feature_id", saturated_tf(F.col("value"), F.col("dl"), F.col("adl")).alias("tf"))
 

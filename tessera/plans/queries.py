@@ -11,14 +11,21 @@ from tessera.functions import rounded
 from tessera.operators import candidates as C
 from tessera.operators import graph as G
 from tessera.operators import weights as W
+from tessera.plans.progressive import ProgressiveGraph
+from tessera.plans.statistics import StatisticsStore
 from tessera.plans.sweep import sweep_pool_summary, sweep_summary
 from tessera.sources import tables as T
+from tessera.sources.forms import parse_postings, posting_lines
+from tessera.sources.sinks import write_text
 from tessera.sources.text import parse_features, render_features, tagged_union
+from tessera.stages import Stages, shared_folder
 
 BASE_T, PRUNED_T, CLUSTER_T, FLOAT_T, NORM_T = 0.01, 0.55, 0.01, 0.2, 0.2
 SWEEP = (0.50, 0.55, 0.60)
 POOL_SWEEP = (0.01, 0.3, 0.5)
 BAG_T = 0.55
+EDGE_T, FILTER_EDGE_T = 0.6, 0.3
+LIST_CHUNK = 20
 MEMBERS_MIN, CUSTOMER_MIN = 5, 10
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,6 +169,58 @@ def q_progressive_graph(spark: SparkSession, d: str) -> DataFrame:
     return _edges(G.progressive_graph(_postings(spark, d), T.pools(spark, d), CLUSTER_T))
 
 
+def q_similarity_graph_edge(spark: SparkSession, d: str) -> DataFrame:
+    """Only edges above a threshold, found without forming the pairs below it."""
+    return _edges(G.similarity_graph(_postings(spark, d), BASE_T, EDGE_T))
+
+
+def q_filter_graph_edge(spark: SparkSession, d: str) -> DataFrame:
+    return _edges(G.filter_graph(_postings(spark, d), _members(spark, d), FLOAT_T, FILTER_EDGE_T))
+
+
+def q_candidate_pairs_graph(spark: SparkSession, d: str) -> DataFrame:
+    return _edges(G.candidate_pairs_graph(_postings(spark, d), T.neighbour_pairs(spark, d), CLUSTER_T))
+
+
+def q_progressive_store_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Odd orders first, then even ones added to the stored graph: together, the candidate graph."""
+    stored = ProgressiveGraph(spark, shared_folder(spark, "progressive"), CLUSTER_T)
+    for name, rest in (("odd", 1), ("even", 0)):
+        own = F.col("image_id").cast("bigint") % 2 == rest
+        stored.add(name, _postings(spark, d).where(own), _members(spark, d).where(own))
+    return _edges(stored.edges())
+
+
+def q_stored_idf_values(spark: SparkSession, d: str) -> DataFrame:
+    """Frequencies from counts of feature files, each counted once: a second batch of files scans those alone."""
+    folder, odd = shared_folder(spark, "features"), F.col("image_id").cast("bigint") % 2 == 1
+    store = StatisticsStore(spark, shared_folder(spark, "statistics"))
+    for name, own in (("odd", odd), ("even", ~odd)):
+        write_text(render_features(T.observations(spark, d).where(own)), f"{folder}/{name}")
+        store.update(f"{folder}/*")
+    return store.idf().select("feature_id", "df", rounded("idf"))
+
+
+def q_inverted_list_text(spark: SparkSession, d: str) -> DataFrame:
+    """The inverted list through its text form, long lists as several lines."""
+    path = shared_folder(spark, "inverted-list")
+    write_text(posting_lines(_postings(spark, d), LIST_CHUNK), path, compress=True)
+    return parse_postings(spark.read.text(path), strict=True).select(F.col("feature_id").cast("bigint").alias("feature_id"), "image_id", rounded("w"), rounded("w_norm"))
+
+
+def q_staged_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The pruned graph by stages, each written and committed before the next."""
+    stages = Stages(spark, shared_folder(spark, "staged"), f"{d} {PRUNED_T}")
+    stages.add("observations", lambda: T.observations(spark, d))
+    stages.add("stats", W.corpus_stats, "observations")
+    stages.add("tf", W.tf_weights, "observations", "stats")
+    stages.add("idf", W.idf_values, "tf", "stats")
+    stages.add("weights", W.tfidf_weights, "tf", "idf")
+    stages.add("postings", W.inverted_list, "weights")
+    stages.add("edges", lambda postings: G.similarity_graph(postings, PRUNED_T), "postings")
+    return _edges(stages.run("edges"))
+
+
 QUERIES: dict[str, Query] = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
 
 _CTE = """
@@ -223,7 +282,15 @@ ORACLE: dict[str, str] = {
     "corpus_stats": _CTE + "SELECT n_images, ROUND(adl, 6) AS adl FROM stats",
     "tf_weights": _CTE + "SELECT image_id, feature_id, ROUND(CAST(tf AS DOUBLE), 6) AS tf FROM tf",
     "idf_values": _CTE + "SELECT feature_id, df, ROUND(idf, 6) AS idf FROM idf",
-    "tfidf_weights": _CTE + "SELECT image_id, feature_id, ROUND(w, 6) AS w FROM weights",
+    "tfidf_weights": """
+WITH obs AS (
+  SELECT l_orderkey, l_partkey, SUM(l_quantity) AS value, COUNT(*) OVER (PARTITION BY l_orderkey) AS dl
+  FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL GROUP BY 1, 2),
+stats AS (SELECT COUNT(DISTINCT l_orderkey) AS n_images, COUNT(*) / COUNT(DISTINCT l_orderkey) AS adl FROM obs),
+rows AS (SELECT o.*, s.*, COUNT(*) OVER (PARTITION BY l_partkey) AS df FROM obs o, stats s WHERE o.value > 0)
+SELECT CAST(l_orderkey AS VARCHAR) AS image_id, l_partkey AS feature_id,
+       ROUND(CAST(CAST(value / (value + 0.5e0 + 1.5e0 * (CAST(dl AS DOUBLE) / adl)) AS FLOAT) AS DOUBLE) * (LN((n_images + 0.5e0) / df) / LN(n_images + 1e0)), 6) AS w
+FROM rows""",
     "l2_normalize": _CTE + "SELECT image_id, ROUND(norm, 6) AS norm, n_features FROM norms",
     "inverted_list": _CTE + "SELECT feature_id, image_id, ROUND(w, 6) AS w, ROUND(w_norm, 6) AS w_norm FROM postings",
     "image_vectors": _CTE + "SELECT image_id, COUNT(*) AS n_features, ROUND(MAX(w), 6) AS max_w, ROUND(SUM(w), 6) AS sum_w FROM weights GROUP BY image_id",
@@ -278,4 +345,17 @@ JOIN (SELECT DISTINCT x.image_id AS image_a, y.image_id AS image_b FROM pools x
       WHERE x.sample_flag <> y.sample_flag OR (x.sample_flag = 'in' AND y.sample_flag = 'in')) c
   ON c.image_a = a.image_id AND c.image_b = b.image_id
 WHERE {_both("w", str(CLUSTER_T))} GROUP BY 1, 2 {_POSITIVE}""",
+    "similarity_graph_edge": _pairs(_both("w", str(BASE_T)), having=f"HAVING SUM(a.w_norm * b.w_norm) > {EDGE_T}"),
+    "filter_graph_edge": _pairs(_both("w", _F32) + " AND " + _both("w_norm", _F32), postings=_FLOATS, join=_IN_CANDIDATES, having=f"HAVING SUM(a.w_norm * b.w_norm) > {FILTER_EDGE_T}"),
+    "candidate_pairs_graph": _CTE.rstrip()
+    + """,
+near AS (
+  SELECT DISTINCT LEAST(x, y) AS image_a, GREATEST(x, y) AS image_b FROM (
+    SELECT CAST(l_orderkey AS VARCHAR) AS x, CAST(LEAD(l_orderkey) OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS VARCHAR) AS y
+    FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL)) WHERE y IS NOT NULL)"""
+    + _PAIRS.format(where=_both("w", str(CLUSTER_T)), postings="postings", join="JOIN near c ON c.image_a = a.image_id AND c.image_b = b.image_id", having=_POSITIVE, product="a.w_norm * b.w_norm"),
+    "progressive_store_graph": _pairs(_both("w", str(CLUSTER_T)), join=_IN_CANDIDATES, having=_POSITIVE),
+    "stored_idf_values": _CTE + "SELECT CAST(feature_id AS INTEGER) AS feature_id, df, ROUND(idf, 6) AS idf FROM idf",
+    "inverted_list_text": _CTE + "SELECT feature_id, image_id, ROUND(w, 6) AS w, ROUND(w_norm, 6) AS w_norm FROM postings",
+    "staged_graph": _pairs(_both("w", str(PRUNED_T))),
 }

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.candidates import in_first_shared_pool
+
 
 def sweep_edges(postings: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """``(threshold, image_a, image_b, similarity)`` for every threshold.
@@ -22,29 +24,32 @@ def sweep_edges(postings: DataFrame, thresholds: Sequence[float]) -> DataFrame:
 def sweep_pool_edges(postings: DataFrame, members: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """``(threshold, iterate, image_a, image_b, similarity)``: graphs of pairs that share a pool, for every threshold and run of clustering.
 
-    ``members`` are ``(iterate, cluster_id, image_id)``. Images carry their pools of all
-    runs, so one self-join serves the whole grid; a pair counts once in each run in which
-    it shares a pool.
+    ``members`` are ``(iterate, cluster_id, image_id)``. One self-join by feature, run and
+    pool serves the whole grid, so images meet only where they share both; a pair that
+    shares several pools of a run counts in the first of them.
     """
     steps = sorted(thresholds)
-    pool = F.struct(F.col("iterate").cast("int").alias("iterate"), "cluster_id")
-    ids = members.where("cluster_id IS NOT NULL AND iterate IS NOT NULL").groupBy("image_id").agg(F.array_sort(F.collect_set(pool)).alias("pools"))
-    runs = F.array_distinct(F.array_intersect("a.pools", "b.pools")["iterate"])
-    sums = _by_level(postings.join(ids, "image_id"), steps, ("pools",), F.arrays_overlap("a.pools", "b.pools"), {"iterate": F.explode(runs)})
+    known = members.where("cluster_id IS NOT NULL AND iterate IS NOT NULL").select(F.col("iterate").cast("int").alias("iterate"), "cluster_id", "image_id")
+    pools = known.groupBy("iterate", "image_id").agg(F.array_sort(F.collect_set("cluster_id")).alias("pools"))
+    pools = pools.select("iterate", "image_id", "pools", F.posexplode("pools").alias("at", "cluster_id"))
+    pools = pools.select("iterate", "cluster_id", "image_id", F.slice("pools", F.lit(1), F.col("at")).alias("lower"))
+    rows = postings.where(F.col("w") > steps[0]).join(pools, "image_id")
+    sums = _by_level(rows, steps, ("cluster_id", "lower"), (F.col("a.cluster_id") == F.col("b.cluster_id")) & in_first_shared_pool(), ("iterate",))
     return _running(sums, steps, ("iterate",))
 
 
-def _by_level(postings: DataFrame, steps: list[float], carry: tuple[str, ...] = (), residual: Column | None = None, keys: dict[str, Column] | None = None) -> DataFrame:
-    """Sums by pair, highest threshold passed and further keys, from one self-join."""
-    own = postings.where(F.col("w") > steps[0]).select("feature_id", "image_id", "w", "w_norm", *carry)
+def _by_level(postings: DataFrame, steps: list[float], carry: tuple[str, ...] = (), also: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Sums by pair, further keys and highest threshold passed, from one self-join on feature, keys and ``also``."""
+    own = postings.where(F.col("w") > steps[0]).select("feature_id", "image_id", "w", "w_norm", *keys, *carry)
     a, b = own.alias("a"), own.alias("b")
     low = F.least("a.w", "b.w")
     level = sum((F.when(low > t, 1).otherwise(0) for t in steps[1:]), F.lit(0))
-    condition = (F.col("a.feature_id") == F.col("b.feature_id")) & (F.col("a.image_id") < F.col("b.image_id"))
-    pairs = a.join(b, condition if residual is None else condition & residual)
-    more = [c.alias(k) for k, c in (keys or {}).items()]
-    rows = pairs.select(F.col("a.image_id").alias("image_a"), F.col("b.image_id").alias("image_b"), level.alias("level"), (F.col("a.w_norm") * F.col("b.w_norm")).alias("c"), *more)
-    return rows.groupBy("image_a", "image_b", *(keys or ()), "level").agg(F.sum("c").alias("c"))
+    condition = F.col("a.image_id") < F.col("b.image_id")
+    for key in ("feature_id", *keys):
+        condition = (F.col(f"a.{key}") == F.col(f"b.{key}")) & condition
+    pairs = a.join(b, condition if also is None else condition & also)
+    rows = pairs.select(F.col("a.image_id").alias("image_a"), F.col("b.image_id").alias("image_b"), level.alias("level"), (F.col("a.w_norm") * F.col("b.w_norm")).alias("c"), *(F.col(f"a.{k}").alias(k) for k in keys))
+    return rows.groupBy("image_a", "image_b", *keys, "level").agg(F.sum("c").alias("c"))
 
 
 def _running(sums: DataFrame, steps: list[float], keys: tuple[str, ...] = ()) -> DataFrame:

@@ -12,13 +12,6 @@ def edge_lines(edges: DataFrame, *keep: Column | str) -> DataFrame:
     return edges.select(*keep, F.concat(pair, F.lit("\t"), F.col("similarity").cast("string")).alias("value"))
 
 
-def posting_lines(postings: DataFrame) -> DataFrame:
-    """``feature TAB [(w w_norm image)...]`` lines. One line holds a whole posting list, as the format asks."""
-    item = F.concat(F.lit("("), F.col("w").cast("string"), F.lit(" "), F.col("w_norm").cast("string"), F.lit(" "), "image_id", F.lit(")"))
-    lists = postings.groupBy("feature_id").agg(F.array_join(F.array_sort(F.collect_list(item)), "").alias("items"))
-    return lists.select(F.concat(F.col("feature_id").cast("string"), F.lit("\t["), "items", F.lit("]")).alias("value"))
-
-
 def write_text(lines: DataFrame, path: str, compress: bool = False) -> None:
     """One-column text; ``compress`` writes gzip files."""
     lines.write.mode("overwrite").option("compression", "gzip" if compress else "none").text(path)

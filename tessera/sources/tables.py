@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.weights import vocabulary_of
@@ -47,6 +47,13 @@ def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("image_id", "sample_flag", F.explode("ids").alias("cluster_id"))
 
 
+def neighbour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of pairs from outside the graph: each order with the next one that has the same part, in order of their numbers, repeats included."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").where("l_orderkey IS NOT NULL AND l_partkey IS NOT NULL").distinct()
+    later = F.lead("l_orderkey").over(Window.partitionBy("l_partkey").orderBy("l_orderkey"))
+    return lines.select(F.col("l_orderkey").cast("string").alias("image_a"), later.cast("string").alias("image_b")).where("image_b IS NOT NULL")
+
+
 def iterated_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs of clustering: customers' pools are the first, dates' pools the second."""
     return pools(spark, sf_dir).select(F.when(F.col("cluster_id").startswith("c:"), 1).otherwise(2).alias("iterate"), "cluster_id", "image_id")

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tessera.functions import DELIMITERS_WIDE, FEATURE_DELIMITERS, split_ids, tokens
 
 
-def parse_features(lines: DataFrame, line: str = "value", delimiters: str = DELIMITERS_WIDE, strict: bool = False) -> DataFrame:
-    """``(image_id, feature_id, value)`` from feature lines.
+def parse_features(lines: DataFrame, line: str = "value", delimiters: str = DELIMITERS_WIDE, strict: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(image_id, feature_id, value)`` from feature lines, after the columns ``keep`` of the lines.
 
     A line with an image id and no features isn't an image and gives no rows;
     tokens after the second are ignored. Null and blank lines give no rows, or an
@@ -22,14 +22,14 @@ def parse_features(lines: DataFrame, line: str = "value", delimiters: str = DELI
     left out) and numbers that can't be read (null).
     """
     token = tokens(F.coalesce(F.col(line), F.lit("")), delimiters)
-    parts = lines.select(token.alias("t"))
+    parts = lines.select(*keep, token.alias("t"))
     if strict:
-        parts = parts.select(F.when(F.size("t") == 0, F.raise_error(F.lit("blank feature line"))).otherwise(F.col("t")).alias("t"))
-    usable = parts.where(F.size("t") >= 2).select(F.get("t", F.lit(1)).alias("image_id"), tokens(F.get("t", F.lit(0)), FEATURE_DELIMITERS).alias("f"))
+        parts = parts.select(*keep, F.when(F.size("t") == 0, F.raise_error(F.lit("blank feature line"))).otherwise(F.col("t")).alias("t"))
+    usable = parts.where(F.size("t") >= 2).select(*keep, F.get("t", F.lit(1)).alias("image_id"), tokens(F.get("t", F.lit(0)), FEATURE_DELIMITERS).alias("f"))
     pairs = (F.size("f") / F.lit(2)).cast("int")
     if strict:
         odd = F.size("f") % 2 == 1
-        usable = usable.select("image_id", F.when(odd, F.raise_error(F.lit("feature id without a value"))).otherwise(F.col("f")).alias("f"))
+        usable = usable.select(*keep, "image_id", F.when(odd, F.raise_error(F.lit("feature id without a value"))).otherwise(F.col("f")).alias("f"))
 
     def number(c: Column, kind: str) -> Column:
         return c.cast(kind) if strict else c.try_cast(kind)
@@ -41,12 +41,21 @@ def parse_features(lines: DataFrame, line: str = "value", delimiters: str = DELI
             number(F.get("f", i * 2 + 1), "double").alias("value"),
         ),
     )
-    return usable.where(pairs > 0).select("image_id", F.explode(item).alias("x")).select("image_id", "x.feature_id", "x.value")
+    return usable.where(pairs > 0).select(*keep, "image_id", F.explode(item).alias("x")).select(*keep, "image_id", "x.feature_id", "x.value")
 
 
-def read_features(spark: SparkSession, path: str, **options: object) -> DataFrame:
-    """Feature rows of every file under a path."""
-    return parse_features(spark.read.text(path), **options)
+def read_features(spark: SparkSession, path: str | list[str], line_ids: bool = False, keep: tuple[str, ...] = (), **options: object) -> DataFrame:
+    """Feature rows of every file under a path.
+
+    With ``line_ids`` rows also have ``line_id``, a number that tells lines apart: the place
+    of a line in the files as Spark splits them, the same each time the same files are read.
+    """
+    lines = spark.read.text(path)
+    if "file" in keep:
+        lines = lines.withColumn("file", F.col("_metadata.file_path"))
+    if line_ids:
+        lines, keep = lines.withColumn("line_id", F.monotonically_increasing_id()), (*keep, "line_id")
+    return parse_features(lines, keep=keep, **options)
 
 
 def parse_clusters(lines: DataFrame, line: str = "value", min_size: int = 0, flagged: bool = False, whole_key: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:

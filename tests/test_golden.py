@@ -15,7 +15,8 @@ from tessera.operators import graph as G
 from tessera.operators import weights as W
 from tessera.plans.sweep import sweep_edges, sweep_pool_edges
 from tessera.sources import text as T
-from tessera.sources.sinks import edge_lines, posting_lines, write_edges, write_text
+from tessera.sources.forms import posting_lines
+from tessera.sources.sinks import edge_lines, write_edges, write_text
 
 LINES = ["1:2,2:1,3:1 %a", "1:1,2:3 %b", "2:1,4:2 %c", "4:1,5:1,6:-1 %d", " %z", "", None]
 
