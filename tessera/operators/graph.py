@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.bloom import bloom_of, passing, words_for
 from tessera.operators.candidates import cluster_left_join, cluster_pairs, flagged_pairs, in_first_shared_pool, supplied_pairs, with_pools
+from tessera.operators.ids import TEXT, Text
+from tessera.operators.pairs import pair_sums
+from tessera.operators.weights import Extent
 
 
 def _contributions(postings: DataFrame, keys: list[str], carry: tuple[str, ...] = (), residual: Column | None = None, product: Column | None = None) -> DataFrame:
@@ -35,22 +38,15 @@ def _summed(contributions: DataFrame) -> DataFrame:
     return contributions.groupBy("image_a", "image_b").agg(F.sum("contribution").alias("similarity"))
 
 
-def similarity_graph(postings: DataFrame, threshold: float = 0.0, edge_threshold: float | None = None) -> DataFrame:
+def similarity_graph(postings: DataFrame, threshold: float = 0.0, edge_threshold: float | None = None, ids: Text = TEXT, extent: Extent | None = None) -> DataFrame:
     """All pairs that share a feature whose raw weights both exceed the threshold; optionally only those whose sum exceeds another, found by bounds."""
-    if edge_threshold is not None:
-        return bounded_graph(postings.where(F.col("w") > threshold), edge_threshold)
-    return _summed(_contributions(postings.where(F.col("w") > threshold), ["feature_id"]))
+    rows = postings.where(F.col("w") > threshold)
+    return pair_sums(rows, ids=ids, extent=extent) if edge_threshold is None else bounded_graph(rows, edge_threshold)
 
 
-def similarity_graph_bag(postings: DataFrame, threshold: float = 0.0) -> DataFrame:
+def similarity_graph_bag(postings: DataFrame, threshold: float = 0.0, ids: Text = TEXT, extent: Extent | None = None) -> DataFrame:
     """As ``similarity_graph`` for postings that repeat (image, feature): every repeat counts, and pairs of an image with itself appear."""
-    repeat = F.row_number().over(Window.partitionBy("image_id", "feature_id").orderBy("w", "w_norm"))  # equal repeats are alike, so any order gives the same sums
-    rows = postings.where(F.col("w") > threshold).withColumn("repeat", repeat)
-    a, b = rows.alias("a"), rows.alias("b")
-    before = (F.col("a.image_id") < F.col("b.image_id")) | ((F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.repeat") < F.col("b.repeat")))
-    pairs = a.join(b, (F.col("a.feature_id") == F.col("b.feature_id")) & before)
-    contribution = (F.col("a.w_norm") * F.col("b.w_norm")).alias("contribution")
-    return _summed(pairs.select(F.col("a.image_id").alias("image_a"), F.col("b.image_id").alias("image_b"), contribution))
+    return pair_sums(postings.where(F.col("w") > threshold), ids=ids, extent=extent, same=True)
 
 
 def cluster_overlap_graph(postings: DataFrame, members: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -76,10 +72,10 @@ def cluster_feature_graph(postings: DataFrame, members: DataFrame, threshold: fl
     return _summed(_pool_contributions(postings.where(F.col("w") > threshold), members))
 
 
-def overlapping_cluster_graph(postings: DataFrame, members: DataFrame, threshold: float = 0.0) -> DataFrame:
+def overlapping_cluster_graph(postings: DataFrame, members: DataFrame, threshold: float = 0.0, ids: Text = TEXT, extent: Extent | None = None) -> DataFrame:
     """Pairs in the same single pool, images without one sharing ``unknown``; the threshold is on normalised weights."""
     rows = cluster_left_join(postings.where(F.col("w_norm") > threshold), members)
-    return _summed(_contributions(rows, ["feature_id", "cluster_id"]))
+    return pair_sums(rows, ["feature_id", "cluster_id"], ids, extent)
 
 
 def _pool_contributions(rows: DataFrame, members: DataFrame, flagged: bool = False) -> DataFrame:
@@ -158,10 +154,11 @@ def with_rest(rows: DataFrame) -> DataFrame:
     All images read in one order, so what a pair can still sum from its first shared
     feature on is at most the product of the two rests there.
     """
-    df = rows.groupBy("feature_id").agg(F.count(F.lit(1)).alias("df"))
+    if "df" not in rows.columns:
+        rows = rows.join(rows.groupBy("feature_id").agg(F.count(F.lit(1)).alias("df")), "feature_id")
     unread = Window.partitionBy("image_id").orderBy(F.col("df").desc(), F.col("feature_id").desc())
     square = F.col("w_norm").cast("double") * F.col("w_norm").cast("double")
-    return rows.join(df, "feature_id").withColumn("rest", F.sqrt(F.sum(square).over(unread.rowsBetween(Window.unboundedPreceding, 0)))).drop("df")
+    return rows.withColumn("rest", F.sqrt(F.sum(square).over(unread.rowsBetween(Window.unboundedPreceding, 0))))
 
 
 def bounded_meetings(rows: DataFrame, edge_threshold: float, members: DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ values count in a document's length and give no weight.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,25 @@ from tessera.functions import normalised_idf, saturated_tf
 
 #: Rows of (feature, frequency) that may be broadcast: some tens of megabytes.
 BROADCAST_FEATURES = 1_000_000
+#: Holds wherever there is a weight. Every use of the statistics states it, so all read the same columns and one computation serves them.
+_ALL_STATS = "n_positive > 0 AND n_images > 0 AND adl > 0"
+
+
+class Extent(NamedTuple):
+    """Counted sizes that plans are chosen by; bounds from above."""
+
+    features: int
+    most_images: int  # of a feature
+    most_features: int  # of an image
+
+
+def extent_of(rows: DataFrame, feature: str = "feature_id", image: str = "image_id") -> Extent:
+    """One job: rows by feature and by image, counted before they are shuffled."""
+    n = F.count(F.lit(1)).alias("n")
+    by_feature = rows.where(F.col(feature).isNotNull()).groupBy(feature).agg(n).agg(F.count(F.lit(1)).alias("features"), F.max("n").alias("most_images"))
+    by_image = rows.where(F.col(image).isNotNull()).groupBy(image).agg(n).agg(F.max("n").alias("most_features"))
+    found = by_feature.crossJoin(by_image).first()  # one row and one row
+    return Extent(found.features, found.most_images or 0, found.most_features or 0)
 
 
 def vocabulary_of(rows: DataFrame, feature: str = "feature_id") -> int:
@@ -44,34 +65,30 @@ def with_stats(rows: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def tf_weights(obs: DataFrame, stats: DataFrame) -> DataFrame:
-    """``(image_id, feature_id, tf)`` of positive values.
-
-    Asking the statistics for ``n_positive`` changes no result, but makes them read the
-    values too, so that statistics, document frequencies and weights share one exchange.
-    """
+    """``(image_id, feature_id, tf)`` of positive values."""
     dl = F.count(F.lit(1)).over(Window.partitionBy(*unit_of(obs)))
-    rows = with_stats(obs.withColumn("dl", dl).where(F.col("value") > 0), stats).where(F.col("n_positive") > 0)
+    rows = with_stats(obs.withColumn("dl", dl).where(F.col("value") > 0), stats).where(_ALL_STATS)
     return rows.select("image_id", "feature_id", saturated_tf(F.col("value"), F.col("dl"), F.col("adl")).alias("tf"))
 
 
 def idf_values(tf: DataFrame, stats: DataFrame) -> DataFrame:
     """``(feature_id, df, idf)``."""
     df = tf.groupBy("feature_id").agg(F.count(F.lit(1)).alias("df"))
-    return with_stats(df, stats).select("feature_id", "df", normalised_idf(F.col("n_images"), F.col("df")).alias("idf"))
+    return with_stats(df, stats).where(_ALL_STATS).select("feature_id", "df", normalised_idf(F.col("n_images"), F.col("df")).alias("idf"))
 
 
 def tfidf_weights(tf: DataFrame, idf: DataFrame, vocabulary: int | None = None) -> DataFrame:
-    """``(image_id, feature_id, w)``.
+    """``(image_id, feature_id, w[, df])``.
 
     ``vocabulary`` is the counted number of features, where it is known: up to
     ``BROADCAST_FEATURES`` frequencies are broadcast, so rows dealt by image stay so and
     norms need no further shuffle. Unknown or larger ones are joined by a shuffle.
     """
-    frequencies = idf.select("feature_id", "idf")
+    frequencies = idf.select("feature_id", "idf", *(["df"] if "df" in idf.columns else []))
     if vocabulary is not None and vocabulary <= BROADCAST_FEATURES:
         frequencies = F.broadcast(frequencies)
     rows = tf.join(frequencies, "feature_id")
-    return rows.select("image_id", "feature_id", (F.col("tf").cast("double") * F.col("idf")).alias("w"))
+    return rows.select("image_id", "feature_id", (F.col("tf").cast("double") * F.col("idf")).alias("w"), *(["df"] if "df" in idf.columns else []))
 
 
 def l2_norms(weights: DataFrame) -> DataFrame:
@@ -80,13 +97,15 @@ def l2_norms(weights: DataFrame) -> DataFrame:
 
 
 def inverted_list(weights: DataFrame) -> DataFrame:
-    """``(feature_id, image_id, w, w_norm)`` of positive weights, in long form.
+    """``(feature_id, image_id, w, w_norm, n_features[, df])`` of positive weights, in long form.
 
-    The norm covers all weights of the image and precedes every threshold.
+    The norm covers all weights of the image and precedes every threshold; so does the
+    number of its features.
     """
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("image_id")))
-    rows = weights.withColumn("norm", norm).where(F.col("w") > 0)
-    return rows.select("feature_id", "image_id", "w", (F.col("w") / F.col("norm")).alias("w_norm"))
+    own = Window.partitionBy("image_id")
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(own))
+    rows = weights.withColumns({"norm": norm, "n_features": F.count(F.lit(1)).over(own)}).where(F.col("w") > 0)
+    return rows.select("feature_id", "image_id", "w", (F.col("w") / F.col("norm")).alias("w_norm"), "n_features", *(["df"] if "df" in weights.columns else []))
 
 
 def weights_of(obs: DataFrame, vocabulary: int | None = None) -> DataFrame:

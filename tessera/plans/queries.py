@@ -11,6 +11,7 @@ from tessera.functions import rounded
 from tessera.operators import candidates as C
 from tessera.operators import graph as G
 from tessera.operators import weights as W
+from tessera.operators.ids import WHOLE, Dictionary
 from tessera.plans.progressive import ProgressiveGraph
 from tessera.plans.statistics import StatisticsStore
 from tessera.plans.sweep import sweep_pool_summary, sweep_summary
@@ -35,12 +36,18 @@ def _edges(df: DataFrame) -> DataFrame:
     return df.select("image_a", "image_b", rounded("similarity"))
 
 
-def _weights(spark: SparkSession, d: str) -> DataFrame:
-    return W.weights_of(T.observations(spark, d), T.vocabulary(spark, d))
+def _weights(spark: SparkSession, d: str, features: int | None = None) -> DataFrame:
+    return W.weights_of(T.observations(spark, d), T.vocabulary(spark, d) if features is None else features)
 
 
-def _postings(spark: SparkSession, d: str) -> DataFrame:
-    return W.inverted_list(_weights(spark, d))
+def _postings(spark: SparkSession, d: str, features: int | None = None) -> DataFrame:
+    return W.inverted_list(_weights(spark, d, features))
+
+
+def _sized(spark: SparkSession, d: str) -> tuple[DataFrame, W.Extent]:
+    """Postings and their sizes, for graphs of all pairs of a list."""
+    extent = T.extent(spark, d)
+    return _postings(spark, d, extent.features), extent
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
@@ -100,15 +107,18 @@ def q_image_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_similarity_graph(spark: SparkSession, d: str) -> DataFrame:
-    return _edges(G.similarity_graph(_postings(spark, d), BASE_T))
+    postings, extent = _sized(spark, d)
+    return _edges(G.similarity_graph(postings, BASE_T, ids=WHOLE, extent=extent))
 
 
 def q_weight_pruned_graph(spark: SparkSession, d: str) -> DataFrame:
-    return _edges(G.similarity_graph(_postings(spark, d), PRUNED_T))
+    postings, extent = _sized(spark, d)
+    return _edges(G.similarity_graph(postings, PRUNED_T, ids=WHOLE, extent=extent))
 
 
 def q_threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return sweep_summary(_postings(spark, d), SWEEP).select("threshold", "n_edges", rounded("sum_similarity"))
+    postings, extent = _sized(spark, d)
+    return sweep_summary(postings, SWEEP, WHOLE, extent).select("threshold", "n_edges", rounded("sum_similarity"))
 
 
 def q_iteration_sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +128,8 @@ def q_iteration_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 def q_similarity_graph_bag(spark: SparkSession, d: str) -> DataFrame:
     """Postings of lines, not summed by feature, so that an image repeats a feature."""
-    return _edges(G.similarity_graph_bag(W.postings_of(T.line_observations(spark, d), T.vocabulary(spark, d)), BAG_T))
+    extent = T.extent(spark, d)
+    return _edges(G.similarity_graph_bag(W.postings_of(T.line_observations(spark, d), extent.features), BAG_T, WHOLE, extent))
 
 
 def q_cluster_members(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +165,8 @@ def q_candidate_graph(spark: SparkSession, d: str) -> DataFrame:
 
 def q_overlapping_cluster_graph(spark: SparkSession, d: str) -> DataFrame:
     members = C.cluster_members(T.customer_pools(spark, d), CUSTOMER_MIN)
-    return _edges(G.overlapping_cluster_graph(_postings(spark, d), members, NORM_T))
+    postings, extent = _sized(spark, d)
+    return _edges(G.overlapping_cluster_graph(postings, members, NORM_T, WHOLE, extent))
 
 
 def q_filter_graph(spark: SparkSession, d: str) -> DataFrame:
@@ -217,7 +229,7 @@ def q_staged_graph(spark: SparkSession, d: str) -> DataFrame:
     stages.add("idf", W.idf_values, "tf", "stats")
     stages.add("weights", W.tfidf_weights, "tf", "idf")
     stages.add("postings", W.inverted_list, "weights")
-    stages.add("edges", lambda postings: G.similarity_graph(postings, PRUNED_T), "postings")
+    stages.add("edges", lambda postings: G.similarity_graph(postings, PRUNED_T, ids=Dictionary(postings)), "postings")
     return _edges(stages.run("edges"))
 
 

@@ -8,17 +8,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.candidates import in_first_shared_pool
+from tessera.operators.ids import TEXT, Text
+from tessera.operators.pairs import contributions
+from tessera.operators.weights import Extent
 
 
-def sweep_edges(postings: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+def sweep_edges(postings: DataFrame, thresholds: Sequence[float], ids: Text = TEXT, extent: Extent | None = None) -> DataFrame:
     """``(threshold, image_a, image_b, similarity)`` for every threshold.
 
     A contribution passes all thresholds below the smaller of its two weights, so
-    one self-join sums per (pair, highest threshold passed), and running sums over
-    the thresholds give each graph. The join is done once, not once a threshold.
+    pairs are made once and summed by highest threshold passed, and running sums over
+    the thresholds give each graph, in the tasks that hold a pair's contributions already.
     """
+    return ids.restored(_coded_sweep(postings, thresholds, ids, extent), "threshold", "similarity").select("threshold", "image_a", "image_b", "similarity")
+
+
+def _coded_sweep(postings: DataFrame, thresholds: Sequence[float], ids: Text, extent: Extent | None) -> DataFrame:
     steps = sorted(thresholds)
-    return _running(_by_level(postings, steps), steps)
+    rows = postings.where(F.col("w") > steps[0]).withColumn("level", _level(F.col("w"), steps).cast("byte"))
+    found, key = contributions(rows, ids=ids, level=True, extent=extent)
+    return _running(found.groupBy(*key, "level").agg(F.sum("c").alias("c")), steps, key)
+
+
+def _level(w: Column, steps: list[float]) -> Column:
+    """Place of the highest threshold that a weight above the lowest exceeds."""
+    return sum((F.when(w > t, 1).otherwise(0) for t in steps[1:]), F.lit(0))
 
 
 def sweep_pool_edges(postings: DataFrame, members: DataFrame, thresholds: Sequence[float]) -> DataFrame:
@@ -35,15 +49,14 @@ def sweep_pool_edges(postings: DataFrame, members: DataFrame, thresholds: Sequen
     pools = pools.select("iterate", "cluster_id", "image_id", F.slice("pools", F.lit(1), F.col("at")).alias("lower"))
     rows = postings.where(F.col("w") > steps[0]).join(pools, "image_id")
     sums = _by_level(rows, steps, ("cluster_id", "lower"), (F.col("a.cluster_id") == F.col("b.cluster_id")) & in_first_shared_pool(), ("iterate",))
-    return _running(sums, steps, ("iterate",))
+    return _running(sums, steps, ("image_a", "image_b", "iterate"))
 
 
 def _by_level(postings: DataFrame, steps: list[float], carry: tuple[str, ...] = (), also: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Sums by pair, further keys and highest threshold passed, from one self-join on feature, keys and ``also``."""
     own = postings.where(F.col("w") > steps[0]).select("feature_id", "image_id", "w", "w_norm", *keys, *carry)
     a, b = own.alias("a"), own.alias("b")
-    low = F.least("a.w", "b.w")
-    level = sum((F.when(low > t, 1).otherwise(0) for t in steps[1:]), F.lit(0))
+    level = _level(F.least("a.w", "b.w"), steps)
     condition = F.col("a.image_id") < F.col("b.image_id")
     for key in ("feature_id", *keys):
         condition = (F.col(f"a.{key}") == F.col(f"b.{key}")) & condition
@@ -52,19 +65,19 @@ def _by_level(postings: DataFrame, steps: list[float], carry: tuple[str, ...] =
     return rows.groupBy("image_a", "image_b", *keys, "level").agg(F.sum("c").alias("c"))
 
 
-def _running(sums: DataFrame, steps: list[float], keys: tuple[str, ...] = ()) -> DataFrame:
+def _running(sums: DataFrame, steps: list[float], keys: Sequence[str]) -> DataFrame:
     """Each threshold's sums from those by level."""
-    above = Window.partitionBy("image_a", "image_b", *keys).orderBy(F.col("level").desc())
+    above = Window.partitionBy(*keys).orderBy(F.col("level").desc())
     running = sums.withColumn("similarity", F.sum("c").over(above)).withColumn("next_level", F.lead("level", 1, -1).over(above))
     levels = F.array(*(F.lit(float(t)) for t in steps))
     # a running sum holds from its own level down to just above the next one present
     spans = F.transform(F.sequence(F.col("next_level") + 1, F.col("level")), lambda i: F.element_at(levels, i + 1))
-    return running.select(F.explode(spans).alias("threshold"), *keys, "image_a", "image_b", "similarity")
+    return running.select(F.explode(spans).alias("threshold"), *keys, "similarity")
 
 
-def sweep_summary(postings: DataFrame, thresholds: Sequence[float]) -> DataFrame:
-    """``(threshold, n_edges, sum_similarity)``."""
-    return _summary(sweep_edges(postings, thresholds), "threshold")
+def sweep_summary(postings: DataFrame, thresholds: Sequence[float], ids: Text = TEXT, extent: Extent | None = None) -> DataFrame:
+    """``(threshold, n_edges, sum_similarity)``; the pairs' ids aren't needed for it."""
+    return _summary(_coded_sweep(postings, thresholds, ids, extent), "threshold")
 
 
 def sweep_pool_summary(postings: DataFrame, members: DataFrame, thresholds: Sequence[float]) -> DataFrame:

@@ -47,9 +47,8 @@ def _list_rows(lines: DataFrame, parts: int, strict: bool) -> DataFrame:
     key, rest = F.substr("value", F.lit(1), tab - 1), F.substr("value", tab + 1)
     fits = (tab > 1) & rest.rlike(r"^\[(\([^()]*\))*\]$")
     rows = lines.where(F.col("value").isNotNull() & (F.col("value") != ""))
-    rows = rows.select(F.when(fits, key).alias("key"), F.when(fits, F.regexp_extract_all(rest, F.lit(r"\(([^()]*)\)"), F.lit(1))).alias("items"))
-    if strict:
-        rows = rows.select(F.coalesce("key", F.raise_error(F.lit("not a list line"))).alias("key"), "items")
+    items = F.when(fits, F.regexp_extract_all(rest, F.lit(r"\(([^()]*)\)"), F.lit(1)))
+    rows = rows.select(F.when(fits, key).alias("key"), (items.otherwise(F.raise_error(F.lit("not a list line"))) if strict else items).alias("items"))
     return rows.select("key", F.explode("items").alias("item")).select("key", F.split("item", " ", parts).alias("item"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.weights import vocabulary_of
+from tessera.operators.weights import Extent, extent_of, vocabulary_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> int:
     return vocabulary_of(table(spark, sf_dir, "lineitem"), "l_partkey")
 
 
+def extent(spark: SparkSession, sf_dir: str) -> Extent:
+    """Bounds of the observations' sizes, from the lines they are grouped from."""
+    return extent_of(table(spark, sf_dir, "lineitem"), "l_partkey", "l_orderkey")
+
+
 def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two memberships per image: its customer's pool and its order date's pool."""
     orders = table(spark, sf_dir, "orders").select(
