@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bucket_count, per_process, ranked, settings, small_batches, written
+from tessera.llm.common import bucket_count, per_process, ranked, released, settings, small_batches, written
 from tessera.llm.tokens import load_encoder
 
 SIZE = 1024
@@ -67,7 +67,7 @@ def _pieces(tokenizer: str, size: int, end_id: int, keep_ids: bool):
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
     """Pieces of all documents; ``ids`` holds little-endian unsigned 32-bit ids."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_pieces(tokenizer, size, end_id, keep_ids), PIECE_SCHEMA + (", ids binary" if keep_ids else ""))
+    return rows.mapInArrow(released(_pieces(tokenizer, size, end_id, keep_ids)), PIECE_SCHEMA + (", ids binary" if keep_ids else ""))
 
 
 def pack_histogram(histogram: dict[int, int], size: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -144,7 +144,7 @@ def pack(parts: DataFrame, size: int = SIZE, seed: int = SEED) -> DataFrame:
     rows = ranked(rows, ["length"], "order", bucket_count(sum(histogram.values()))).drop("order")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema)
     rows = rows.select(*parts.columns, F.col("rank").cast("bigint").alias("rank"))
-    return rows.mapInArrow(_place(table), f"{schema}, sequence_id long, offset long, padded_to long")
+    return rows.mapInArrow(released(_place(table)), f"{schema}, sequence_id long, offset long, padded_to long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, **options: object) -> DataFrame:
