@@ -39,6 +39,8 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import released
+
 BUCKETS = 1 << 17  # a power of two
 WINDOW, STRIDE = 40, 20
 LEAST_WORDS = 8  # a shorter bag counts as this many, the rest zero vectors
@@ -192,8 +194,14 @@ class _Corpus:
         return found
 
     def word_values(self, weights: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0.0], np.cumsum(weights[self.flat], dtype=np.float64)))
-        return (total[self.start + self.kept] - total[self.start]) / self.size
+        total = np.zeros(len(self.kept))
+        for at in range(0, len(total), SLICE):  # some words at a time: weights of all n-grams would be large
+            own = slice(at, at + SLICE)
+            some = np.flatnonzero(self.kept[own]) + at
+            if len(some):
+                first, end = self.start[some[0]], self.start[some[-1]] + self.kept[some[-1]]
+                total[some] = np.add.reduceat(weights[self.flat[first:end]].astype(np.float64), self.start[some] - first)
+        return total / self.size
 
     def features(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Buckets of all n-grams of a run of words, and which word each belongs to."""
@@ -356,11 +364,14 @@ def scored(text: Column, model: Model) -> Column:
     """Score of a text column. Only the text reaches Python; other columns stay in the JVM."""
     sent = SparkContext.getOrCreate().broadcast(model)
 
-    @F.arrow_udf("double")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array(list(sent.value.scores(t.as_py() or "" for t in batch)), pa.float64())
 
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from released(each)(batches)
+
     return run(text)
 
 
