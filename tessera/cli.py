@@ -9,6 +9,10 @@ writes gzip or plain text into ``threshold_T/min_hash_iterateJ`` folders.
 ``stage adl <features> <out>``, ``stage tf <features> <adl> <out>``, ``stage idf <tf> <adl> <out>``,
 ``stage pools <idf> <clusters> <min size> <out>``, ``stage list <idf> <out>``, ``stage pairs <clusters> <min size> <out>``,
 ``stage edges <list> <threshold> <out>`` and ``stage known <list> <pairs> <threshold> <out>``, each with ``[compress]``.
+``stage count <features> <store> <out>`` is ``adl`` from counts kept in a store, which scans only files not counted yet.
+
+``grow <store> <batch> <list> <clusters> <threshold> <min size> <out> [compress]`` adds a batch of images, with their
+postings and pools, to a stored graph and writes the whole graph.
 
 ``feature``, ``single``, ``filter`` and ``precompute`` don't split features from image ids
 at tabs, and ``single`` takes a cluster's whole key as its id, as their formats have it.
@@ -27,6 +31,8 @@ from tessera.operators import candidates as C
 from tessera.operators import graph as G
 from tessera.operators import weights as W
 from tessera.operators.ids import Dictionary
+from tessera.plans.progressive import ProgressiveGraph
+from tessera.plans.statistics import StatisticsStore
 from tessera.plans.sweep import sweep_pool_edges
 from tessera.session import local_session
 from tessera.sources import forms
@@ -55,6 +61,18 @@ def _adl(spark: SparkSession, features: str) -> DataFrame:
     return forms.stats_lines(W.corpus_stats(_features(spark, features)))
 
 
+def _count(spark: SparkSession, features: str, store: str) -> DataFrame:
+    kept = StatisticsStore(spark, store, delimiters=DELIMITERS_WIDE)
+    kept.update(features)
+    return forms.stats_lines(kept.stats())
+
+
+def _grown(spark: SparkSession, store: str, batch: str, postings: str, clusters: str, threshold: str, least: str) -> DataFrame:
+    stored = ProgressiveGraph(spark, store, float(threshold))
+    stored.add(batch, _postings(spark, postings), read_clusters(spark, clusters, min_size=int(least)))
+    return edge_lines(stored.edges())
+
+
 def _tf(spark: SparkSession, features: str, adl: str) -> DataFrame:
     return forms.tf_lines(W.tf_weights(_features(spark, features), forms.parse_stats(spark.read.text(adl))))
 
@@ -92,6 +110,7 @@ def _known(spark: SparkSession, postings: str, pairs: str, threshold: str) -> Da
 #: Steps and the number of their arguments, without the last, where they write.
 STAGES: dict[str, tuple[Callable[..., DataFrame], int]] = {
     "adl": (_adl, 1),
+    "count": (_count, 2),
     "tf": (_tf, 2),
     "idf": (_idf, 2),
     "pools": (_pools, 3),
@@ -106,7 +125,7 @@ def _arguments(args: list[str]) -> int | None:
     """How many arguments a command takes."""
     if args and args[0] == "stage":
         return STAGES[args[1]][1] + 3 if len(args) > 1 and args[1] in STAGES else None
-    return {"base": 4}.get(args[0], 6 if args[0] in {"sweep", *VARIANTS} else None) if args else None
+    return {"base": 4, "grow": 8}.get(args[0], 6 if args[0] in {"sweep", *VARIANTS} else None) if args else None
 
 
 def main(args: list[str]) -> int:
@@ -120,6 +139,9 @@ def main(args: list[str]) -> int:
     if args[0] == "stage":
         write_text(STAGES[args[1]][0](spark, *args[2:-1]), args[-1], compress)
         return 0
+    if args[0] == "grow":
+        write_text(_grown(spark, *args[1:-1]), args[-1], compress)
+        return 0
     obs = _features(spark, args[1], args[0] in NARROW)
     extent = W.extent_of(obs)
     postings = W.postings_of(obs, extent.features)

@@ -53,6 +53,7 @@ def _arrays(level: bool) -> list[str]:
 def posting_blocks(rows: DataFrame, keys: Sequence[str], ids: Text, level: bool, extent: Extent | None) -> DataFrame:
     """``(*keys, block, blocks, codes, weights[, levels][, parts])``: lists in order of image, in blocks."""
     heavy, wide = _heavy(extent), _wide(extent)
+    rows = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, "image_id")))  # nulls share nothing
     rows = ids.coded(with_sizes(rows) if heavy or wide else rows)
     blocks = F.ceil(F.col("df") / BLOCK).cast("int") if heavy else F.lit(1)
     block = F.when(blocks <= 1, 0).otherwise(F.pmod(F.xxhash64("image_id"), blocks).cast("int"))

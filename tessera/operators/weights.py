@@ -39,8 +39,8 @@ def extent_of(rows: DataFrame, feature: str = "feature_id", image: str = "image_
 
 
 def vocabulary_of(rows: DataFrame, feature: str = "feature_id") -> int:
-    """About how many features there are: one column read, no shuffle of rows. Five standard errors are added, so it errs upwards."""
-    return int(rows.agg(F.approx_count_distinct(feature, 0.01)).first()[0] * 1.05) + 1
+    """About how many features there are: one column read, no shuffle of rows. Six standard errors are added, so it errs upwards."""
+    return int(rows.agg(F.approx_count_distinct(feature, 0.05)).first()[0] * 1.3) + 1
 
 
 def unit_of(obs: DataFrame) -> list[str]:
@@ -109,10 +109,13 @@ def inverted_list(weights: DataFrame) -> DataFrame:
 
 
 def weights_of(obs: DataFrame, vocabulary: int | None = None) -> DataFrame:
-    """Weights straight from observations."""
+    """Weights straight from observations.
+
+    Frequencies are counted from the observations that get a weight, which are the rows of
+    the term frequencies, so they needn't wait for the statistics.
+    """
     stats = corpus_stats(obs)
-    tf = tf_weights(obs, stats)
-    return tfidf_weights(tf, idf_values(tf, stats), vocabulary)
+    return tfidf_weights(tf_weights(obs, stats), idf_values(obs.where(F.col("value") > 0), stats), vocabulary)
 
 
 def postings_of(obs: DataFrame, vocabulary: int | None = None) -> DataFrame:

@@ -312,6 +312,10 @@ def test_stage_commands_make_the_whole_run(spark, tmp_path):
     edges = lambda name: table(forms.parse_edges(spark.read.text(at(name)), strict=True))
     assert edges("edges") == edges("base") and edges("known") == edges("candidates") and edges("known")
     assert forms.parse_pooled_vectors(spark.read.text(at("pooled")), strict=True).count() == forms.parse_vectors(spark.read.text(at("idf")), strict=True).count()
+    assert main(["stage", "count", at("in"), at("store"), at("counted")]) == 0
+    assert table(spark.read.text(at("counted"))) == table(spark.read.text(at("adl")))
+    assert main(["grow", at("stored"), "first", at("list"), at("pools"), "0.05", "2", at("grown")]) == 0
+    assert edges("grown") == edges("candidates")
     assert main(["stage"]) == main(["stage", "other", "x", "y"]) == main([]) == 2
 
 

@@ -105,6 +105,13 @@ def test_bag_counts_repeats_in_blocks(spark, monkeypatch):
     assert got == want
 
 
+def test_nulls_share_nothing(spark):
+    rows = [("1", "a", 0.5, 0.5), ("1", "b", 0.5, 0.5), (None, "a", 0.5, 0.5), (None, "b", 0.5, 0.5), ("1", None, 0.5, 0.5), ("1", None, 0.5, 0.5)]
+    postings = spark.createDataFrame(rows, "feature_id string, image_id string, w double, w_norm double")
+    for graph in (G.similarity_graph, G.similarity_graph_bag):
+        assert [tuple(r) for r in graph(postings).collect()] == [("a", "b", 0.25)]
+
+
 def test_dictionary_numbers_are_in_order_of_text(spark):
     ids = [str(k) for k in range(0, 5_000, 7)] + ["", "a", "a b", "\u00fc", "Z", "\U0001f642"]
     rows = spark.createDataFrame([(x,) for x in ids] * 2 + [(None,)], "image_id string").repartition(9)
