@@ -7,7 +7,9 @@ how many rows there are. Rows of a batch are combined before they are dealt by d
 so a text that much of the corpus repeats costs a task one row for each map task.
 
 Hits are then checked by full bytes: rows of groups with several members fetch their
-text by locator and are compared with the one that stays. Texts that differ under one
+text by locator and are compared with the one that stays; a Bloom filter of the locators,
+of bounded size, keeps other texts out of that shuffle while there are up to some ten million
+hits. Texts that differ under one
 digest are grouped again by their whole text, so a collision can't drop a document.
 
 The longest original text, then the smallest id, then the locator decides what stays; a
@@ -20,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.bloom import bloom_of, passing, words_for
 from tessera.llm.common import settings, shared_dir, text_of, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -104,9 +107,12 @@ def unequal_digests(docs: DataFrame, seen: DataFrame, groups: DataFrame, text_co
     """
     several = groups.where(F.col("members") > 1).select("digest", F.col("best.file").alias("k_file"), F.col("best.row").alias("k_row"))
     stays = (F.col("file") == F.col("k_file")) & (F.col("row") == F.col("k_row"))
-    hits = seen.select("digest", "file", "row").join(several, "digest").select("digest", "file", "row", stays.alias("stays"))
+    hits = written(seen.select("digest", "file", "row").join(several, "digest").select("digest", "file", "row", stays.alias("stays")), "exact-hits")
+    place = ["file", "row"]
+    words = words_for(hits.count())
     content = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), text_of(text_col).alias("text"))
-    texts = content.join(hits, ["file", "row"]).select("digest", "stays", normalised(F.col("text")).alias("text"))
+    content = passing(content, bloom_of(hits, place, words) if words else None, place, words)  # before texts are shuffled
+    texts = content.join(hits, place).select("digest", "stays", normalised(F.col("text")).alias("text"))
     kept = texts.where("stays").select("digest", F.col("text").alias("kept_text"))
     return texts.where("not stays").join(kept, "digest").where(F.col("text") != F.col("kept_text")).select("digest")
 
