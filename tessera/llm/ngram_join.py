@@ -43,7 +43,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import open_store, per_process, settings, shared_dir, small_batches, written
+from tessera.functions.bloom import bloom_of, passing, words_for
+from tessera.llm.common import open_store, per_process, released, settings, shared_dir, small_batches, written
 from tessera.llm.components import components
 
 N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -51,6 +52,7 @@ ROWS, BANDS = 5, 35
 VALUES = ROWS * BANDS
 STRETCH = 25
 BLOCK, BLOCK_BYTES = 256, 8 << 20
+PIECES = 4  # of a tile; a task holds two tiles, so at most about 8 * BLOCK_BYTES of shingles
 SMALL = 8  # buckets of so few members list their pairs outright
 SEED = 29
 WORDS_KEPT, WORD_CHARS = 50_000, 64  # word hashes that a worker remembers, of words no longer than this
@@ -382,19 +384,36 @@ def _make_pieces(n: int, limits: list[tuple[int, int]], limit: Fraction, folder:
 
 
 def _cross(limits: list[tuple[int, int]], limit: Fraction, folder: str):
-    """Links between two pieces, read by name."""
+    """Links between two pieces, read by name: each once for a pair of tiles, whose pairs come one after the other."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, left = None, None
+        tiles, held = None, {}
         for batch in batches:
-            for p, q in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist(), strict=True):
-                if p != name:
-                    name, left = p, Piece.load(folder, p)
-                yield _links(compare(left, Piece.load(folder, q), limits, limit))
+            for p, q, *own in zip(*(batch.column(c).to_pylist() for c in ("p", "q", "root", "low", "high")), strict=True):
+                if own != tiles:
+                    tiles, held = own, {}
+                for name in (p, q):
+                    if name not in held:
+                        held[name] = Piece.load(folder, name)
+                yield _links(compare(held[p], held[q], limits, limit))
 
     return run
 
 
+def piece_pairs(pieces: DataFrame, threshold: float) -> DataFrame:
+    """``(p, q, root, low, high)``: pairs of a group's pieces whose set sizes can reach the threshold, and the tiles they are in.
+
+    A tile is about ``PIECES`` pieces of a group. A task takes all pairs of two tiles, so a
+    piece is read once for each tile of its group and not for each piece.
+    """
+    tiles = pieces.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / PIECES).alias("tiles"))
+    rows = pieces.join(tiles, "root").withColumn("tile", F.pmod(F.xxhash64(F.lit(5), "piece"), F.col("tiles")))
+    p, q = rows.alias("p"), rows.alias("q")
+    reach = (F.col("p.large") >= F.col("q.small") * threshold) & (F.col("q.large") >= F.col("p.small") * threshold)
+    met = p.join(q, (F.col("p.root") == F.col("q.root")) & (F.col("p.piece") < F.col("q.piece")) & reach)
+    return met.select(F.col("p.piece").alias("p"), F.col("q.piece").alias("q"), F.col("p.root").alias("root"), F.least("p.tile", "q.tile").alias("low"), F.greatest("p.tile", "q.tile").alias("high"))
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """``(doc_id, class_id, n_links, copy_id, copies)``, one row per document.
 
@@ -422,7 +441,7 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float,
     limits, limit = least_matches(threshold, tolerance), Fraction(str(threshold))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(*row_keys(F.col(id_col), text), F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"))
-    features = written(rows.mapInArrow(_features(n), FEATURES).withColumn("row", F.monotonically_increasing_id()), "shingle-features")
+    features = written(rows.mapInArrow(released(_features(n)), FEATURES).withColumn("row", F.monotonically_increasing_id()), "shingle-features")
     classes = features.groupBy("set_hash").agg(F.min("row").alias("node"), F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("copies"))
     classes = written(classes, "shingle-classes")
     stands = features.join(classes.select("node", "copies"), F.col("row") == F.col("node"))
@@ -441,15 +460,17 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float,
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.col("n_shingles") * 8) / BLOCK_BYTES)).cast("int")
     members = members.join(members.groupBy("root").agg(blocks.alias("blocks")), "root")
     members = members.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks"))).drop("n_shingles")
-    dealt = rows.drop("doc_id").join(members, ["k1", "k2"]).drop("k1", "k2").repartition("root", "block").sortWithinPartitions("root", "block", "node")
+    keys, words = ["k1", "k2"], words_for(coarse.count())
+    # texts of documents in no group aren't shuffled, while there are up to some ten million others
+    texts = passing(rows.drop("doc_id"), bloom_of(members.select(*keys), keys, words) if words else None, keys, words)
+    dealt = texts.join(members, keys).drop(*keys).repartition("root", "block").sortWithinPartitions("root", "block", "node")
     folder = shared_dir(docs.sparkSession, "shingle-pieces")
-    found = written(dealt.mapInArrow(_make_pieces(n, limits, limit, folder, BLOCK, BLOCK_BYTES), FOUND), "piece-links")
+    found = written(dealt.mapInArrow(released(_make_pieces(n, limits, limit, folder, BLOCK, BLOCK_BYTES)), FOUND), "piece-links")
 
     pieces = found.where("piece IS NOT NULL")
-    p, q = pieces.alias("p"), pieces.alias("q")
-    reach = (F.col("p.large") >= F.col("q.small") * threshold) & (F.col("q.large") >= F.col("p.small") * threshold)
-    pairs = p.join(q, (F.col("p.root") == F.col("q.root")) & (F.col("p.piece") < F.col("q.piece")) & reach).select(F.col("p.piece").alias("p"), F.col("q.piece").alias("q"))
-    crossed = written(pairs.repartition("p", "q").sortWithinPartitions("p", "q").mapInArrow(_cross(limits, limit, folder), FOUND), "cross-links")
+    tile = ["root", "low", "high"]
+    pairs = piece_pairs(pieces, threshold).repartition(*tile).sortWithinPartitions(*tile, "p", "q")
+    crossed = written(pairs.mapInArrow(released(_cross(limits, limit, folder)), FOUND), "cross-links")
     verified = found.where("piece IS NULL").unionByName(crossed).select("a", "b", "links")
 
     final = written(components(verified.select("a", "b")), "verified-groups")
