@@ -600,3 +600,29 @@ def test_mix_picks_the_same_text_of_rows_that_repeat_an_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     picked = [sorted((r.text, r.doc_id) for r in mixing.mixed_documents(docs.repartition(n), share=0.5).collect()) for n in (1, 7)]
     assert picked[0] == picked[1] and 0 < len(picked[0]) < 40
+
+
+def test_pieces_are_read_once_a_tile(spark, monkeypatch):
+    """Every pair of a group's pieces once; a piece is read for each tile of its group, not for each piece."""
+    reads = {}
+    for n in (24, 96):
+        pieces = spark.createDataFrame([(1, f"p{k:03d}", 10, 12) for k in range(n)] + [(2, "alone", 10, 12), (3, "small", 10, 12), (3, "large", 90, 99)], "root long, piece string, small long, large long")
+        pairs = ngram_join.piece_pairs(pieces, 0.8).collect()
+        assert sorted(tuple(sorted((r.p, r.q))) for r in pairs) == [(f"p{a:03d}", f"p{b:03d}") for a in range(n) for b in range(a + 1, n)]
+        tiles = defaultdict(set)
+        for r in pairs:
+            tiles[r.root, r.low, r.high] |= {r.p, r.q}
+        reads[n] = sum(map(len, tiles.values()))
+        assert reads[n] <= 2 * n * (n / ngram_join.PIECES + 1), (n, reads[n])
+    assert reads[96] < 96 * 96 / 2  # a read for each pair would be that many, and one more for each piece
+
+
+def test_texts_without_hits_are_not_shuffled(spark, tmp_path):
+    """What op2 shuffles follows the copies and not the table."""
+    text = " ".join(f"word{k}" for k in range(2_000))
+    rows = [(k, f"{text} {k if k > 20 else 0}") for k in range(800)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/d.parquet")
+    last = max(shuffle_bytes(spark), default=-1)
+    assert exact_dedup.dedup(spark, f"{tmp_path}/d.parquet").where("not kept").count() == 20
+    moved = sum(size for stage, size in shuffle_bytes(spark).items() if stage > last)
+    assert 0 < moved < 800 * len(text) / 20  # 21 texts twice, and rows of digests
