@@ -116,7 +116,8 @@ def contributions(postings: DataFrame, keys: Sequence[str] = ("feature_id",), id
         rows = rows.select(*first, "k", *arrays, F.col("codes").alias("every"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
         mine = lambda c: F.filter(c, lambda _, i: F.pmod(F.xxhash64(F.get("every", i)), F.col("k")) == F.col("part"))
         rows = rows.select(*first, "part", *(F.when(F.col("k") <= 1, F.col(c)).otherwise(mine(c)).alias(c) for c in arrays))
-    rows = rows.repartition(*key)
+    # a number of partitions, so that none are merged for their few bytes: each byte becomes many rows there
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
     pairs = rows.select(*first, *key[1:], *arrays[1:], F.posexplode("codes").alias("j", "b"))
     pairs = pairs if same else pairs.where("a != b")
     lower = [F.least("la", F.get("levels", F.col("j"))).alias("level")] if level else []

@@ -51,7 +51,7 @@ def hot(spark):
 
 
 @pytest.mark.parametrize("kind", ["text", "whole", "dictionary"])
-@pytest.mark.parametrize(("block", "wide"), [(1_024, 10_000), (7, 10_000), (1_024, 3), (7, 3)])
+@pytest.mark.parametrize(("block", "wide"), [(1_024, 10_000), (7, 3)])
 def test_sums_of_any_ids_blocks_and_parts(hot, monkeypatch, kind, block, wide):
     monkeypatch.setattr(P, "BLOCK", block)
     monkeypatch.setattr(P, "WIDE", wide)
