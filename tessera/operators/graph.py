@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions.bloom import bloom_of, passing, words_for
 from tessera.operators.candidates import cluster_left_join, cluster_pairs, flagged_pairs, in_first_shared_pool, supplied_pairs, with_pools
 from tessera.operators.ids import TEXT, Text
-from tessera.operators.pairs import pair_sums
+from tessera.operators.pairs import BLOCK, few, pair_sums
 from tessera.operators.weights import Extent
 
 
@@ -41,7 +41,9 @@ def _summed(contributions: DataFrame) -> DataFrame:
 def similarity_graph(postings: DataFrame, threshold: float = 0.0, edge_threshold: float | None = None, ids: Text = TEXT, extent: Extent | None = None) -> DataFrame:
     """All pairs that share a feature whose raw weights both exceed the threshold; optionally only those whose sum exceeds another, found by bounds."""
     rows = postings.where(F.col("w") > threshold)
-    return pair_sums(rows, ids=ids, extent=extent) if edge_threshold is None else bounded_graph(rows, edge_threshold)
+    if edge_threshold is None or (few(extent) and extent.most_images <= BLOCK and edge_threshold > 0):  # short vectors and lists: pairs are done where they meet
+        return pair_sums(rows, ids=ids, extent=extent, above=edge_threshold)
+    return bounded_graph(rows, edge_threshold)
 
 
 def similarity_graph_bag(postings: DataFrame, threshold: float = 0.0, ids: Text = TEXT, extent: Extent | None = None) -> DataFrame:

@@ -28,6 +28,10 @@ class Text:
         """Whether the id of one code comes before that of another."""
         return a < b
 
+    def order(self, code: Column) -> Column:
+        """What sorts codes as their ids are as text."""
+        return code
+
     def restored(self, pairs: DataFrame, *keep: str) -> DataFrame:
         """``(image_a, image_b)`` and the columns ``keep`` of pairs of codes ``(a, b)``."""
         return pairs.select(F.col("a").alias("image_a"), F.col("b").alias("image_b"), *keep)
@@ -42,6 +46,9 @@ class Whole(Text):
     def before(self, a: Column, b: Column) -> Column:
         return a.cast("string") < b.cast("string")
 
+    def order(self, code: Column) -> Column:
+        return code.cast("string")
+
     def restored(self, pairs: DataFrame, *keep: str) -> DataFrame:
         return pairs.select(F.col("a").cast("string").alias("image_a"), F.col("b").cast("string").alias("image_b"), *keep)
 

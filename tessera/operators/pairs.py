@@ -13,20 +13,30 @@ Postings need ``df`` and ``n_features`` for that, upper bounds of a list's and a
 length; ``with_sizes`` adds them where they are missing. Where the counted ``Extent`` of the
 data shows that no list and no vector is that long, the plan has neither step; its rows are
 the same.
+
+Where it shows that vectors are short (``FEW``), nearly all pairs share one feature only, and
+their sum is that one product. A posting then carries a signature of its image's other
+features, and pairs whose signatures have no bit in common are done where they meet; only
+the rest is shuffled to be summed (``meetings``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.dealing import dealt
 from tessera.operators.ids import TEXT, Text
 from tessera.operators.weights import Extent
 
 BLOCK = 1_024
 WIDE = 10_000
+FEW = 64
+#: Words of a signature of an image's features.
+WORDS = 4
 
 
 def with_sizes(postings: DataFrame) -> DataFrame:
@@ -124,7 +134,78 @@ def contributions(postings: DataFrame, keys: Sequence[str] = ("feature_id",), id
     return pairs.select(*key, "b", (F.col("wa") * F.get("weights", F.col("j"))).alias("c"), *lower), [*key, "b"]
 
 
-def pair_sums(postings: DataFrame, keys: Sequence[str] = ("feature_id",), ids: Text = TEXT, extent: Extent | None = None, same: bool = False) -> DataFrame:
-    """``(image_a, image_b, similarity)``: sums over what two images share."""
-    rows, key = contributions(postings, keys, ids, extent=extent, same=same)
-    return ids.restored(rows.groupBy(*key).agg(F.sum("c").alias("similarity")), "similarity")
+def few(extent: Extent | None) -> bool:
+    """Whether no vector is long, so that pairs seldom share two features."""
+    return extent is not None and extent.most_features <= FEW
+
+
+def with_others(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds ``s0`` and so on, the bits of the image's other rows, and ``again``, whether one of them has this row's bit."""
+    place = F.pmod(F.xxhash64(*keys), F.lit(64 * WORDS)).cast("int")
+    rows = rows.withColumn("place", place)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place") % 64)
+    words = [F.when(F.floor(F.col("place") / 64) == k, bit).otherwise(F.lit(0).cast("bigint")) for k in range(WORDS)]
+    rows = rows.withColumn("again", F.count(F.lit(1)).over(Window.partitionBy("image_id", "place")) > 1)
+    image = Window.partitionBy("image_id")
+    return rows.withColumns({f"s{k}": F.bit_or(w).over(image).bitwiseXOR(w) for k, w in enumerate(words)}).drop("place")
+
+
+def meetings(postings: DataFrame, keys: Sequence[str] = ("feature_id",), ids: Text = TEXT, level: bool = False, extent: Extent | None = None, same: bool = False) -> DataFrame:
+    """Rows ``(a, b, c, more[, level])``, as of ``contributions``, where lists or blocks meet.
+
+    Without ``more`` the two images share nothing else, and ``c`` is their sum.
+    """
+    heavy, signature = _heavy(extent), [f"s{k}" for k in range(WORDS)]
+    rows = postings.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, "image_id")))
+    rows = with_others(ids.coded(with_sizes(rows) if heavy else rows), keys)
+    columns = ["code", "w_norm", *(["level"] if level else []), "again", *signature]
+    names = [*keys]
+    if heavy:
+        blocks = F.ceil(F.col("df") / BLOCK).cast("int")
+        rows = rows.withColumns({"blocks": blocks, "block": F.when(blocks <= 1, 0).otherwise(F.pmod(F.xxhash64("image_id"), blocks).cast("int"))})
+        names += ["block"]
+    ordered = lambda e: F.struct(ids.order(e["code"]).alias("order"), *(e[c].alias(c) for c in columns))
+    e = F.array_sort(F.transform(F.collect_list(F.struct(*columns)), ordered)).alias("e")
+    lists = dealt(rows.select(*names, *(["blocks"] if heavy else []), *columns), extent.rows if extent else 0, *names, fixed=True)
+    lists = lists.groupBy(*names).agg(e, *([F.max("blocks").alias("blocks")] if heavy else []))
+    arrays = (["order"] if heavy else []) + columns
+    lists = lists.select(*names, *(["blocks"] if heavy else []), *(F.col(f"e.{c}").alias(c) for c in arrays))
+    if heavy:
+        lists = lists.where("blocks > 0")  # always; both uses so read the same columns, and share one exchange
+    own = lists.select(*columns, *(F.col(c).alias(f"other_{c}") for c in columns))
+    pairs = _met(own, columns).where("i < j").drop("i", "j")
+    if heavy:
+        many = lists.where("blocks > 1")
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        low = many.select(*keys, F.col("block").alias("x"), every.alias("y"), *arrays).where("x < y")
+        high = many.select(*keys, every.alias("x"), F.col("block").alias("y"), *(F.col(c).alias(f"other_{c}") for c in arrays)).where("x < y")
+        met = _met(low.join(high, [*keys, "x", "y"]), arrays)
+        first = F.col("a_order") < F.col("b_order")
+        turned = {"a_code": F.when(first, F.col("a_code")).otherwise(F.col("b_code")), "b_code": F.when(first, F.col("b_code")).otherwise(F.col("a_code"))}
+        pairs = pairs.unionByName(met.withColumns(turned).drop("i", "j", "a_order", "b_order"))
+    pairs = pairs if same else pairs.where("a_code != b_code")
+    more = reduce(lambda x, y: x | y, (F.col(f"a_{s}").bitwiseAND(F.col(f"b_{s}")) != 0 for s in signature), F.col("a_again") | F.col("b_again"))
+    lower = [F.least("a_level", "b_level").alias("level")] if level else []
+    return pairs.select(F.col("a_code").alias("a"), F.col("b_code").alias("b"), (F.col("a_w_norm") * F.col("b_w_norm")).alias("c"), more.alias("more"), *lower)
+
+
+def _met(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Each place of the arrays ``columns`` with each of the arrays ``other_``."""
+    others = [f"other_{c}" for c in columns]
+    rows = rows.select(F.posexplode("code").alias("i", "a_code"), *(c for c in columns if c != "code"), *others)
+    rows = rows.select("i", "a_code", *(F.get(c, F.col("i")).alias(f"a_{c}") for c in columns if c != "code"), *others)
+    left = [c for c in rows.columns if not c.startswith("other_")]
+    rows = rows.select(*left, *(o for o in others if o != "other_code"), F.posexplode("other_code").alias("j", "b_code"))
+    return rows.select(*left, "j", "b_code", *(F.get(f"other_{c}", F.col("j")).alias(f"b_{c}") for c in columns if c != "code"))
+
+
+def pair_sums(postings: DataFrame, keys: Sequence[str] = ("feature_id",), ids: Text = TEXT, extent: Extent | None = None, same: bool = False, above: float | None = None) -> DataFrame:
+    """``(image_a, image_b, similarity)``: sums over what two images share; optionally only those above a threshold."""
+    if few(extent):
+        met = meetings(postings, keys, ids, extent=extent, same=same)
+        once = met.where("NOT more").select("a", "b", F.col("c").alias("similarity"))
+        sums = once.unionByName(met.where("more").groupBy("a", "b").agg(F.sum("c").alias("similarity")))
+    else:
+        rows, key = contributions(postings, keys, ids, extent=extent, same=same)
+        sums = rows.groupBy(*key).agg(F.sum("c").alias("similarity"))
+    return ids.restored(sums if above is None else sums.where(F.col("similarity") > above), "similarity")

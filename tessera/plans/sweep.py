@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.candidates import in_first_shared_pool
 from tessera.operators.ids import TEXT, Text
-from tessera.operators.pairs import contributions
+from tessera.operators.pairs import contributions, few, meetings
 from tessera.operators.weights import Extent
 
 
@@ -26,8 +26,14 @@ def sweep_edges(postings: DataFrame, thresholds: Sequence[float], ids: Text = TE
 def _coded_sweep(postings: DataFrame, thresholds: Sequence[float], ids: Text, extent: Extent | None) -> DataFrame:
     steps = sorted(thresholds)
     rows = postings.where(F.col("w") > steps[0]).withColumn("level", _level(F.col("w"), steps).cast("byte"))
-    found, key = contributions(rows, ids=ids, level=True, extent=extent)
-    return _running(found.groupBy(*key, "level").agg(F.sum("c").alias("c")), steps, key)
+    if not few(extent):
+        found, key = contributions(rows, ids=ids, level=True, extent=extent)
+        return _running(found.groupBy(*key, "level").agg(F.sum("c").alias("c")), steps, key).drop("part")
+    met = meetings(rows, ids=ids, level=True, extent=extent)
+    spans = F.slice(F.array(*(F.lit(float(t)) for t in steps)), F.lit(1), F.col("level").cast("int") + 1)
+    once = met.where("NOT more").select(F.explode(spans).alias("threshold"), "a", "b", F.col("c").alias("similarity"))
+    rest = met.where("more").groupBy("a", "b", "level").agg(F.sum("c").alias("c"))
+    return once.unionByName(_running(rest, steps, ("a", "b")))
 
 
 def _level(w: Column, steps: list[float]) -> Column:

@@ -214,3 +214,36 @@ def test_pools_of_null_id_share_nothing(spark, hot):
     names = [r.image_id for r in hot.select("image_id").distinct().limit(3).collect()]
     members = spark.createDataFrame([(None, x) for x in names], "cluster_id string, image_id string")
     assert G.cluster_overlap_graph(hot, members).count() == G.candidate_graph(hot, members).count() == C.cluster_pairs(members).count() == 0
+
+
+# short vectors
+
+
+@pytest.mark.parametrize("kind", ["text", "whole", "dictionary"])
+@pytest.mark.parametrize("block", [1_024, 7])
+def test_short_vectors_are_summed_where_they_meet(spark, monkeypatch, kind, block):
+    """Few rows are shuffled by pair; sums, sweeps, bags and thresholds on sums are the plain ones."""
+    monkeypatch.setattr(P, "BLOCK", block)
+    obs = spark.createDataFrame(random_obs(11, 700, 90, 2_000, 0.05), "image_id string, feature_id long, value double")
+    postings = W.postings_of(obs).cache()
+    rows, extent = postings.collect(), W.extent_of(obs)
+    ids = {"text": TEXT, "whole": WHOLE, "dictionary": None}[kind] or Dictionary(postings)
+    assert P.few(extent) and extent.rows == obs.count()
+    want = brute(rows, 0.02)
+    close(G.similarity_graph(postings, 0.02, ids=ids, extent=extent), want)
+    close(G.similarity_graph(postings, 0.02, 0.4, ids, extent), {k: s for k, s in want.items() if s > 0.4})
+    found = sweep_edges(postings, (0.1, 0.02), ids, extent)
+    for t in (0.02, 0.1):
+        close(found.where(F.col("threshold") == t), brute(rows, t))
+    met = P.meetings(postings.where("w > 0.02"), ids=ids, extent=extent)
+    assert met.where("more").count() < met.count() / 2
+    shared = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more"), F.min("more").alias("less"))
+    assert shared.where("n > 1 AND NOT less").count() == 0 < shared.where("n > 1").count()
+
+
+def test_repeats_of_short_vectors(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK", 2)
+    rows = [("1", x, 0.5, 0.5) for x in "aabbbcd"] + [("2", x, 0.5, 0.25) for x in "abd"]
+    postings = spark.createDataFrame(rows, "feature_id string, image_id string, w double, w_norm double")
+    got, want = (G.similarity_graph_bag(postings, extent=e).collect() for e in (W.extent_of(postings), None))
+    assert sorted(got) == sorted(want) and got
