@@ -7,16 +7,18 @@ differences of seeded pairs, with a small ridge, by Newton steps.
 
 Features are column expressions over the whole text (lengths, shares of kinds of
 characters, variety of words and lines), so texts stay in the JVM. Each is cut to the
-range of the training sample, scaled, and joined by hinges at its quantiles, so a score
+range of the training rows, scaled, and joined by hinges at its quantiles, so a score
 can fall on both sides of a usual range.
 
 The threshold is the quantile of the training scores at the share of bad labels: as
 many documents pass as labels say are good. Reported scores are shifted so that this
 threshold falls on ``THRESHOLD``.
 
-Fitted on the driver from at most ``GOOD_DOCS`` and ``BAD_DOCS`` labelled documents (those
-with the smallest seeded hash of their id; their features are fetched, no texts),
-without the held-out fold. All documents are scored over their whole text.
+Fitted on every labelled document outside the held-out fold: features are written once,
+ranges, quantiles (counted in ``BINS`` steps of a range) and the threshold (exact) are
+those of all of them, and each is in a pair, of which there are ``PAIRS`` at least if
+there can be. Tasks sum a Newton step's loss, gradient and curvature over their pairs; the driver
+adds these sums up and holds no documents. All documents are scored over their whole text.
 
 A null text is empty and scored as one; a null id is never a training row. Without labels
 of both kinds every score is the share of good labels (a half without labels). Of several
@@ -26,17 +28,21 @@ gives none. Further columns change nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, text_of
+from tessera.functions.bloom import bloom_of, passing, words_for
+from tessera.llm.common import SPACE, bucket_count, ranked, released, text_of, written
 
-GOOD_DOCS, BAD_DOCS = 4_000, 4_000
 PAIRS = 40_000
+BINS = 1 << 16  # of a feature's range, for its quantiles
+CUT_BINS = 1 << 10  # of a range of margins, at each step of the search for the threshold
+BROADCAST_ROWS = 50_000  # of features: some megabytes
 RIDGE = 1e-3
 KNOTS = (0.05, 0.25, 0.5, 0.75, 0.95)
 THRESHOLD = 0.3
@@ -96,14 +102,17 @@ class Model:
     def margins(self, x: np.ndarray) -> np.ndarray:
         return self.basis(x) @ self.weights.ravel() + self.shift
 
-    def score(self, x: Column) -> Column:
+    def margin(self, x: Column) -> Column:
         """The same as a column: sums of hinges, inside the JVM."""
         terms = [F.lit(float(self.shift))]
         for i, w in enumerate(self.weights):
             span = float(self.high[i] - self.low[i]) or 1.0
             z = (F.least(F.greatest(F.get(x, F.lit(i)), F.lit(float(self.low[i]))), F.lit(float(self.high[i]))) - float(self.low[i])) / span
             terms += [z * float(w[0]), *(F.greatest(F.lit(0.0), z - float(k)) * float(v) for k, v in zip(self.knots[i], w[1:], strict=True))]
-        return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, terms)))
+        return reduce(lambda a, b: a + b, terms)
+
+    def score(self, x: Column) -> Column:
+        return 1 / (1 + F.exp(-self.margin(x)))
 
 
 def preference_pairs(n_good: int, n_bad: int, pairs: int = PAIRS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -113,31 +122,53 @@ def preference_pairs(n_good: int, n_bad: int, pairs: int = PAIRS, seed: int = SE
     return each(n_good), each(n_bad)
 
 
-def bradley_terry(difference: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
-    """Weights that minimise the mean of log(1 + exp(-w . difference)) + ridge |w|^2 / 2."""
-    w = np.zeros(difference.shape[1])
-    loss = lambda w: np.logaddexp(0.0, -difference @ w).mean() + ridge * (w @ w) / 2
-    now = loss(w)
+def loss_sums(difference: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Over pairs, in one row: log(1 + exp(-w . difference)), its gradient and its curvature."""
+    margin = difference @ w
+    lost = 1.0 / (1.0 + np.exp(np.clip(margin, -500, 500)))
+    curve = (difference * (lost * (1 - lost))[:, None]).T @ difference
+    return np.concatenate([[np.logaddexp(0.0, -margin).sum()], -difference.T @ lost, curve.ravel()])
+
+
+def minimised(sums: Callable[[np.ndarray], np.ndarray], pairs: int, size: int, ridge: float = RIDGE) -> np.ndarray:
+    """Weights that minimise the mean loss of so many pairs + ridge |w|^2 / 2, by Newton steps; ``sums`` gives ``loss_sums`` of all pairs."""
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        mean = sums(w) / pairs
+        return mean[0] + ridge * (w @ w) / 2, mean[1 : size + 1] + ridge * w, mean[size + 1 :].reshape(size, size) + ridge * np.eye(size)
+
+    w = np.zeros(size)
+    now, gradient, curve = at(w)
     for _ in range(100):
-        lost = 1.0 / (1.0 + np.exp(np.clip(difference @ w, -500, 500)))
-        gradient = ridge * w - difference.T @ lost / len(difference)
-        curve = (difference * (lost * (1 - lost))[:, None]).T @ difference / len(difference) + ridge * np.eye(len(w))
-        step, size = np.linalg.solve(curve, gradient), 1.0
-        while size > 1e-6 and (then := loss(w - size * step)) > now:
-            size /= 2
-        if size <= 1e-6 or now - then < 1e-12:
+        step, length = np.linalg.solve(curve, gradient), 1.0
+        if step @ gradient < 2e-12:  # twice what is left to gain
             break
-        w, now = w - size * step, then
+        while (then := at(w - length * step))[0] > now and length > 1e-6:
+            length /= 2
+        if then[0] > now:
+            break
+        w = w - length * step
+        now, gradient, curve = then
     return w
 
 
+def bradley_terry(difference: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """Weights of pairs at hand."""
+    return minimised(lambda w: loss_sums(difference, w), len(difference), difference.shape[1], ridge)
+
+
+def constant(share: float) -> Model:
+    """Every score is the share of good labels."""
+    p = min(max(share, 1e-6), 1 - 1e-6)
+    return Model(float(np.log(p / (1 - p))))
+
+
 def train(x: np.ndarray, good: np.ndarray, good_share: float | None = None) -> Model:
-    """Model of labelled feature rows; ``good_share`` is the share of good labels where the sample's differs."""
+    """Model of labelled feature rows at hand; ``good_share`` is the share of good labels where that of the rows differs."""
     good = good.astype(bool)
     share = float(good.mean()) if good_share is None and len(good) else 0.5 if good_share is None else good_share
     if len(set(good.tolist())) < 2:
-        p = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(float(np.log(p / (1 - p))))
+        return constant(share)
     low, high = x.min(axis=0), x.max(axis=0)
     z = (x - low) / np.where(high > low, high - low, 1.0)
     model = Model(0.0, low=low, high=high, knots=np.quantile(z, KNOTS, axis=0).T.copy())
@@ -159,19 +190,107 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % HELD_OUT[0] == HELD_OUT[1], F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", good_docs: int = GOOD_DOCS, bad_docs: int = BAD_DOCS) -> Model:
-    """Model from a bounded sample of labelled rows outside the held-out fold, chosen from the labels alone."""
+def _ranges(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least and largest value of each feature, and its quantiles ``KNOTS`` on that range."""
+    every = [F.get("x", F.lit(i)) for i in range(len(features(F.lit(""), F.array(F.lit("")))))]
+    found = rows.agg(F.array(*(F.min(c) for c in every)).alias("low"), F.array(*(F.max(c) for c in every)).alias("high")).first()
+    low, high = np.array(found["low"]), np.array(found["high"])
+    steps = [F.floor((c - float(a)) / (float(b - a) or 1.0) * BINS) for c, a, b in zip(every, low, high, strict=True)]
+    counts = rows.select(F.posexplode(F.array(*steps)).alias("feature", "step")).groupBy("feature", "step").agg(F.count(F.lit(1)).alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("feature").orderBy("step")))  # BINS rows of a feature at most
+    place = np.array(KNOTS) * (n - 1)
+    at = lambda k: F.min(F.when(F.col("upto") > min(int(k), n - 1), F.col("step"))) / BINS
+    ends = upto.groupBy("feature").agg(F.array(*(at(k) for k in place)).alias("a"), F.array(*(at(k + 1) for k in place)).alias("b")).orderBy("feature").collect()
+    a, b = np.array([r["a"] for r in ends]), np.array([r["b"] for r in ends])
+    return low, high, a + (b - a) * (place % 1)
+
+
+def _pairs(rows: DataFrame, n_good: int, n_bad: int, pairs: int = PAIRS) -> tuple[DataFrame, int]:
+    """``(good_x, bad_x)`` of seeded pairs, and their number: every row of the commoner kind with so many of the other, in a circle, that there are ``pairs``."""
+    many, few = max(n_good, n_bad), min(n_good, n_bad)
+    rounds = min(few, -(-pairs // many))
+    sides = ("good_x", "bad_x") if n_good >= n_bad else ("bad_x", "good_x")
+    numbered = ranked(rows, ["good"], "place", bucket_count(n_good + n_bad))
+    kind = F.col("good") == (1 if n_good >= n_bad else 0)
+    common = numbered.where(kind).select("rank", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"), F.col("x").alias(sides[0]))
+    rare = numbered.where(~kind).select(F.col("rank").alias("other"), F.col("x").alias(sides[1]))
+    met = common.withColumn("other", (F.col("rank") + F.col("round")) % few).join(F.broadcast(rare) if few <= BROADCAST_ROWS else rare, "other")
+    return met.sortWithinPartitions("rank", "round").select("good_x", "bad_x"), many * rounds  # in order, so sums are the same in each run
+
+
+def _summed(pairs: DataFrame, model: Model, w: np.ndarray) -> np.ndarray:
+    """``loss_sums`` of all pairs: one row of sums comes from each task."""
+
+    def step(batches):
+        import pyarrow as pa
+
+        total = None
+        for batch in batches:
+            good, bad = (model.basis(batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1)) for c in ("good_x", "bad_x"))
+            found = loss_sums(good - bad, w)
+            total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["sums"])
+
+    return np.sum([r["sums"] for r in pairs.mapInArrow(released(step), "sums array<double>").collect()], axis=0)
+
+
+def _cut(rows: DataFrame, share: float, n_good: int, n_bad: int) -> float:
+    """The quantile of ``margin`` at the share of bad labels, each kind weighing as among all labels: the middle of the gap that parts the shares.
+
+    Found exactly by counting in ever smaller ranges: each step fetches ``CUT_BINS`` rows at most.
+    """
+    good, bad = share / n_good, (1 - share) / n_bad
+    target, below = 1 - share - 1e-9, 0.0
+    low, high = rows.agg(F.min("margin"), F.max("margin")).first()
+    while True:
+        at = F.least(F.floor((F.col("margin") - low) / ((high - low) or 1.0) * CUT_BINS), F.lit(CUT_BINS - 1))
+        count = lambda k: F.count_if(F.col("good") == k)
+        counts = rows.where(F.col("margin").between(low, high)).groupBy(at.alias("at")).agg(count(1).alias("good"), count(0).alias("bad"), F.min("margin").alias("low"), F.max("margin").alias("high"))
+        bins = sorted(counts.collect())
+        for r in bins:
+            own = r["good"] * good + r["bad"] * bad
+            if below + own >= target or r is bins[-1]:
+                low, high = r["low"], r["high"]
+                break
+            below += own
+        if low == high:
+            break
+    ends = rows.agg(F.max(F.when(F.col("margin") < low, F.col("margin"))).alias("before"), F.min(F.when(F.col("margin") > low, F.col("margin"))).alias("after")).first()
+    other = ends["after"] if ends["after"] is not None else ends["before"]
+    return low if other is None else (low + other) / 2
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """Model of all labelled rows outside the held-out fold.
+
+    Texts of documents without a label are dropped by a Bloom filter of the labels' ids before
+    their features are computed, and what is shuffled are features, not texts.
+    """
     known = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("good")).where("label_id IS NOT NULL AND good IS NOT NULL").where(~held_out(F.col("label_id")))
-    known = known.groupBy("label_id").agg(F.min("good").alias("good"))
+    known = known.groupBy("label_id").agg(F.min("good").alias("good")).where("good IN (0, 1)")
     counts = {r["good"]: r["count"] for r in known.groupBy("good").count().collect()}
-    place = F.xxhash64(F.lit(SEED), "label_id")
-    chosen = [known.where(F.col("good") == k).orderBy(place, "label_id").limit(n) for k, n in ((1, good_docs), (0, bad_docs))]
-    sample = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most good_docs + bad_docs ids
-    own = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(sample, "label_id")
-    rows = sorted(tuple(r) for r in with_features(own, F.col("label_id"), F.col("good")).distinct().orderBy("label_id").limit(2 * (good_docs + bad_docs)).collect())
-    total = sum(counts.get(k, 0) for k in (0, 1))
-    x = np.array([r[2] for r in rows], dtype=np.float64)
-    return train(x, np.array([r[1] for r in rows], dtype=bool), counts.get(1, 0) / total if total else None)
+    total = sum(counts.values())
+    if len(counts) < 2:
+        return constant(counts.get(1, 0) / total if total else 0.5)
+    share, words = counts[1] / total, words_for(total)
+    own = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text"))
+    key = [F.col("label_id").cast("string")]  # the same hash whatever the columns' types
+    own = passing(own, bloom_of(known, key, words) if words else None, key, words)
+    rows = with_features(own, F.col("label_id")).join(known, "label_id").distinct()
+    rows = written(rows.select("good", "x", F.xxhash64(F.lit(SEED), "label_id", "x").alias("place")), "quality-features")
+    found = {r["good"]: r["count"] for r in rows.groupBy("good").count().collect()}
+    if len(found) < 2:
+        return constant(share)
+    low, high, knots = _ranges(rows, found[0] + found[1])
+    model = Model(0.0, low=low, high=high, knots=knots)
+    pairs, n_pairs = _pairs(rows, found[1], found[0])
+    pairs = written(pairs, "quality-pairs")
+    size = len(low) * (1 + len(KNOTS))
+    model.weights = minimised(lambda w: _summed(pairs, model, w), n_pairs, size).reshape(len(low), -1)
+    cut = _cut(rows.select("good", model.margin(F.col("x")).alias("margin")), share, found[1], found[0])
+    model.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut)
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

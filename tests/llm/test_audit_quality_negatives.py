@@ -180,6 +180,34 @@ def test_held_out_labels_are_never_read(spark):
     assert np.array_equal(models[0].weights, models[1].weights) and models[0].shift == models[1].shift
 
 
+def test_every_label_is_fitted_on(spark):
+    rng = np.random.default_rng(3)
+    ids = [i for i in range(13_000) if zlib.crc32(str(i).encode()) % 5]  # more than 8,000, at most 4,000 of a kind were taken once
+    texts = {i: " ".join(["plain", "#$", "words.", "A1"][k] for k in rng.integers(0, 4, rng.integers(1, 12))) + " x" * (i % 97) for i in ids}
+    good = {i: int(rng.random() < 0.8 - 0.6 * (texts[i].count("#") > 2)) for i in ids}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame(sorted(good.items()), "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    x, y = np.array([brute_features(texts[i]) for i in ids]), np.array([good[i] for i in ids], dtype=bool)
+    assert model.low == pytest.approx(x.min(axis=0)) and model.high == pytest.approx(x.max(axis=0))
+    z = (x - x.min(axis=0)) / np.where(x.max(axis=0) > x.min(axis=0), x.max(axis=0) - x.min(axis=0), 1.0)
+    assert np.abs(model.knots - np.quantile(z, quality.KNOTS, axis=0).T).max() < 2 / quality.BINS
+    margins = np.sort(model.margins(x) - np.log(quality.THRESHOLD / (1 - quality.THRESHOLD)))
+    share = y.mean()
+    weight = np.where(y[np.argsort(model.margins(x), kind="stable")], share / y.sum(), (1 - share) / (~y).sum())
+    at = int(np.searchsorted(np.cumsum(weight), 1 - share - 1e-9))
+    assert margins[at] <= 1e-9 <= margins[at + 1] + 2e-9  # the threshold parts all labelled rows by their share
+    again = quality.fit(docs, labels)
+    assert np.array_equal(model.weights, again.weights) and model.shift == again.shift
+
+
+def test_pairs_use_every_row_and_none_twice(spark):
+    rows = spark.createDataFrame([(int(i < 70), [float(i)], (i * 7919 << 40) - (1 << 62)) for i in range(100)], "good int, x array<double>, place long")
+    pairs, n = quality._pairs(rows, 70, 30, pairs=500)
+    got = [(r.good_x[0], r.bad_x[0]) for r in pairs.collect()]
+    assert len(got) == len(set(got)) == n == 560 and {a for a, _ in got} == set(range(70)) and {b for _, b in got} == set(range(70, 100))
+
+
 @pytest.mark.parametrize("sf", ["0.01", "0.1"])
 def test_held_out_accuracy(spark, sf):
     d = f"/root/testdata/sf{sf}"
