@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.bloom import bloom_of, passing, words_for
 from tessera.operators.candidates import cluster_left_join, cluster_pairs, flagged_pairs, in_first_shared_pool, supplied_pairs, with_pools
+from tessera.operators.dealing import dealt
 from tessera.operators.ids import TEXT, Text
 from tessera.operators.pairs import BLOCK, few, pair_sums
 from tessera.operators.weights import Extent
@@ -124,26 +125,56 @@ def progressive_graph(postings: DataFrame, flagged: DataFrame, threshold: float
     return _on_candidates(postings.where(F.col("w") > threshold), flagged, plan, flagged=True)
 
 
-def candidate_pairs_graph(postings: DataFrame, pairs: DataFrame, threshold: float = 0.0, plan: str = "features") -> DataFrame:
+def candidate_pairs_graph(postings: DataFrame, pairs: DataFrame, threshold: float = 0.0, plan: str = "features", ids: Text = TEXT, n_rows: int = 0) -> DataFrame:
     """Positive sums over the pairs of a table ``(image_a, image_b)``, whatever made it: either order, repeats and pairs of an image with itself allowed.
 
-    ``features`` joins postings by feature and drops, by a Bloom filter of the pairs, what
-    can't be asked for before it is shuffled; a semi-join then keeps exactly the pairs.
-    Beyond the filter's bound on pairs the semi-join works alone. ``candidates`` starts from
+    ``features`` joins postings by feature; they bring their image's partners, so where two
+    meet only what is asked for goes on to be summed, however many pairs there are. Where the
+    caller gives no number of rows, a Bloom filter of the pairs' images, if they are few enough
+    for it, drops the postings of others first. ``candidates`` starts from
     the pairs and joins both images' postings, which suits few pairs and long posting lists.
     """
     rows = postings.where(F.col("w") > threshold)
-    known = supplied_pairs(pairs)
     if plan == "candidates":
-        found = _candidate_contributions(rows, known, F.col("a.w_norm") * F.col("b.w_norm"))
-    elif plan == "features":
-        keys = ["image_a", "image_b"]
-        words = words_for(known.count())
-        met = passing(_contributions(rows, ["feature_id"]), bloom_of(known, keys, words) if words else None, keys, words)
-        found = met.join(known, keys, "left_semi")
-    else:
+        found = _candidate_contributions(rows, supplied_pairs(pairs), F.col("a.w_norm") * F.col("b.w_norm"))
+        return _summed(found).where(F.col("similarity") > 0)
+    if plan != "features":
         raise ValueError(f"no plan {plan!r}")
-    return _summed(found).where(F.col("similarity") > 0)
+    if not n_rows and (words := words_for(2 * pairs.count())):
+        images = pairs.select(F.explode(F.array(F.col("image_a").cast("string"), F.col("image_b").cast("string"))).alias("image_id"))
+        rows = passing(rows, bloom_of(images, ["image_id"], words), ["image_id"], words)
+    sums = _partner_contributions(rows, pairs, ids, n_rows).groupBy("a", "b").agg(F.sum("c").alias("similarity"))
+    return ids.restored(sums.where(F.col("similarity") > 0), "similarity")
+
+
+#: Partners of an image in one list; an image with more has several lists, and its postings are repeated for each.
+PARTNERS = 1_000
+
+
+def partner_lists(pairs: DataFrame, ids: Text, n_rows: int = 0) -> DataFrame:
+    """``(image_id, list, partners)``: each distinct pair as a code in the list of one of its two images, drawn by hash so that lists are evenly long."""
+    names = ("image_a", "image_b")
+    a, b = (F.col(c).cast("string") for c in names)
+    known = pairs.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("image_a"), F.greatest(a, b).alias("image_b"))
+    even = F.pmod(F.xxhash64(*names), F.lit(2)) == 0
+    known = known.select(F.when(even, F.col("image_a")).otherwise(F.col("image_b")).alias("holder"), F.when(even, F.col("image_b")).otherwise(F.col("image_a")).alias("image_id"))
+    held = ids.coded(known).select(F.col("holder").alias("image_id"), F.col("code").alias("partner"))
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy("partner")) - 1
+    numbered = dealt(held, n_rows, "image_id").distinct().withColumn("list", F.floor(place / PARTNERS))
+    return numbered.groupBy("image_id", "list").agg(F.collect_list("partner").alias("partners"))
+
+
+def _partner_contributions(rows: DataFrame, pairs: DataFrame, ids: Text, n_rows: int) -> DataFrame:
+    """``(a, b, c)``, products of the postings of supplied pairs, by code. Both sides carry the same columns, so one shuffle by feature serves both."""
+    own = rows.select("feature_id", "image_id", "w_norm").join(partner_lists(pairs, ids, n_rows), "image_id", "left")
+    own = ids.coded(own).select("feature_id", "code", "w_norm", F.coalesce("list", F.lit(0)).alias("list"), "partners")
+    own = dealt(own, n_rows, "feature_id")
+    a, b = own.alias("a"), own.alias("b")
+    holds = lambda x, y: (F.col(f"{y}.list") == 0) & F.array_contains(f"{x}.partners", F.col(f"{y}.code"))
+    met = (F.col("a.feature_id") == F.col("b.feature_id")) & (F.col("a.code") < F.col("b.code")) & (holds("a", "b") | holds("b", "a"))
+    first, c = ids.before(F.col("a.code"), F.col("b.code")), F.col("a.w_norm") * F.col("b.w_norm")
+    ordered = lambda x, y: F.when(first, F.col(f"{x}.code")).otherwise(F.col(f"{y}.code"))
+    return a.join(b, met).select(ordered("a", "b").alias("a"), ordered("b", "a").alias("b"), c.alias("c"))
 
 
 #: What rounding may take off a bound: weights and products are of 32 bits in some graphs.

@@ -184,6 +184,22 @@ def test_pairs_beyond_the_filter(spark, hot, monkeypatch):
     assert G.candidate_pairs_graph(hot, pairs.where("false"), 0.0).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 3, 1_000])
+def test_only_supplied_pairs_are_summed(spark, hot, monkeypatch, most):
+    monkeypatch.setattr(G, "words_for", lambda n: None)  # too many pairs for a filter: all products were shuffled once
+    monkeypatch.setattr(G, "PARTNERS", most)
+    rows = hot.collect()
+    want, shared = brute(rows, 0.0), {}
+    for r in rows:
+        shared.setdefault(r.image_id, set()).add(r.feature_id)
+    hub = max(shared, key=lambda i: len(shared[i]))
+    some = [p for k, p in enumerate(sorted(want)) if hub in p or k % 50 == 0]
+    pairs = spark.createDataFrame(some + [(b, a) for a, b in some[::3]], "image_a string, image_b string")
+    formed = G._partner_contributions(hot, pairs, G.TEXT, 0)
+    assert formed.count() == sum(len(shared[a] & shared[b]) for a, b in some)
+    close(G.candidate_pairs_graph(hot, pairs, 0.0), {k: want[k] for k in some})
+
+
 def test_bloom_filter(spark):
     keys = spark.range(0, 20_000, 10).select(F.col("id").cast("string").alias("x"), F.col("id").alias("y"))
     words = bloom.words_for(2_000)
