@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.dealing import dealt
+
 #: Fixed value: the pool of images without one.
 UNKNOWN = "unknown"
 #: Members of a pool in one block. Two blocks meet in one row, so a task holds the square of this many pairs at a time.
@@ -113,6 +115,44 @@ def eligible_flag_sets(a: Column, b: Column) -> Column:
     return (F.size(a) > 0) & (F.size(b) > 0) & ((F.size(F.array_union(a, b)) > 1) | F.array_contains(F.array_intersect(a, b), "in"))
 
 
+def signed_pools(members: DataFrame, flagged: bool = False, n_rows: int = 0) -> DataFrame:
+    """``(image_id, cluster_ids, signature[, flag, flags])``; the signature has a bit for each pool's hash.
+
+    ``flag`` is the image's only flag, where it has the same one in all its pools; others have
+    ``flags``, those in each pool.
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64("cluster_id"), F.lit(64)).cast("int"))
+    known = members.where(F.col("cluster_id").isNotNull())
+    if not flagged:
+        return known.groupBy("image_id").agg(F.array_sort(F.collect_set("cluster_id")).alias("cluster_ids"), F.bit_or(bit).alias("signature"))
+    each = dealt(known, n_rows, "image_id").groupBy("image_id", "cluster_id").agg(F.collect_set("sample_flag").alias("f"))
+    rows = each.groupBy("image_id").agg(
+        F.array_sort(F.collect_list("cluster_id")).alias("cluster_ids"),
+        F.bit_or(bit).alias("signature"),
+        F.array_distinct(F.flatten(F.collect_list("f"))).alias("every"),
+        F.min(F.size("f")).alias("least"),
+        F.map_from_entries(F.collect_list(F.struct("cluster_id", "f"))).alias("of"),
+    )
+    rows = rows.withColumn("flag", F.when((F.size("every") == 1) & (F.col("least") == 1), F.get("every", F.lit(0))))
+    return rows.select("image_id", "cluster_ids", "signature", "flag", F.when(F.col("flag").isNull(), F.col("of")).alias("flags"))
+
+
+def signatures_meet() -> Column:
+    """Whether rows ``a`` and ``b`` have a bit in common: if not, they share no pool, and their lists needn't be read."""
+    return F.col("a.signature").bitwiseAND(F.col("b.signature")) != 0
+
+
+def pools_meet(flagged: bool = False) -> Column:
+    """Whether rows ``a`` and ``b`` of ``signed_pools`` share a pool that counts for the pair."""
+    shared = F.arrays_overlap("a.cluster_ids", "b.cluster_ids")
+    if not flagged:
+        return signatures_meet() & shared
+    of = lambda x, c: F.when(F.col(f"{x}.flag").isNotNull(), F.array(f"{x}.flag")).otherwise(F.element_at(f"{x}.flags", c))
+    some = F.exists(F.array_intersect("a.cluster_ids", "b.cluster_ids"), lambda c: eligible_flag_sets(of("a", c), of("b", c)))
+    single = F.col("a.flag").isNotNull() & F.col("b.flag").isNotNull()
+    return signatures_meet() & F.when(single, eligible_flags(F.col("a.flag"), F.col("b.flag")) & shared).otherwise(some)
+
+
 def flagged_pairs(members: DataFrame) -> DataFrame:
     """Candidate pairs without those whose equal flags aren't ``in``: old against old isn't computed again."""
     rows = with_pools(members, flagged=True)

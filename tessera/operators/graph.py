@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.bloom import bloom_of, passing, words_for
-from tessera.operators.candidates import cluster_left_join, cluster_pairs, flagged_pairs, in_first_shared_pool, supplied_pairs, with_pools
+from tessera.operators.candidates import cluster_left_join, cluster_pairs, flagged_pairs, in_first_shared_pool, pools_meet, signatures_meet, signed_pools, supplied_pairs, with_pools
 from tessera.operators.dealing import dealt
 from tessera.operators.ids import TEXT, Text
 from tessera.operators.pairs import BLOCK, few, pair_sums
@@ -58,18 +58,6 @@ def cluster_overlap_graph(postings: DataFrame, members: DataFrame, threshold: fl
     return _summed(_contributions(rows, ["feature_id"], ("cluster_ids", "signature"), signatures_meet() & F.arrays_overlap("a.cluster_ids", "b.cluster_ids")))
 
 
-def signed_pools(members: DataFrame) -> DataFrame:
-    """``(image_id, cluster_ids, signature)``; the signature has a bit for each pool's hash."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64("cluster_id"), F.lit(64)).cast("int"))
-    known = members.where(F.col("cluster_id").isNotNull())
-    return known.groupBy("image_id").agg(F.array_sort(F.collect_set("cluster_id")).alias("cluster_ids"), F.bit_or(bit).alias("signature"))
-
-
-def signatures_meet() -> Column:
-    """Whether rows ``a`` and ``b`` have a bit in common: if not, they share no pool, and their lists needn't be read."""
-    return F.col("a.signature").bitwiseAND(F.col("b.signature")) != 0
-
-
 def cluster_feature_graph(postings: DataFrame, members: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Pairs joined by (feature, pool); a feature counts once, in the pair's first shared pool, however many the pair shares."""
     return _summed(_pool_contributions(postings.where(F.col("w") > threshold), members))
@@ -95,16 +83,20 @@ def _candidate_contributions(rows: DataFrame, candidates: DataFrame, product: Co
     return both.select("image_a", "image_b", product.alias("contribution"))
 
 
-def _on_candidates(rows: DataFrame, members: DataFrame, plan: str, flagged: bool = False) -> DataFrame:
-    """Positive sums over pairs that share a pool, by one of three plans with the same result.
+def _on_candidates(rows: DataFrame, members: DataFrame, plan: str, flagged: bool = False, n_rows: int = 0) -> DataFrame:
+    """Positive sums over pairs that share a pool, by one of four plans with the same result.
 
-    ``pools`` joins by (feature, pool). ``candidates`` lists the candidate pairs first,
+    ``pools`` joins by (feature, pool). ``lists`` joins by feature and compares the images' lists of
+    pools there, so a posting isn't repeated for each pool; it suits short posting lists. ``candidates`` lists the candidate pairs first,
     which suits small pools and long posting lists. ``features`` joins by feature and
     semi-joins the candidates below the sum, which suits pools that hold most images.
     """
     product = F.col("a.w_norm") * F.col("b.w_norm")
     if plan == "pools":
         return _summed(_pool_contributions(rows, members, flagged)).where(F.col("similarity") > 0)
+    if plan == "lists":
+        own = dealt(rows.select("image_id", "feature_id", "w_norm").join(signed_pools(members, flagged, n_rows), "image_id"), n_rows, "feature_id")
+        return _summed(_contributions(own, ["feature_id"], ("cluster_ids", "signature", *(("flag", "flags") if flagged else ())), pools_meet(flagged))).where(F.col("similarity") > 0)
     pairs = flagged_pairs(members) if flagged else cluster_pairs(members)
     if plan == "candidates":
         found = _candidate_contributions(rows, pairs, product)
@@ -120,9 +112,14 @@ def candidate_graph(postings: DataFrame, members: DataFrame, threshold: float =
     return _on_candidates(postings.where(F.col("w") > threshold), members, plan)
 
 
-def progressive_graph(postings: DataFrame, flagged: DataFrame, threshold: float = 0.0, plan: str = "pools") -> DataFrame:
-    """As ``candidate_graph`` without pairs of two old images."""
-    return _on_candidates(postings.where(F.col("w") > threshold), flagged, plan, flagged=True)
+def short_lists(extent: Extent | None) -> bool:
+    """Whether no feature has so many images that its pairs should be formed by (feature, pool)."""
+    return extent is not None and extent.most_images <= BLOCK
+
+
+def progressive_graph(postings: DataFrame, flagged: DataFrame, threshold: float = 0.0, plan: str | None = None, extent: Extent | None = None) -> DataFrame:
+    """As ``candidate_graph`` without pairs of two old images. Where lists are short the plan is ``lists``, unless another is named."""
+    return _on_candidates(postings.where(F.col("w") > threshold), flagged, plan or ("lists" if short_lists(extent) else "pools"), flagged=True, n_rows=extent.rows if extent else 0)
 
 
 def candidate_pairs_graph(postings: DataFrame, pairs: DataFrame, threshold: float = 0.0, plan: str = "features", ids: Text = TEXT, n_rows: int = 0) -> DataFrame:
