@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.candidates import in_first_shared_pool, with_pools
+from tessera.operators.candidates import in_first_shared_pool, pools_meet, signed_pools, with_pools
 from tessera.stages import Folder
 
 EDGES = "image_a string, image_b string, similarity double"
@@ -28,14 +28,18 @@ POSTINGS = "feature_id long, image_id string, w double, w_norm double"
 MEMBERS = "cluster_id string, image_id string"
 
 
-def fresh_edges(new: DataFrame, old: DataFrame, members: DataFrame | None, threshold: float) -> DataFrame:
-    """Sums of pairs of which one image at least is new. The new side drives the join, so old postings that no new image meets go no further."""
+def fresh_edges(new: DataFrame, old: DataFrame, members: DataFrame | None, threshold: float, short: bool = False) -> DataFrame:
+    """Sums of pairs of which one image at least is new. The new side drives the join, so old postings that no new image meets go no further.
+
+    Where the caller knows that posting lists are ``short``, images' lists of pools are compared
+    where postings meet; else postings are joined by (feature, pool).
+    """
     keys, also = ["feature_id"], F.lit(True)
     fresh, rest = (rows.where(F.col("w") > threshold).select("feature_id", "image_id", "w_norm", F.lit(is_old).alias("old")) for rows, is_old in ((new, False), (old, True)))
     if members is not None:
-        pools = with_pools(members)
+        pools = signed_pools(members) if short else with_pools(members)
         fresh, rest = fresh.join(pools, "image_id"), rest.join(pools, "image_id")
-        keys, also = ["feature_id", "cluster_id"], in_first_shared_pool()
+        keys, also = (["feature_id"], pools_meet()) if short else (["feature_id", "cluster_id"], in_first_shared_pool())
     a, b = fresh.alias("a"), fresh.unionByName(rest).alias("b")
     met: Column = (F.col("b.old") | (F.col("a.image_id") < F.col("b.image_id"))) & also
     for key in keys:
@@ -79,8 +83,8 @@ class ProgressiveGraph:
     def batches(self) -> list[str]:
         return [b["name"] for b in self._version()[1]]
 
-    def add(self, name: str, postings: DataFrame, members: DataFrame | None = None) -> bool:
-        """Adds a batch; False if it is there already, with the same rows."""
+    def add(self, name: str, postings: DataFrame, members: DataFrame | None = None, short: bool = False) -> bool:
+        """Adds a batch; False if it is there already, with the same rows. ``short`` is as in ``fresh_edges``."""
         if self.pooled != (members is not None):
             raise ValueError("a pooled graph needs the pools of each batch, another has none")
         number, batches = self._version()
@@ -103,7 +107,7 @@ class ProgressiveGraph:
             self.folder.delete("data", at)
             raise ValueError(f"batch {name!r} has images of an earlier batch")
         everyone = self._read([*batches, batch], "members", MEMBERS) if self.pooled else None
-        fresh_edges(new, old, everyone, self.threshold).write.parquet(self.folder.at("data", batch["edges"], "edges"))
+        fresh_edges(new, old, everyone, self.threshold, short).write.parquet(self.folder.at("data", batch["edges"], "edges"))
         self._commit(number + 1, [*batches, batch])
         return True
 

@@ -14,6 +14,8 @@ from tessera.operators import graph as G
 from tessera.operators import pairs as P
 from tessera.operators import weights as W
 from tessera.operators.ids import TEXT, WHOLE, Dictionary, Text
+from tessera.operators.weights import Extent
+from tessera.plans.progressive import fresh_edges
 from tessera.plans.sweep import sweep_edges
 
 
@@ -161,6 +163,29 @@ def test_bounds_need_a_threshold(hot):
         G.bounded_graph(hot, 0.0)
 
 
+def test_lists_of_pools_give_the_same_graph(spark, hot):
+    rng = random.Random(5)
+    ids = sorted({r.image_id for r in hot.collect()})
+    flags = {i: rng.choice(["in", "out", "old"]) for i in ids[::2]}  # one flag for half of the images, any for the others
+    rows = [(f"c{rng.randrange(12)}", i, flags.get(i) or rng.choice(["in", "out", "old", None])) for i in ids for _ in range(rng.randrange(5))] + [(None, ids[0], "in")]
+    members = spark.createDataFrame(rows, "cluster_id string, image_id string, sample_flag string")
+    want = _rounded(G.progressive_graph(hot, members, 0.02, "candidates"))
+    assert want and _rounded(G.progressive_graph(hot, members, 0.02, "lists")) == want
+    assert _rounded(G.candidate_graph(hot, members, 0.02, "lists")) == _rounded(G.candidate_graph(hot, members, 0.02))
+    old, new = hot.where("cast(image_id as long) % 2 = 0"), hot.where("cast(image_id as long) % 2 = 1")
+    assert _rounded(fresh_edges(new, old, members, 0.02, short=True)) == _rounded(fresh_edges(new, old, members, 0.02))
+    seen = []
+    real = G._contributions
+    G._contributions = lambda rows, *more: (seen.append(rows), real(rows, *more))[1]
+    try:
+        G.progressive_graph(hot, members, 0.02, extent=Extent(10, G.BLOCK, 10, 0))
+        G.progressive_graph(hot, members, 0.02, extent=Extent(10, G.BLOCK + 1, 10, 0))
+    finally:
+        G._contributions = real
+    short, general = (rows.count() for rows in seen)
+    assert 0 < short < general  # a posting isn't repeated for each pool where lists are short
+
+
 # supplied pairs
 
 
