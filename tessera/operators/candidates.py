@@ -58,19 +58,19 @@ def in_first_shared_pool(flagged: bool = False) -> Column:
 
 
 def pool_blocks(members: DataFrame) -> DataFrame:
-    """``(cluster_id, block, ids, larger)``: the distinct members of each pool in order, cut into blocks.
+    """``(cluster_id, block, ids, larger)``: the distinct members of each pool, dealt by hash to blocks of about ``BLOCK``.
 
     ``larger`` are the pools of each member that come before this one, larger pools first;
-    null where no member of the block has any. Numbering a pool's members is one sort,
-    little beside its pairs.
+    null where no member of the block has any. A pool's members are never gathered or sorted
+    in one task; within a block they are in order.
     """
     known = members.where("cluster_id IS NOT NULL AND image_id IS NOT NULL")
     sizes = known.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
-    pools = F.array_sort(F.collect_set(F.struct((-F.col("size")).alias("order"), "cluster_id")))["cluster_id"]
+    pools = F.array_sort(F.collect_set(F.struct((-F.col("size")).alias("order"), "cluster_id")))
     rows = known.join(sizes, "cluster_id").groupBy("image_id").agg(pools.alias("pools"))
-    rows = rows.select("image_id", "pools", F.posexplode("pools").alias("at", "cluster_id"))
-    before = F.row_number().over(Window.partitionBy("cluster_id").orderBy("image_id")) - 1
-    rows = rows.select("cluster_id", F.floor(before / BLOCK).alias("block"), "image_id", F.slice("pools", F.lit(1), F.col("at")).alias("larger"))
+    rows = rows.select("image_id", F.col("pools.cluster_id").alias("pools"), F.posexplode("pools").alias("at", "pool"))
+    block = F.pmod(F.xxhash64("image_id"), F.ceil(-F.col("pool.order") / BLOCK))
+    rows = rows.select(F.col("pool.cluster_id").alias("cluster_id"), block.alias("block"), "image_id", F.slice("pools", F.lit(1), F.col("at")).alias("larger"))
     blocks = rows.groupBy("cluster_id", "block").agg(F.array_sort(F.collect_list(F.struct("image_id", "larger"))).alias("of"), F.max(F.size("larger")).alias("most"))
     return blocks.select("cluster_id", "block", F.col("of.image_id").alias("ids"), F.when(F.col("most") > 0, F.col("of.larger")).alias("larger"))
 
@@ -86,8 +86,8 @@ def cluster_pairs(members: DataFrame) -> DataFrame:
 
     All pairs of a pool are the result asked for, so its size is the square of a pool's;
     graphs don't need it (their plan ``pools`` lists no pairs). Blocks of a pool are joined
-    instead of members, by pool and lower block, so a large pool is dealt over many tasks and
-    members are in order without being compared. A pair counts in the largest pool it
+    instead of members, by pool and lower block, so a large pool is dealt over many tasks;
+    members of one block are in order without being compared. A pair counts in the largest pool it
     shares: the many pairs of the largest pools need no look at others.
     """
     blocks = pool_blocks(members)
@@ -96,7 +96,7 @@ def cluster_pairs(members: DataFrame) -> DataFrame:
     rows = met.select("same", "larger", "b_ids", "b_larger", F.posexplode("ids").alias("i", "image_a"))
     rows = rows.select("same", "larger", "b_larger", "i", "image_a", F.posexplode("b_ids").alias("j", "image_b"))
     new = F.col("larger").isNull() | F.col("b_larger").isNull() | ~_share(F.get("larger", F.col("i")), F.get("b_larger", F.col("j")))
-    return rows.where((~F.col("same") | (F.col("i") < F.col("j"))) & new).select("image_a", "image_b")
+    return rows.where((~F.col("same") | (F.col("i") < F.col("j"))) & new).select(F.least("image_a", "image_b").alias("image_a"), F.greatest("image_a", "image_b").alias("image_b"))
 
 
 def supplied_pairs(pairs: DataFrame) -> DataFrame:

@@ -168,6 +168,16 @@ def test_cluster_pairs_by_blocks(spark, monkeypatch, block):
     assert C.cluster_pairs(df.limit(0)).count() == 0
 
 
+def test_members_of_a_pool_are_not_sorted_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 50)
+    df = spark.createDataFrame([("a", str(i)) for i in range(1_000)] + [("b", "1")], "cluster_id string, image_id string")
+    blocks = C.pool_blocks(df)
+    assert "Window" not in blocks._jdf.queryExecution().optimizedPlan().toString()
+    rows = blocks.collect()
+    assert sorted(i for r in rows if r.cluster_id == "a" for i in r.ids) == sorted(str(i) for i in range(1_000)) and max(len(r.ids) for r in rows) < 100
+    assert len(rows) == 21 and all(r.ids == sorted(r.ids) for r in rows)
+
+
 def test_cluster_pairs_join_blocks(spark, monkeypatch):
     """A join of a pool of n members yields pairs of blocks, not of members, and no task has the whole pool."""
     monkeypatch.setattr(C, "BLOCK", 50)
