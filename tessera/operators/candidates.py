@@ -9,8 +9,8 @@ from tessera.operators.dealing import dealt
 
 #: Fixed value: the pool of images without one.
 UNKNOWN = "unknown"
-#: Members of a pool in one block. Two blocks meet in one row, so a task holds the square of this many pairs at a time.
-BLOCK = 512
+#: Members of a pool in one block. Two blocks meet in one row; a task holds the pairs of one member with a block at a time.
+BLOCK = 2_048
 
 
 def cluster_members(pools: DataFrame, min_size: int = 0) -> DataFrame:
@@ -57,12 +57,13 @@ def in_first_shared_pool(flagged: bool = False) -> Column:
     return eligible & (first | ~counted)
 
 
-def pool_blocks(members: DataFrame) -> DataFrame:
+def pool_blocks(members: DataFrame, n_rows: int = 0) -> DataFrame:
     """``(cluster_id, block, ids, larger)``: the distinct members of each pool, dealt by hash to blocks of about ``BLOCK``.
 
     ``larger`` are the pools of each member that come before this one, larger pools first;
     null where no member of the block has any. A pool's members are never gathered or sorted
-    in one task; within a block they are in order.
+    in one task; within a block they are in order. The number of tasks is fixed: Spark would
+    merge blocks by their few bytes, of which each becomes many pairs.
     """
     known = members.where("cluster_id IS NOT NULL AND image_id IS NOT NULL")
     sizes = known.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
@@ -71,7 +72,7 @@ def pool_blocks(members: DataFrame) -> DataFrame:
     rows = rows.select("image_id", F.col("pools.cluster_id").alias("pools"), F.posexplode("pools").alias("at", "pool"))
     block = F.pmod(F.xxhash64("image_id"), F.ceil(-F.col("pool.order") / BLOCK))
     rows = rows.select(F.col("pool.cluster_id").alias("cluster_id"), block.alias("block"), "image_id", F.slice("pools", F.lit(1), F.col("at")).alias("larger"))
-    blocks = rows.groupBy("cluster_id", "block").agg(F.array_sort(F.collect_list(F.struct("image_id", "larger"))).alias("of"), F.max(F.size("larger")).alias("most"))
+    blocks = dealt(rows, n_rows, "cluster_id", "block", fixed=True).groupBy("cluster_id", "block").agg(F.array_sort(F.collect_list(F.struct("image_id", "larger"))).alias("of"), F.max(F.size("larger")).alias("most"))
     return blocks.select("cluster_id", "block", F.col("of.image_id").alias("ids"), F.when(F.col("most") > 0, F.col("of.larger")).alias("larger"))
 
 
@@ -81,22 +82,29 @@ def _share(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == 1, F.array_contains(b, first(a))).when(F.size(b) == 1, F.array_contains(a, first(b))).otherwise(F.arrays_overlap(a, b))
 
 
-def cluster_pairs(members: DataFrame) -> DataFrame:
+def cluster_pairs(members: DataFrame, n_rows: int = 0) -> DataFrame:
     """Distinct ``(image_a, image_b)``, a before b as strings, that share a pool.
 
     All pairs of a pool are the result asked for, so its size is the square of a pool's;
     graphs don't need it (their plan ``pools`` lists no pairs). Blocks of a pool are joined
-    instead of members, by pool and lower block, so a large pool is dealt over many tasks;
-    members of one block are in order without being compared. A pair counts in the largest pool it
+    instead of members, by pool and lower block, so a large pool is dealt over many tasks.
+    Where two blocks meet they are merged in order once; a member is then listed with the end of
+    the other block beyond it, so no pair is put in order by itself. A pair counts in the largest pool it
     shares: the many pairs of the largest pools need no look at others.
     """
-    blocks = pool_blocks(members)
+    blocks = pool_blocks(members, n_rows)
     later = blocks.select("cluster_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("block"))).alias("block"), F.col("block").alias("b_block"), F.col("ids").alias("b_ids"), F.col("larger").alias("b_larger"))
     met = later.join(blocks, ["cluster_id", "block"]).select((F.col("block") == F.col("b_block")).alias("same"), "ids", "larger", "b_ids", "b_larger")
-    rows = met.select("same", "larger", "b_ids", "b_larger", F.posexplode("ids").alias("i", "image_a"))
-    rows = rows.select("same", "larger", "b_larger", "i", "image_a", F.posexplode("b_ids").alias("j", "image_b"))
-    new = F.col("larger").isNull() | F.col("b_larger").isNull() | ~_share(F.get("larger", F.col("i")), F.get("b_larger", F.col("j")))
-    return rows.where((~F.col("same") | (F.col("i") < F.col("j"))) & new).select(F.least("image_a", "image_b").alias("image_a"), F.greatest("image_a", "image_b").alias("image_b"))
+    # the lambda keeps this explode out of the next one's generated code, which holds all rows that come from one row at a time
+    entry = lambda c, first: F.transform(c, lambda x, i: F.struct(x.alias("id"), F.lit(first).alias("first"), i.alias("i")))
+    merged = F.when(F.col("same"), entry("ids", True)).otherwise(F.array_sort(F.concat(entry("ids", True), entry("b_ids", False))))
+    rows = met.select("same", "ids", "larger", "b_ids", "b_larger", F.posexplode(merged).alias("at", "e"))
+    turn = lambda x, y: F.when(F.col("e.first"), F.col(x)).otherwise(F.col(y))
+    skip = F.when(F.col("same"), F.col("at") + 1).otherwise(F.col("at") - F.col("e.i"))
+    rows = rows.select(F.col("e.id").alias("image_a"), F.get(turn("larger", "b_larger"), F.col("e.i")).alias("own"), turn("b_ids", "ids").alias("others"), turn("b_larger", "larger").alias("larger"), skip.alias("skip"))
+    rows = rows.where(F.col("skip") < F.size("others")).select("image_a", "own", "larger", "skip", F.posexplode(F.slice("others", F.col("skip") + 1, F.size("others"))).alias("j", "image_b"))
+    new = F.col("own").isNull() | F.col("larger").isNull() | ~_share(F.col("own"), F.get("larger", F.col("skip") + F.col("j")))
+    return rows.where(new).select("image_a", "image_b")
 
 
 def supplied_pairs(pairs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import gzip
 import math
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -189,6 +190,21 @@ def test_cluster_pairs_join_blocks(spark, monkeypatch):
     assert [x for x in joins if "cluster_id" in x and "block" in x]
 
 
+def test_pairs_are_listed_by_member_in_many_tasks(spark, monkeypatch):
+    """Pairs aren't put in order one by one, no row becomes all pairs of two blocks at once, and few bytes don't make few tasks."""
+    monkeypatch.setattr(C, "BLOCK", 8)
+    monkeypatch.setattr("tessera.operators.dealing.TASK_ROWS", 10)
+    found = C.cluster_pairs(spark.createDataFrame([("p", str(k)) for k in range(60)] + [("q", str(k)) for k in range(5)], "cluster_id string, image_id string"), 200)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) == 60 * 59 // 2 and all(a < b for a, b in got)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "least(" not in plan and "greatest(" not in plan
+    listed = [x for x in plan.split("\n") if "Generate posexplode" in x]
+    stages = [m.group(1) for x in listed if (m := re.search(r"\*\((\d+)\) Generate", x))]
+    assert len(listed) >= 2 and len(stages) == len(set(stages))
+    assert found.rdd.getNumPartitions() == 20
+
+
 def test_pairs_that_share_several_pools_count_once(spark, postings):
     p = pools(spark, [*TWO, *ONE, ("3", "a"), ("3", "b"), ("3", "b")])
     assert edges(G.cluster_feature_graph(postings, p)) == edges(G.similarity_graph(postings))
