@@ -145,9 +145,10 @@ def with_others(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     rows = rows.withColumn("place", place)
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place") % 64)
     words = [F.when(F.floor(F.col("place") / 64) == k, bit).otherwise(F.lit(0).cast("bigint")) for k in range(WORDS)]
-    rows = rows.withColumn("again", F.count(F.lit(1)).over(Window.partitionBy("image_id", "place")) > 1)
     image = Window.partitionBy("image_id")
-    return rows.withColumns({f"s{k}": F.bit_or(w).over(image).bitwiseXOR(w) for k, w in enumerate(words)}).drop("place")
+    rows = rows.withColumns({f"s{k}": F.bit_or(w).over(image).bitwiseXOR(w) for k, w in enumerate(words)})
+    # after the image's bits: rows dealt by image are also together by image and place
+    return rows.withColumn("again", F.count(F.lit(1)).over(Window.partitionBy("image_id", "place")) > 1).drop("place")
 
 
 def meetings(postings: DataFrame, keys: Sequence[str] = ("feature_id",), ids: Text = TEXT, level: bool = False, extent: Extent | None = None, same: bool = False) -> DataFrame:

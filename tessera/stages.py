@@ -5,7 +5,7 @@ written below the run's folder and committed by a marker that names them and the
 key (a text of inputs and parameters). A run that was killed goes on from the committed
 stages its result still needs; what was written without a marker, or under another key,
 is deleted and made again. A stage's rows go as soon as every stage that reads them is
-committed, and all of the folder when the result has been used.
+committed, and all of the folder when the result has been used. A stage's shuffle files go when it is written.
 
 Every commit is one small file, created under another name and renamed, so a reader sees
 it whole or not at all. Two runs must not share a folder at the same time.
@@ -23,6 +23,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 MARKER = "_committed"
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local: list[str] = []  # the temporary folder of a local driver
 
 
@@ -43,6 +44,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Inside the block, a query's shuffle files are deleted at its end; else they stay until the driver collects garbage."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
+
+
 class Folder:
     """Files below a path of any file system that Spark knows."""
 
@@ -110,8 +122,8 @@ class Stages:
         at = self._marked(name)
         return self.spark.read.parquet(self.folder.at(name, at))
 
-    def _needed(self, target: str) -> list[str]:
-        """Stages to make for a target, in order: those whose rows are wanted by one that isn't committed."""
+    def _needed(self, targets: tuple[str, ...]) -> list[str]:
+        """Stages to make for the targets, in order: those whose rows are wanted by one that isn't committed."""
         found: list[str] = []
 
         def visit(name: str) -> None:
@@ -120,30 +132,48 @@ class Stages:
                     visit(r)
                 found.append(name)
 
-        visit(target)
+        for target in targets:
+            visit(target)
         return found
 
-    def _consume(self, needed: list[str], target: str) -> None:
+    def _consume(self, needed: list[str], targets: tuple[str, ...]) -> None:
         """Deletes the rows that no stage still to be made reads."""
-        wanted = {r for n in needed for r in self._made[n][1]} | {target}
+        wanted = {r for n in needed for r in self._made[n][1]} | set(targets)
         for name in self.committed():
             if name not in wanted:
                 self.folder.delete(name)
 
-    def run(self, target: str) -> DataFrame:
-        """The target's rows, made from whatever is committed."""
+    def _commit(self, *targets: str) -> None:
+        """Makes the targets from whatever is committed."""
         for name in self.folder.names():  # leavings of a stopped run, or of one under another key
             if not self._marked(name):
                 self.folder.delete(name)
-        needed = self._needed(target)
+        needed = self._needed(targets)
         for k, name in enumerate(needed):
             make, reads = self._made[name]
             at = f"rows-{uuid.uuid4().hex}"
-            make(*(self._rows(r) for r in reads)).write.parquet(self.folder.at(name, at))
+            with shuffles_freed(self.spark):
+                make(*(self._rows(r) for r in reads)).write.parquet(self.folder.at(name, at))
             self.folder.put(f"{at}\n{self.key}", name, MARKER)
-            self._consume(needed[k + 1 :], target)
+            self._consume(needed[k + 1 :], targets)
+
+    def run(self, target: str) -> DataFrame:
+        """The target's rows, made from whatever is committed."""
+        self._commit(target)
         return self._rows(target)
 
+    def unwritten(self, target: str) -> DataFrame:
+        """The target's rows, made as they are read from the stages it reads, which are committed.
+
+        For a result that the caller writes anyway: it would be on the disk twice.
+        """
+        if self._marked(target):
+            return self._rows(target)
+        make, reads = self._made[target]
+        self._commit(*reads)
+        with shuffles_freed(self.spark):  # of what is counted to choose a plan
+            return make(*(self._rows(r) for r in reads))
+
     @contextmanager
     def result(self, target: str) -> Iterator[DataFrame]:
         """The target's rows for the length of the block; when it ends well, the run's folder is deleted."""

@@ -14,12 +14,13 @@ from tessera.functions import normalised_idf
 from tessera.operators import candidates as C
 from tessera.operators import graph as G
 from tessera.operators import weights as W
+from tessera.plans import queries
 from tessera.plans.progressive import ProgressiveGraph
 from tessera.plans.statistics import StaleInput, StatisticsStore
 from tessera.sources import forms
 from tessera.sources.sinks import edge_lines, write_text
 from tessera.sources.text import parse_features, read_features
-from tessera.stages import Stages, shared_folder
+from tessera.stages import FREE_SHUFFLES, Stages, shared_folder
 
 
 def table(df, digits=9):
@@ -210,6 +211,46 @@ def test_failed_results_keep_their_folder(spark, tmp_path):
             stages.add(name, lambda: None, *reads)
 
 
+def test_a_result_needn_t_be_written(spark, tmp_path):
+    made = []
+    stages = chain(spark, f"file://{tmp_path}/run", made)
+    stages.add("e", lambda c, d: c.union(d), "c", "d")
+    found = stages.unwritten("e")
+    assert made == ["a", "b", "c", "d"] and sorted(os.listdir(tmp_path / "run")) == ["c", "d"]
+    assert sorted(r.id for r in found.collect()) == sorted([*range(2, 12), *range(3, 13)])
+    again = chain(spark, f"file://{tmp_path}/run", made)
+    assert again.unwritten("d").count() == 10 and made == ["a", "b", "c", "d"]  # committed
+
+
+def _shuffle_files(spark):
+    return [b for b in str(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")).split() if b.startswith("shuffle_")]
+
+
+def test_stages_leave_no_shuffle_files(spark, tmp_path):
+    before, setting = len(_shuffle_files(spark)), spark.conf.get(FREE_SHUFFLES, None)
+    stages = Stages(spark, f"file://{tmp_path}/run")
+    stages.add("a", lambda: spark.range(1_000).groupBy((F.col("id") % 100).alias("k")).agg(F.count("id").alias("n")))
+    stages.add("b", lambda a: a.groupBy("n").agg(F.count("k").alias("m")), "a")
+    assert [tuple(r) for r in stages.run("b").collect()] == [(10, 100)]
+    assert spark.conf.get(FREE_SHUFFLES, None) == setting
+    for _ in range(50):  # they are deleted in the background
+        if len(_shuffle_files(spark)) <= before:
+            break
+        time.sleep(0.1)
+    assert len(_shuffle_files(spark)) <= before
+
+
+def test_staged_graph_keeps_postings_only(spark, tmp_path, monkeypatch):
+    """Edges aren't written a second time, and the postings read back are shuffled once by image and once by feature."""
+    monkeypatch.setattr(queries, "shared_folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    found = queries.q_staged_graph(spark, "/root/testdata/sf0.001")
+    assert os.listdir(tmp_path / "staged") == ["postings"]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    by = [x.split("hashpartitioning(")[1].split("#")[0] for x in plan if x.startswith("   :") and "Exchange" in x]  # of pairs that are done where they meet
+    assert by == ["feature_id", "image_id"]
+    assert found.count() == queries.q_weight_pruned_graph(spark, "/root/testdata/sf0.001").count() > 0
+
+
 # text forms
 
 
